@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+import tempfile
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,3 +29,9 @@ def words_of(text: Column) -> Column:
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_checkpoints(spark) -> None:
+    """The cluster's checkpoint folder is used as it is set; only a session without one gets a temporary folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from sightline.llm import decontaminate
+from sightline.llm import chat, decontaminate, fingerprint, lm
 
 
 def queries() -> dict:
-    return {"op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination}
+    return {
+        "op2_document_fingerprints": fingerprint.op2_document_fingerprints,
+        "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+        "op8_chat_formatting": chat.op8_chat_formatting,
+        "op10_lm_scoring": lm.op10_lm_scoring,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": decontaminate.ORACLE}
+    return {
+        "op2_document_fingerprints": fingerprint.ORACLE,
+        "op6_benchmark_decontamination": decontaminate.ORACLE,
+        "op8_chat_formatting": chat.ORACLE,
+    }
