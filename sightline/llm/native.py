@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 import tempfile
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Everything that is not an ASCII digit, an ASCII letter (after lower-casing) or a non-ASCII character.
@@ -35,3 +35,23 @@ def shared_checkpoints(spark) -> None:
     """The cluster's checkpoint folder is used as it is set; only a session without one gets a temporary folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def member_filter(rows: DataFrame, key: str, members: DataFrame, member: str, wanted: bool = True, most_bits: int = 1 << 23) -> DataFrame:
+    """Rows whose key may be among the members, or with wanted=False the rest, whose keys surely aren't.
+
+    A bitmap over key hashes is broadcast as (word, bits), at most most_bits / 64 rows whatever the number
+    of members. Beyond some most_bits / 8 members it lets more rows pass; joins after it stay exact.
+    """
+    n = members.count()
+    bits = min(most_bits, max(1 << 16, 1 << (8 * n).bit_length()))
+
+    def slot(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(bits))
+
+    marked = members.select(slot(member).alias("_slot")).groupBy((F.col("_slot") / 64).cast("int").alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 as int))")).alias("_bits")
+    )
+    x = rows.withColumn("_slot", slot(key)).withColumn("_word", (F.col("_slot") / 64).cast("int")).join(F.broadcast(marked), "_word", "left")
+    hit = F.coalesce(F.expr("shiftright(_bits, cast(_slot % 64 as int)) & 1L") == 1, F.lit(False))
+    return x.filter(hit if wanted else ~hit).select(*rows.columns)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sightline.llm import chat, decontaminate, fingerprint, lm
+from sightline.llm import chat, decontaminate, fingerprint, jaccard, lm, suffix
 
 
 def queries() -> dict:
     return {
         "op2_document_fingerprints": fingerprint.op2_document_fingerprints,
+        "op4_suffix_dedup": suffix.op4_suffix_dedup,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op8_chat_formatting": chat.op8_chat_formatting,
+        "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_lm_scoring": lm.op10_lm_scoring,
     }
 
