@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from sightline.llm import chat, decontaminate, fingerprint, jaccard, lm, suffix
+from sightline.llm import chat, decontaminate, fingerprint, jaccard, licenses, lm, mixing, quality, suffix, urls
 
 
 def queries() -> dict:
     return {
+        "op1_url_filters": urls.op1_url_filters,
         "op2_document_fingerprints": fingerprint.op2_document_fingerprints,
+        "op3_source_mixing": mixing.op3_source_mixing,
         "op4_suffix_dedup": suffix.op4_suffix_dedup,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+        "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_lm_scoring": lm.op10_lm_scoring,
