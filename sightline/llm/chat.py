@@ -60,14 +60,14 @@ def paths(nodes: DataFrame) -> DataFrame:
     leaf = n.join(n.filter(F.col("up").isNotNull()).select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
     step = n.select("tree", "node", "up", F.array("node").alias("path"))
     shared_checkpoints(nodes.sparkSession)
+    step = step.checkpoint()
     for _ in range(MAX_ROUNDS):
-        step = step.checkpoint()
-        if not step.filter(F.col("up").isNotNull()).take(1):
+        done, going = step.filter(F.col("up").isNull()), step.filter(F.col("up").isNotNull())
+        if not going.take(1):
             break
         above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("head"))
-        step = step.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"), F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path")
-        )
+        going = going.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), F.concat("head", "path").alias("path"))
+        step = done.unionByName(going).checkpoint()
     done = step.filter(F.col("up").isNull())
     return leaf.join(done.withColumnRenamed("node", "leaf"), ["tree", "leaf"]).select("tree", "leaf", "path")
 
