@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.native import text_of, words_of
+from sightline.llm.native import member_filter, shared_checkpoints, table, text_of, words_of
 
 MAX_SET = 100_000
 
@@ -96,6 +96,10 @@ def hits(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str
     return rows.join(known, "gram", "left").drop("gram")
 
 
+def _named(windows: DataFrame) -> DataFrame:
+    return windows.withColumn("item", F.coalesce(F.col("item").cast("string"), F.lit("null")))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 10, max_set: int = MAX_SET) -> DataFrame:
     """One row for each input row: doc, n_words, n_hit, items (sorted strings), spans (maximal hit word ranges).
 
@@ -114,7 +118,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    rows = hits(docs, windows.select(F.coalesce(F.col("item").cast("string"), F.lit("null")).alias("item"), "gram", "width"), doc_id, text, size, max_set)
+    rows = hits(docs, _named(windows), doc_id, text, size, max_set)
     return (
         rows.groupBy("rid", "doc", "n_words")
         .agg(merged.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
@@ -124,8 +128,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
-    from sightline.llm.native import table
-
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
         F.col("doc").alias("doc_id"),
@@ -152,3 +154,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", size: int = 10, max_set: int = MAX_SET) -> DataFrame:
+    """The rows of docs without any benchmark window, with their own columns. What a row is depends on its text alone, so rows go by its digest."""
+    digest = F.md5(text_of(text))
+    found = hits(docs.select(digest.alias("doc"), text_of(text).alias("text")), _named(item_windows(items, size=size)), "doc", "text", size, max_set)
+    bad = found.filter(F.col("stop").isNotNull() & F.col("item").isNotNull()).select(F.col("doc").alias("_bad")).distinct()
+    shared_checkpoints(docs.sparkSession)
+    bad = bad.checkpoint()
+    marked = docs.withColumn("_digest", digest)
+    looked_at = member_filter(marked, "_digest", bad, "_bad").join(bad, F.col("_digest") == F.col("_bad"), "left_anti")
+    return member_filter(marked, "_digest", bad, "_bad", wanted=False).select(*docs.columns).unionByName(looked_at.select(*docs.columns))

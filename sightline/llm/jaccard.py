@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sightline.llm import scan
 from sightline.llm.components import components
@@ -332,3 +333,21 @@ def _count(size: int):
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     out = join(table(spark, sf_dir, "documents"), size=4, percent=85)
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose id is the smallest of its component, with their own columns.
+
+    Of rows that repeat an id, the first by text and then the other plain columns stays. Rows without an id stay.
+    """
+    key = F.col(doc_id)
+    gone = join(docs, doc_id, text, size, percent).filter(F.col("component") != F.col("doc")).select(F.col("doc").alias("_gone")).distinct().checkpoint()
+    again = docs.filter(key.isNotNull()).groupBy(key.cast("long").alias("_again")).count().filter("count > 1").select("_again").checkpoint()
+    named = docs.filter(key.isNotNull()).withColumn("_id", key.cast("long"))
+    special = gone.select(F.col("_gone").alias("_id")).unionByName(again.select(F.col("_again").alias("_id")))
+    plain = [c for c, t in docs.dtypes if c not in (doc_id, text) and t in ("string", "bigint", "int", "double")]
+    once = Window.partitionBy("_id").orderBy(text, *plain)
+    looked_at = member_filter(named, "_id", special, "_id").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    looked_at = looked_at.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
+    sure = member_filter(named, "_id", special, "_id", wanted=False)
+    return sure.select(*docs.columns).unionByName(looked_at.select(*docs.columns)).unionByName(docs.filter(key.isNull()))

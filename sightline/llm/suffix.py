@@ -294,45 +294,55 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return met.filter(~F.col("partial")).select("doc", "tag", "start", "stop").unionByName(covered)
 
 
+def _merged(found) -> list[tuple[int, int]]:
+    """Maximal runs of overlapping or touching spans."""
+    out: list[list[int]] = []
+    for a, b in sorted((s["start"], s["stop"]) for s in found or []):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def _left(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    at, kept = 0, []
+    for a, b in spans:
+        kept.append(raw[at:a])
+        at = b
+    return b"".join([*kept, raw[at:]])
+
+
 def _cut(batches):
-    """Maximal removed runs, the sha256 of what is left, and that as text with broken characters dropped."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
     for batch in batches:
         data, offsets = scan.buffers(batch.column("text"))
         raw = data.tobytes()
-        spans, kept, left = [], [], []
-        for i, found in enumerate(batch.column("spans").to_pylist()):
-            own = raw[offsets[i] : offsets[i + 1]]
-            merged: list[list[int]] = []
-            for s in sorted((s["start"], s["stop"]) for s in found or []):
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s[1])
-                else:
-                    merged.append(list(s))
-            at, pieces = 0, []
-            for a, b in merged:
-                pieces.append(own[at:a])
-                at = b
-            rest = b"".join([*pieces, own[at:]])
-            spans.append([{"start": a, "stop": b} for a, b in merged])
-            kept.append(hashlib.sha256(rest).hexdigest())
-            left.append(rest.decode("utf-8", "ignore"))
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        spans = [_merged(s) for s in batch.column("spans").to_pylist()]
+        left = [_left(raw[offsets[i] : offsets[i + 1]], s) for i, s in enumerate(spans)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), pa.array(np.diff(offsets), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.string()), pa.array(left, pa.string())],
+            [
+                batch.column("doc"), pa.array(np.diff(offsets), pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], kind),
+                pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()), pa.array([x.decode("utf-8", "ignore") for x in left], pa.string()),
+            ],
             names=["doc", "n_bytes", "spans", "kept_sha256", "kept"],
-        )
+        )
 
 
 _CUT = "doc long, n_bytes long, spans array<struct<start:int,stop:int>>, kept_sha256 string, kept string"
 
 
+def _spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return repeats(docs, doc_id, text).groupBy("doc", "tag").agg(F.array_distinct(F.collect_list(F.struct("start", "stop"))).alias("spans")).checkpoint()
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each input row: doc, n_bytes, spans (maximal removed byte runs), kept_sha256, kept (the text that is left).
+    """One row for each input row: doc, n_bytes, spans (maximal removed byte runs), kept_sha256, kept (the text that is left, without broken characters).
 
     Repeated rows are repeats of each other and lose all that is SIZE bytes long. Texts shorter than SIZE lose nothing.
     """
     x = _rows(docs, doc_id, text)
-    spans = repeats(docs, doc_id, text).groupBy("doc", "tag").agg(F.array_distinct(F.collect_list(F.struct("start", "stop"))).alias("spans")).checkpoint()
+    spans = _spans(docs, doc_id, text)
     touched = member_filter(x, "doc", spans, "doc").join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(_cut, _CUT)
     clean = member_filter(x, "doc", spans, "doc", wanted=False).select(
         "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"),
@@ -342,6 +352,32 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return out.withColumn("doc", F.when(F.col("doc") != -(2**63), F.col("doc")))
 
 
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """The rows of docs with their own columns, text holding what is left and length (if there) its code points. Texts that lose nothing stay as they are."""
+    names = docs.columns
+    t = text_of(text)
+    x = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("_tag", F.shiftrightunsigned(F.xxhash64(t), 48).cast("int"))
+    spans = _spans(docs, doc_id, text).select(F.col("doc").alias("_sdoc"), F.col("tag").alias("_stag"), "spans")
+
+    def cut(batches):
+        at = names.index(text)
+        for batch in batches:
+            data, offsets = scan.buffers(batch.column(at))
+            raw = data.tobytes()
+            columns = list(batch.columns[: len(names)])
+            left = [_left(raw[offsets[i] : offsets[i + 1]], _merged(s)).decode("utf-8", "ignore") for i, s in enumerate(batch.column(len(names)).to_pylist())]
+            columns[at] = pa.array(left, columns[at].type)
+            if length in names:
+                columns[names.index(length)] = pa.array([len(s) for s in left], columns[names.index(length)].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    maybe = member_filter(x, "_doc", spans, "_sdoc")
+    known = (F.col("_doc") == F.col("_sdoc")) & (F.col("_tag") == F.col("_stag"))
+    touched = maybe.join(spans, known).select(*names, F.col("spans").alias("_spans")).mapInArrow(cut, docs.schema)
+    whole = maybe.join(spans, known, "left_anti").select(*names)
+    return touched.unionByName(whole).unionByName(member_filter(x, "_doc", spans, "_sdoc", wanted=False).select(*names))
+
+
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup(table(spark, sf_dir, "documents"))
     return out.select(
