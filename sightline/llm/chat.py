@@ -58,7 +58,7 @@ def paths(nodes: DataFrame) -> DataFrame:
     there = n.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     n = n.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"))
     leaf = n.join(n.filter(F.col("up").isNotNull()).select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
-    step = n.select("tree", "node", "up", F.array("node").alias("path"))
+    step = n.join(n.groupBy("tree").agg(F.count("*").alias("n")), "tree").select("tree", "node", "up", F.array("node").alias("path"), "n")
     shared_checkpoints(nodes.sparkSession)
     step = step.checkpoint()
     for _ in range(MAX_ROUNDS):
@@ -66,7 +66,8 @@ def paths(nodes: DataFrame) -> DataFrame:
         if not going.take(1):
             break
         above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("head"))
-        going = going.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), F.concat("head", "path").alias("path"))
+        going = going.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), F.concat("head", "path").alias("path"), "n")
+        going = going.filter(F.size("path") <= F.col("n"))  # a longer one goes round a cycle
         step = done.unionByName(going).checkpoint()
     done = step.filter(F.col("up").isNull())
     return leaf.join(done.withColumnRenamed("node", "leaf"), ["tree", "leaf"]).select("tree", "leaf", "path")

@@ -357,7 +357,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names = docs.columns
     t = text_of(text)
     x = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("_tag", F.shiftrightunsigned(F.xxhash64(t), 48).cast("int"))
-    spans = _spans(docs, doc_id, text).select(F.col("doc").alias("_sdoc"), F.col("tag").alias("_stag"), "spans")
+    spans = _spans(docs, doc_id, text).select(F.col("doc").alias("_sdoc"), F.col("tag").alias("_stag"), F.col("spans").alias("_spans"))
 
     def cut(batches):
         at = names.index(text)
@@ -373,7 +373,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     maybe = member_filter(x, "_doc", spans, "_sdoc")
     known = (F.col("_doc") == F.col("_sdoc")) & (F.col("_tag") == F.col("_stag"))
-    touched = maybe.join(spans, known).select(*names, F.col("spans").alias("_spans")).mapInArrow(cut, docs.schema)
+    touched = maybe.join(spans, known).select(*names, "_spans").mapInArrow(cut, docs.schema)
     whole = maybe.join(spans, known, "left_anti").select(*names)
     return touched.unionByName(whole).unionByName(member_filter(x, "_doc", spans, "_sdoc", wanted=False).select(*names))
 
