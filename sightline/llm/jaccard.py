@@ -1,17 +1,21 @@
 """N-gram Jaccard join: exact set similarity over distinct word shingles.
 
-A partition of the shingle universe cuts every set into segments. Two sets of a size band whose
-similarity reaches the threshold differ in at most H shingles, so of H + 1 + slack segments at least
-slack + 1 are equal. Where it is cheaper, a band takes half as many segments and indexes their
-one-deletion neighbourhoods too: a segment then fails only if it holds two differences. ``plan_of``
-chooses by estimated cost. A set with more empty segments than the slack could be missed by another
-such set alone; these sets are indexed again under another partition, and after ROUNDS partitions by
-each shingle, so nothing is missed.
-
-Candidates meet in shards of the signature space. Small buckets give all their pairs, large ones the
-pairs with their smallest member; pairs are verified on the whole texts. Then buckets that still span
-several components give the pairs between those. A chain of copies is so joined without listing all
-its pairs, and no link between components is lost.
+A partition of the shingle universe cuts every set into segments, three to a group. Two sets of a size
+band whose similarity reaches the threshold differ in at most H shingles, so with H // 2 + 1 + slack
+groups at least slack + 1 groups hold one difference or none, and there two of the three segments are
+equal: each pair of segments of a group is a signature. Where it is cheaper, a band takes undivided groups
+and indexes their one-deletion neighbourhoods instead, which finds a group with one difference too.
+``plan_of`` chooses by estimated cost. A set could be missed by another set alone in which more groups
+than the slack are too empty to be signed; these sets are indexed again under another partition, and
+after ROUNDS partitions by each shingle, so nothing is missed.
+
+Candidates meet in shards of the signature space. Buckets are sifted by sketches: the counts of a set's
+shingles in BINS bins, whose distance never exceeds the sets' difference, so a pair whose sketches differ
+by more than the threshold allows is no link. The pairs that stay are few besides the links themselves;
+the clusters that they form are verified on the whole texts. A cluster's texts meet in one task, which
+counts the common shingles of every two through an inverted index; each step reports one edge a text, not
+pairs. Lists beyond LIST members and clusters beyond BLOCK_SHINGLES are cut into blocks and every two blocks
+meet, so a task's size is bounded and no link is lost.
 """
 
 from __future__ import annotations
@@ -32,7 +36,9 @@ from sightline.llm.native import member_filter, shared_checkpoints, table, text_
 GROWTH = 1.5
 ROUNDS = 3
 ALL_PAIRS = 8
-SALT = 256
+LIST = 1000
+BINS = 256
+BLOCK_SHINGLES = 250_000
 BLOCK_BYTES = 32 << 20
 _U = np.uint64
 _LOWERED = scan.BYTES[scan.LOWER]
@@ -79,23 +85,23 @@ def bands() -> np.ndarray:
 
 
 @functools.cache
-def plan_of(band: int, percent: int) -> tuple[int, int, bool]:
-    """(segments, slack, one-deletion?) for sets below the next band's smallest size."""
+def plan_of(band: int, percent: int) -> tuple[int, int, int]:
+    """(groups, slack, segments of a group) for sets below the next band's smallest size; one segment means one-deletion neighbourhoods, no group the whole set only."""
     low, top = int(bands()[band]), int(bands()[band + 1]) - 1
     most = 2 * top * (100 - percent) // (100 + percent)
     if not most:
-        return 1, 0, False
-    slack = 2 + most // 8
-    exact = most + 1 + slack
-    half = most // 2 + 1
-    half_slack = 0 if half == 1 else 1 + half // 8
+        return 1, 0, 0
+    need = most // 2 + 1
+    whole_slack = 0 if need == 1 else 1 + need // 8
+    split_slack = 2 + need // 12
 
-    def cost(signatures: float, segments: int) -> float:
-        return signatures * (1 + 64 * 4.0 ** -(low * percent / 100 / segments))
+    def cost(signatures: float, shingles_each: float) -> float:
+        return signatures * (1 + 64 * 4.0**-shingles_each)
 
-    if cost(top + half + half_slack, half + half_slack) < cost(exact, exact):
-        return half + half_slack, half_slack, True
-    return exact, slack, False
+    smallest = low * percent / 100
+    whole = cost(top + need + whole_slack, smallest / (need + whole_slack) - 1)
+    split = cost(3 * (need + split_slack), smallest * 2 / 3 / (need + split_slack))
+    return (need + whole_slack, whole_slack, 1) if whole < split else (need + split_slack, split_slack, 3)
 
 
 def signatures(keys: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,36 +133,60 @@ def _sign(keys, first, which, band, percent, found) -> None:
             found.append((scan.mix(token + salt[item]), which[item]))
             return
         plans = {b: plan_of(int(b), percent) for b in np.unique(band)}
-        m = np.array([plans[b][0] for b in band])
-        slack = np.array([plans[b][1] for b in band])
-        deletion = np.array([plans[b][2] for b in band])
+        m, slack, parts = (np.array([plans[b][i] for b in band]) for i in range(3))
         base = np.cumsum(m) - m
         at = scan.mix(token ^ salt[item])
-        segment = base[item] + (((at >> _U(32)) * m[item].astype(_U)) >> _U(32)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
-        segment, value, item = segment[order], scan.mix(at + _U(0x632BE59BD9B4E019))[order], item[order]
-        heads = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
-        size = np.diff(np.append(heads, len(segment)))
-        total = np.add.reduceat(value, heads)
-        owner = item[heads]
-        place = salt[owner] + (segment[heads] - base[owner]).astype(_U) * _U(0x9E6C63D0876A9A47)
-        found.append((scan.mix(total ^ scan.mix(place)), which[owner]))
-        wide = np.repeat(deletion[owner] & (size > 1), size)
-        if wide.any():
-            less = np.repeat(total, size)[wide] - value[wide]
-            found.append((scan.mix(less ^ scan.mix(np.repeat(place, size)[wide])), which[item[wide]]))
-        strong = np.bincount(owner[size > np.where(deletion[owner], 1, 0)], minlength=len(which))
-        again = m - strong > slack
+        cells = m * np.maximum(parts, 1)
+        cell = (((at >> _U(32)) * cells[item].astype(_U)) >> _U(32)).astype(np.int64)  # the segment in its set
+        value = scan.mix(at + _U(0x632BE59BD9B4E019))
+        split = parts[item] == 3
+        weak = np.zeros(len(which), np.int64)
+        for kind in (False, True):
+            rows = np.flatnonzero(split == kind)
+            if not len(rows):
+                continue
+            width = 3 if kind else 1
+            place = base[item[rows]] * width + cell[rows]
+            order = np.argsort(place, kind="stable")
+            rows, place = rows[order], place[order]
+            heads = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            size = np.diff(np.append(heads, len(place)))
+            owner = item[rows[heads]]
+            group = cell[rows[heads]] // width
+            mark = scan.mix(salt[owner] + group.astype(_U) * _U(0x9E6C63D0876A9A47))
+            total = np.add.reduceat(value[rows], heads)
+            if kind:
+                where, row = np.unique(base[owner] + group, return_inverse=True)
+                sums = np.zeros((len(where), 3), _U)
+                sums[row, cell[rows[heads]] % 3] = total
+                marks, owners = np.empty(len(where), _U), np.empty(len(where), np.int64)
+                marks[row], owners[row] = mark, owner
+                full = sums != 0
+                for i, j in ((0, 1), (0, 2), (1, 2)):
+                    signed = full[:, i] | full[:, j]
+                    found.append((scan.mix(scan.mix(sums[signed, i] + _U(i + 1)) + sums[signed, j] * _U(2 * j + 1) + marks[signed]), which[owners[signed]]))
+                strong = np.bincount(owners[full.sum(axis=1) > 1], minlength=len(which))
+            else:
+                found.append((scan.mix(total ^ mark), which[owner]))
+                wide = np.repeat((parts[owner] == 1) & (size > 1), size)
+                if wide.any():
+                    less = np.repeat(total, size)[wide] - value[rows][wide]
+                    found.append((scan.mix(less ^ np.repeat(mark, size)[wide]), which[item[rows[wide]]]))
+                strong = np.bincount(owner[(size > 1) | (parts[owner] == 0)], minlength=len(which))
+            mine = np.isin(parts, (3,) if kind else (0, 1))
+            weak[mine] = (m - strong)[mine]
+        again = weak > slack
         which, band = which[again], band[again]
 
 
-_SENT = "shard int, part binary"
-_MET = "kind int, a long, b long, members binary"
+_SENT = "shard int, part binary, sketches binary"
+_MET = "kind int, a long, b long, raw binary"
 
 
 def _send(shards: int, size: int, percent: int):
     def flush(held: list) -> pa.RecordBatch:
         doc, n, one, two = (np.concatenate(x) for x in zip(*[h[:4] for h in held]))
+        sketches = np.concatenate([h[6] for h in held])
         order = np.lexsort((doc, two, one))
         same = np.zeros(len(order), bool)
         same[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (n[order][1:] > 0)
@@ -174,7 +204,8 @@ def _send(shards: int, size: int, percent: int):
         sig, who = sig[order], who[order]
         rows = [(s, pack(np.stack([sig[a:b], who[a:b].view(_U)]).reshape(-1))) for s, a, b in cuts(sig, shards)]
         rows.append((-1 - int(one[0] % _U(shards)), pack(np.stack([doc, n, kin]).reshape(-1).view(_U))))
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["shard", "part"])
+        extra = [None] * (len(rows) - 1) + [pack(sketches.reshape(-1))]
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary()), pa.array(extra, pa.binary())], names=["shard", "part", "sketches"])
 
     def go(batches):
         held, weight = [], 0
@@ -190,7 +221,8 @@ def _send(shards: int, size: int, percent: int):
                     for at, salt in enumerate((_U(0x8CB92BA72F3D8DD7), _U(0xAB5F6C1D2E3F4A5B))):
                         sums[at][some] = np.add.reduceat(scan.mix(keys + salt), first[:-1][some])
                 sig, row = signatures(keys, first, percent)
-                held.append((doc[a:b], n, *sums, sig, row))
+                bins = np.bincount(np.repeat(np.arange(b - a), n) * BINS + (keys % _U(BINS)).astype(np.int64), minlength=(b - a) * BINS)
+                held.append((doc[a:b], n, *sums, sig, row, np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)))
             weight += len(data)
             if held and weight >= BLOCK_BYTES:
                 yield flush(held)
@@ -201,17 +233,33 @@ def _send(shards: int, size: int, percent: int):
     return go
 
 
-def _table(kind, a, b, members=None) -> pa.Table:
-    n = len(a)
-    return pa.table({"kind": pa.array(np.full(n, kind), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "members": pa.array(members or [None] * n, pa.binary())})
+def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that edges (u, v) lead to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        before = label.copy()
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+        np.minimum.at(label, before[u], low)
+        np.minimum.at(label, before[v], low)
+        label = label[label]
+        if np.array_equal(label, before):
+            return label
+
+
+def _table(kind, a, b, raw=None) -> pa.Table:
+    return pa.table({"kind": pa.array(np.full(len(a), kind), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "raw": pa.array(raw or [None] * len(a), pa.binary())})
 
 
 def _meet(shard: pa.Table) -> pa.Table:
-    """kind 0: candidate pair a < b; kind 1: document a has b shingles; kind 2: members of a large bucket; kind 3: a and b are the same set."""
+    """kind 0: candidates a < b; kind 1: document a has b shingles and a sketch; kind 2: members of a large bucket; kind 3: a and b are the same set."""
     parts = [unpack(p.as_py(), _U) for p in shard["part"]]
     if shard["shard"][0].as_py() < 0:
         doc, n, kin = np.concatenate([p.reshape(3, -1) for p in parts], axis=1).view(np.int64)
-        return pa.concat_tables([_table(1, doc, n), _table(3, doc[doc != kin], kin[doc != kin])])
+        sketches = np.concatenate([unpack(x.as_py(), np.uint8) for x in shard["sketches"]]).tobytes()
+        raw = [sketches[i : i + BINS] for i in range(0, len(sketches), BINS)]
+        return pa.concat_tables([_table(1, doc, n, raw), _table(3, doc[doc != kin], kin[doc != kin])])
     sig, who = np.concatenate([p.reshape(2, -1) for p in parts], axis=1)
     who = who.view(np.int64)
     order = np.lexsort((who, sig))
@@ -227,59 +275,117 @@ def _meet(shard: pa.Table) -> pa.Table:
             for j in range(i + 1, k):
                 a.append(rows[:, i])
                 b.append(rows[:, j])
-    lists = {}
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+    lists = set()
     for h, k in zip(heads[n > ALL_PAIRS], n[n > ALL_PAIRS]):
-        members = who[h : h + k]
-        lists[members.tobytes()] = members
-    for members in lists.values():
-        a.append(np.full(len(members) - 1, members[0]))
-        b.append(members[1:])
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if sum(map(len, a)) else np.zeros((2, 0), np.int64)
+        blocks = [who[i : min(i + LIST, h + k)] for i in range(h, h + k, LIST)]
+        lists |= {blocks[0].tobytes()} if len(blocks) == 1 else {np.append(x, y).tobytes() for i, x in enumerate(blocks) for y in blocks[i + 1 :]}
     zero = np.zeros(len(lists), np.int64)
-    return pa.concat_tables([_table(0, *pairs), _table(2, zero, zero, [pack(x) for x in lists.values()])])
+    return pa.concat_tables([_table(0, *pairs), _table(2, zero, zero, sorted(lists))])
 
 
 def _opened(batches):
     for batch in batches:
-        bucket = batch.column("bucket").to_pylist()
-        for b, raw in zip(bucket, batch.column("members").to_pylist()):
-            x = unpack(raw, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), b), pa.int64()), pa.array(x, pa.int64())], names=["bucket", "doc"])
+        raw = batch.column("raw").to_pylist()
+        lists = [np.frombuffer(x, np.int64) for x in raw]
+        for i in range(0, len(lists), 100):
+            n = [len(x) for x in lists[i : i + 100]]
+            g = np.repeat(batch.column("g").to_numpy(zero_copy_only=False)[i : i + 100], n)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(np.concatenate(lists[i : i + 100]), pa.int64())], names=["g", "doc"])
+
+
+def _sift(percent: int):
+    """One edge (u, v) for each text that pairs within the sketch bound connect, over the buckets (g) of a lot."""
+
+    def go(lot: pa.Table) -> pa.Table:
+        g = lot["g"].to_numpy()
+        order = np.argsort(g, kind="stable")
+        g, doc, n = g[order], lot["doc"].to_numpy()[order], lot["n"].to_numpy()[order]
+        sketch = np.frombuffer(b"".join(lot["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)[order].astype(np.int16)
+        heads = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        size = np.diff(np.append(heads, len(g)))
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def keep(i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> None:
+            near = distance * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
+            u.append(i[near])
+            v.append(j[near])
+
+        two = heads[size == 2]
+        for i in np.array_split(two, len(two) // 10_000 + 1):
+            keep(i, i + 1, np.abs(sketch[i] - sketch[i + 1]).sum(axis=1))
+        for h, k in zip(heads[size > 2], size[size > 2]):
+            for i in range(h, h + k - 1):
+                j = np.arange(i + 1, h + k)
+                keep(np.full(len(j), i), j, np.abs(sketch[j] - sketch[i]).sum(axis=1))
+        ids, at = np.unique(doc, return_inverse=True)
+        label = _labels(len(ids), at[np.concatenate(u)], at[np.concatenate(v)])
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"u": pa.array(ids[moved], pa.int64()), "v": pa.array(ids[label[moved]], pa.int64())})
+
+    return go
+
+
+def candidates(met: DataFrame, lots: int, percent: int) -> DataFrame:
+    """Edges (u, v) that connect what pairs within the sketch bound connect."""
+    pairs = met.filter("kind = 0").select("a", "b").distinct().withColumn("g", F.xxhash64("a", "b"))
+    pairs = pairs.select("g", F.explode(F.array("a", "b")).alias("doc"))
+    lists = met.filter("kind = 2").select("raw").distinct().select(F.xxhash64("raw").alias("g"), "raw").mapInArrow(_opened, "g long, doc long")
+    sketches = met.filter("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("raw").alias("sketch"))
+    rows = pairs.unionByName(lists).join(sketches, "doc").withColumn("lot", F.pmod("g", F.lit(lots)))
+    return rows.groupBy("lot").applyInArrow(_sift(percent), "u long, v long").distinct()
 
 
 def _verify(size: int, percent: int):
+    """Links within a block, or between two: one edge (u, v) for each text that they connect."""
+
     def check(group: pa.Table) -> pa.Table:
         data, offsets = scan.buffers(group["text"])
         keys, first = shingles(data, offsets, size)
         n = np.diff(first)
         doc = group["doc"].to_numpy()
-        hub = int(np.flatnonzero(group["hub"].to_numpy(zero_copy_only=False))[0])
-        mine = keys[first[hub] : first[hub + 1]]
-        at = np.searchsorted(mine, keys)
-        common = np.zeros(len(keys), np.int64)
-        if len(mine):
-            common = (mine[np.minimum(at, len(mine) - 1)] == keys).astype(np.int64)
-        shared = np.diff(np.append(0, np.cumsum(common))[first])
-        union = n + len(mine) - shared
-        ok = (100 * shared >= percent * union) & (n > 0) & (doc != doc[hub])
-        return pa.table({"u": np.full(int(ok.sum()), doc[hub]), "v": doc[ok]})
+        block = group["block"].to_numpy()
+        both = bool((block != block[0]).any())
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.argsort(keys, kind="stable")
+        sorted_keys, owner_of = keys[order], owner[order]
+        head = np.append(True, sorted_keys[1:] != sorted_keys[:-1]) if len(keys) else np.zeros(0, bool)
+        heads = np.flatnonzero(head)
+        df = np.diff(np.append(heads, len(keys)))
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.cumsum(head) - 1
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(len(n)):
+            token = number[first[d] : first[d + 1]]
+            token = token[df[token] > 1]
+            if not len(token):
+                continue
+            length = df[token]
+            at = np.repeat(heads[token] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            common = np.bincount(owner_of[at], minlength=len(n))
+            common[d:] = 0  # the later text looks at the earlier ones
+            near = np.flatnonzero(100 * common >= percent * (n + n[d] - common))
+            near = near[common[near] > 0]
+            if both:
+                near = near[block[near] != block[d]]
+            u.append(np.full(len(near), d))
+            v.append(near)
+        label = _labels(len(n), np.concatenate(u), np.concatenate(v))
+        moved = np.flatnonzero(label != np.arange(len(n)))
+        return pa.table({"u": pa.array(doc[moved], pa.int64()), "v": pa.array(doc[label[moved]], pa.int64())})
 
     return check
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links, as (u, v). Pairs of one a are dealt out SALT at a time, each lot with a's text."""
-    lots = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SALT)).alias("lot")).checkpoint()
-    ids = lots.select(F.col("a").alias("doc")).unionByName(lots.select(F.col("b").alias("doc"))).distinct()
-    some = member_filter(texts, "doc", ids, "doc")
-    spokes = lots.join(some, lots.b == some.doc).select("a", "lot", "doc", "text", F.lit(False).alias("hub"))
-    hubs = lots.select("a", "lot").distinct().join(some, F.col("a") == some.doc).select("a", "lot", "doc", "text", F.lit(True).alias("hub"))
-    return spokes.unionByName(hubs).groupBy("a", "lot").applyInArrow(_verify(size, percent), "u long, v long").distinct()
-
-
-def _near_in_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    x = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb")), "b")
-    return x.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
+def verified(edges: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (u, v) that connect what links connect, among the clusters of edges (u, v)."""
+    clusters = components(edges).join(sizes, F.col("node") == F.col("doc")).select("doc", "n", "component").checkpoint()
+    blocks = clusters.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = clusters.join(blocks, "component").select("doc", "component", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
+    some = member_filter(texts, "doc", clusters, "doc")
+    rows = some.join(placed, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return rows.select("component", "i", "j", "doc", "block", "text").groupBy("component", "i", "j").applyInArrow(_verify(size, percent), "u long, v long")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -299,22 +405,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     info = met.filter("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("n"))
     sizes = info.groupBy("doc").agg(F.max("n").alias("n"))
     same = met.filter("kind = 3").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    pairs = met.filter("kind = 0").select("a", "b").distinct().checkpoint()
-    links = verified(_near_in_size(pairs, sizes, percent), named, size, percent).checkpoint()
-    release(spark)
+    links = verified(candidates(met, 8 * shards, percent), named, sizes, size, percent)
     found = components(links.unionByName(same))
-    buckets = met.filter("kind = 2").select(F.monotonically_increasing_id().alias("bucket"), "members")
-    if buckets.take(1):
-        found = found.checkpoint()
-        members = buckets.mapInArrow(_opened, "bucket long, doc long")
-        members = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
-        split = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
-        open_ = members.join(split, "bucket").checkpoint()
-        other = open_.select("bucket", F.col("doc").alias("b"), F.col("component").alias("other"))
-        more = open_.withColumnRenamed("doc", "a").join(other, "bucket").filter("a < b AND component != other").select("a", "b").distinct()
-        more = _near_in_size(more.join(pairs, ["a", "b"], "left_anti"), sizes, percent).checkpoint()
-        if more.take(1):
-            found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verified(more, named, size, percent)))
+    release(spark)
     counted = x.filter(F.col("doc").isNull()).mapInArrow(_count(size), "doc long, n long")
     return info.join(found, F.col("doc") == F.col("node"), "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component")).unionByName(
         counted.select("doc", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"))
