@@ -24,13 +24,21 @@ OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 MAX_ROUNDS = 40
 
 
+#: What stands for a backslash, # and < inside a text. Every backslash of an escaped text starts one of these.
+ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"))
+
+
 def escape(text: Column) -> Column:
-    """Backslashes are doubled first; then # and < carry one, so no mark can start inside a text."""
-    return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("#"), F.lit("\\#")), F.lit("<"), F.lit("\\<"))
+    """No mark can stand inside an escaped text, as none of its # and < are left."""
+    for plain, coded in ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(coded))
+    return text
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\#<])", "$1")
+    for plain, coded in reversed(ESCAPES):
+        text = F.replace(text, F.lit(coded), F.lit(plain))
+    return text
 
 
 def title(role: Column) -> Column:
@@ -154,7 +162,7 @@ def op8_chat_formatting(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, t, CASE WHEN t = 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) AS x(t)),
-e AS (SELECT *, '### ' || upper(left(role, 1)) || substr(role, 2) || ': ' || replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<') || '</turn>' || chr(10) AS f FROM r)
+e AS (SELECT *, '### ' || upper(left(role, 1)) || substr(role, 2) || ': ' || replace(replace(replace(text, '\', '\b'), '#', '\h'), '<', '\l') || '</turn>' || chr(10) AS f FROM r)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
