@@ -139,3 +139,37 @@ def drop_dtw(cost: np.ndarray, drop: float) -> tuple[float, list[tuple[int, int]
         j -= move[i, j] == 1
         i -= 1
     return float(best[n, m]), pairs[::-1]
+
+
+def memory_gate(rows: pd.DataFrame, score: str, overlap: str, contested: str, area: str, least_score: float = 0.5, least_overlap: float = 0.6, most_contested: float = 0.3, warm: int = 3, jump: float = 2.0) -> list[str]:
+    """The first reason against trusting each row, or ok. The area history that a jump is measured against takes trusted rows only."""
+    history: list[float] = []
+    out = []
+    for s, o, c, a in rows[[score, overlap, contested, area]].itertuples(index=False):
+        middle = float(np.median(history[-15:])) if history else None
+        if not s >= least_score:
+            reason = "low_score"
+        elif not o >= least_overlap:
+            reason = "low_overlap"
+        elif c > most_contested:
+            reason = "contested"
+        elif len(history) < warm:
+            reason = "warmup"
+        elif middle and not (1 / jump <= a / middle <= jump):
+            reason = "area_jump"
+        else:
+            reason = "ok"
+        if reason in ("ok", "warmup"):
+            history.append(float(a))
+        out.append(reason)
+    return out
+
+
+def gated(df: DataFrame, keys: list[str], order: str, score: str, overlap: str, contested: str, area: str, **limits: float) -> DataFrame:
+    schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), f"{order} long, reason string"])
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        return rows[[*keys, order]].assign(reason=memory_gate(rows, score, overlap, contested, area, **limits))
+
+    return df.select(*keys, order, score, overlap, contested, area).groupBy(*keys).applyInPandas(one, schema)

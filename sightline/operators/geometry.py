@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def triangulate(cameras: np.ndarray, points: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
@@ -46,20 +47,26 @@ def fit_line(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     return centre, vt[0], float(np.sqrt((s[1:] ** 2).sum() / len(points)))
 
 
-def triangulated(df: DataFrame, keys: list[str], most: float = 15.0) -> DataFrame:
-    """keys, x, y, z, views, worst: rows hold camera (array of 12, row by row), u, v and view. Fewer than two views give no row."""
-    schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "x double, y double, z double, views int, worst double"])
+def triangulated(df: DataFrame, keys: list[str], most: float = 15.0, lots: int = 64) -> DataFrame:
+    """keys, x, y, z, views, worst: rows hold camera (array of 12, row by row), u, v and view. Fewer than two views give no row.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("view")
-        if len(rows) < 2:
-            return pd.DataFrame(columns=[*keys, "x", "y", "z", "views", "worst"])
-        cameras = np.stack([np.array(c, float).reshape(3, 4) for c in rows["camera"]])
-        points = rows[["u", "v"]].to_numpy(float)
-        found, kept = without_outlier(cameras, points, most)
-        return pd.DataFrame([{**{k: rows[k].iloc[0] for k in keys}, "x": found[0], "y": found[1], "z": found[2], "views": len(kept), "worst": residuals(cameras[kept], points[kept], found).max()}])
+    Groups are small, so they are dealt into lots and worked through a lot at a time.
+    """
+    names = [*keys, "x", "y", "z", "views", "worst"]
+    schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "x double, y double, z double, views int, worst double"])
 
-    return df.select(*keys, "view", "camera", "u", "v").groupBy(*keys).applyInPandas(one, schema)
+    def lot(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, part in rows.sort_values([*keys, "view"]).groupby(keys, sort=False, dropna=False):
+            if len(part) >= 2:
+                cameras = np.stack(part["camera"].to_list()).astype(float).reshape(-1, 3, 4)
+                points = part[["u", "v"]].to_numpy(float)
+                found, kept = without_outlier(cameras, points, most)
+                out.append((*key, *found, len(kept), residuals(cameras[kept], points[kept], found).max()))
+        return pd.DataFrame(out, columns=names)
+
+    x = df.select(*keys, "view", "camera", "u", "v").withColumn("_lot", F.pmod(F.xxhash64(*keys), F.lit(lots)))
+    return x.groupBy("_lot").applyInPandas(lot, schema)
 
 
 def fuse_boxes(boxes: np.ndarray, scores: np.ndarray, least: float = 0.55) -> list[tuple[np.ndarray, float]]:
