@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.native import lower_ascii, table
+from sightline.llm.native import lower_ascii, shared_checkpoints, table
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -53,14 +53,16 @@ def _segments(path: Column) -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """pages with host, path and template. Levels are generalised from the host down over grouped templates."""
     x = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("segments", _segments(F.col("path")))
+    shared_checkpoints(pages.sparkSession)
     tree = x.select("host", "segments").distinct().withColumn("shape", F.array().cast("array<string>"))
     for level in range(DEPTH):
+        tree = tree.checkpoint()  # each level reads the one before twice
         at = F.get("segments", F.lit(level))
         wide = tree.filter(at.isNotNull()).groupBy("host", "shape").agg((F.approx_count_distinct(at, 0.02) > FAN).alias("wide"))
         tree = tree.join(wide, ["host", "shape"], "left").select(
             "host", "segments", F.when(at.isNull(), F.col("shape")).otherwise(F.concat("shape", F.array(F.when(F.col("wide"), "*").otherwise(at)))).alias("shape")
         )
-    tree = tree.select("host", "segments", F.array_join("shape", "/").alias("template"))
+    tree = tree.select("host", "segments", F.array_join("shape", "/").alias("template")).checkpoint()
     return x.join(tree, ["host", "segments"], "left").drop("segments")
 
 
@@ -77,7 +79,7 @@ def verdicts(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, pag
     known = x.join(labels, "page", "left")
     bad = F.sum(F.when(F.col("bad"), 1).otherwise(0))
     leaves = known.groupBy("host", "template").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), bad.alias("bad"))
-    leaves = leaves.withColumn("parent", F.regexp_replace("template", r"/[^/]*$", ""))
+    leaves = leaves.withColumn("parent", F.regexp_replace("template", r"/[^/]*$", "")).checkpoint()
     near = leaves.groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("bad").alias("pbad"))
     hosts = leaves.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("bad").alias("hbad"))
     every = leaves.agg(F.sum("n").alias("an"), F.sum("bad").alias("abad"))
@@ -87,7 +89,7 @@ def verdicts(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, pag
     z = F.try_divide(F.abs(F.try_divide(F.col("bad"), F.col("n")) - F.try_divide(x_bad, x_n)), spread)
     apart = (F.col("n") > 0) & (x_n > 0) & (pooled > 0) & (pooled < 1) & (z > Z)
     tree = leaves.join(near, ["host", "parent"]).join(hosts, "host").join(F.broadcast(every))  # every is one row
-    tree = tree.withColumn("apart", F.coalesce(apart, F.lit(False)))
+    tree = tree.withColumn("apart", F.coalesce(apart, F.lit(False))).checkpoint()
     rest = tree.filter(~F.col("apart")).groupBy("host", "parent").agg(F.sum("n").alias("rn"), F.sum("bad").alias("rbad"))
     tree = tree.join(rest, ["host", "parent"], "left")
     n = F.when(F.col("apart"), F.col("n")).otherwise(F.col("rn"))
