@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from sightline.llm import scan
 from sightline.llm.components import components
 from sightline.llm.exchange import cuts, pack, release, unpack
-from sightline.llm.native import member_filter, shared_checkpoints, table, text_of
+from sightline.llm.native import member_filter, shared_checkpoints, small_batches, table, text_of
 
 GROWTH = 1.5
 ROUNDS = 3
@@ -397,6 +397,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
+    small_batches(spark)
     x = docs.select(F.col(doc_id).cast("long").alias("doc"), text_of(text).alias("text"))
     named = x.filter(F.col("doc").isNotNull())
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -37,6 +37,13 @@ def shared_checkpoints(spark) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def small_batches(spark, rows: int = 2000) -> None:
+    """Whole texts go to Python in batches of at most so many rows; a smaller setting of the session stands."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def member_filter(rows: DataFrame, key: str, members: DataFrame, member: str, wanted: bool = True, most_bits: int = 1 << 23) -> DataFrame:
     """Rows whose key may be among the members, or with wanted=False the rest, whose keys surely aren't.
 

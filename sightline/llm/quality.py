@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import scan
 from sightline.llm.exchange import pack, unpack
-from sightline.llm.native import shared_checkpoints, table, text_of
+from sightline.llm.native import shared_checkpoints, small_batches, table, text_of
 
 SLOTS = 1 << 18
 SLICES = 16
@@ -187,6 +187,7 @@ class Classifier:
     def __init__(self, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS):
         spark = docs.sparkSession
         shared_checkpoints(spark)
+        small_batches(spark)
         kind = F.when(F.col("toxic") == 1, 3).when(F.col("quality") == 0, 2).when((F.col("quality") == 1) & (F.col("toxic") == 0), 1)
         y = labels.select(F.col("doc_id").alias("doc"), kind.alias("kind")).filter(F.col("doc").isNotNull() & F.col("kind").isNotNull())
         y = y.groupBy("doc").agg(F.max("kind").alias("kind")).withColumn("h", F.xxhash64("doc")).orderBy("h", "doc").limit(max_labels)

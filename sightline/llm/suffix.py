@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from sightline.llm import scan
 from sightline.llm.exchange import cuts, pack, unpack
-from sightline.llm.native import member_filter, shared_checkpoints, table, text_of
+from sightline.llm.native import member_filter, shared_checkpoints, small_batches, table, text_of
 
 SIZE = 200
 RUN = 73
 SPREAD = SIZE - RUN + 1  # runs in a window; a power of two
-BLOCK_BYTES = 48 << 20
-RANGE_BYTES = 12 << 20
+BLOCK_BYTES = 16 << 20
+RANGE_BYTES = 3 << 20
 _U = np.uint64
 _PLACE = _U((1 << 20) - 1)
 
@@ -120,7 +120,7 @@ def _scan(shards: int):
 
     def go(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
             data, offsets = scan.buffers(batch.column("text"))
             s = stretches(data, offsets)
             doc = batch.column("doc").to_numpy(zero_copy_only=False)[s["doc"]]
@@ -161,7 +161,7 @@ def _meet(shard: pa.Table) -> pa.Table:
 
 def _bytes_of(batches):
     """The bytes of each partial stretch, with the tokens that lead its anchor suffix."""
-    for batch in batches:
+    for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
         data, offsets = scan.buffers(batch.column("text"))
         lists = batch.column("parts")
         rows = lists.flatten()
@@ -283,6 +283,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
+    small_batches(spark)
     x = _rows(docs, doc_id, text)
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = x.mapInArrow(_scan(shards), _SENT).groupBy("shard").applyInArrow(_meet, _FOUND).checkpoint()
@@ -315,7 +316,7 @@ def _left(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _cut(batches):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    for batch in batches:
+    for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
         data, offsets = scan.buffers(batch.column("text"))
         raw = data.tobytes()
         spans = [_merged(s) for s in batch.column("spans").to_pylist()]
@@ -361,7 +362,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def cut(batches):
         at = names.index(text)
-        for batch in batches:
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
             data, offsets = scan.buffers(batch.column(at))
             raw = data.tobytes()
             columns = list(batch.columns[: len(names)])
