@@ -1,19 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source with weight w = n / PERIOD owns block i from slot floor(i / w) on and must get it out before slot
-ceil((i + 1) / w). One slot a block, earliest deadline first: every deadline is met, and after any number of slots a
-source is less than one block away from its weight. Weights are whole numbers of slots a period, so one
-period is scheduled once and every later block repeats it; no task walks the whole schedule.
+A source with weight w (its target over the sum of all targets, an exact fraction) owns block i from slot floor(i / w) on
+and must get it out before slot ceil((i + 1) / w). One slot a block, earliest deadline first: every deadline is met,
+and after any number of slots a source that has blocks left is less than one block away from its weight. The driver
+schedules the blocks that there are, one step and 28 bytes for each; no task walks the schedule.
 
-When a source has no blocks left its slots fall away and the others keep their order, so no document is
-dropped.
+When a source has no blocks left the others go on within their own windows, so no document is dropped.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +26,7 @@ from sightline.llm.native import table
 PERIOD = 1000
 BLOCK = 64
 BUCKET_ROWS = 20_000
+BROADCAST_BLOCKS = 100_000
 
 
 def slots_of(weights: dict, period: int = PERIOD) -> dict:
@@ -39,21 +43,72 @@ def slots_of(weights: dict, period: int = PERIOD) -> dict:
     return out
 
 
-def schedule(slots: dict) -> dict:
-    """{(source, i): (slot, release, deadline)} of one period, earliest deadline first."""
-    period = sum(slots.values())
-    order = sorted(slots, key=str)
-    waiting = sorted((i * period // slots[s], -(-(i + 1) * period // slots[s]), k, i) for k, s in enumerate(order) for i in range(slots[s]))
+def exact(weight) -> Fraction:
+    """A float counts as the decimal number that it is written as: 0.1 is a tenth."""
+    return Fraction(str(weight))
+
+
+def shares(weights: dict) -> dict:
+    """{source: exact share} of the sources with a weight above 0; the shares add up to 1."""
+    live = {s: exact(w) for s, w in weights.items() if w > 0}
+    total = sum(live.values())
+    return {s: w / total for s, w in live.items()}
+
+
+def walk(weights: dict, blocks: dict):
+    """(source, i, slot, release, deadline) of blocks[source] blocks of each source by slot, earliest deadline first. weights are exact and add up to 1.
+
+    A slot in which no source that has blocks left may have one stays empty and costs nothing.
+    """
+    order = sorted(weights, key=str)
+    parts = [(weights[s].numerator, weights[s].denominator) for s in order]
+    coming = [(0, k, 0) for k, s in enumerate(order) if blocks[s]]
     ready: list = []
-    out, at = {}, 0
-    for slot in range(period):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            release, deadline, k, i = waiting[at]
-            heapq.heappush(ready, (deadline, k, i, release))
-            at += 1
+    slot = 0
+    while coming or ready:
+        if not ready:
+            slot = max(slot, coming[0][0])
+        while coming and coming[0][0] <= slot:
+            release, k, i = heapq.heappop(coming)
+            n, d = parts[k]
+            heapq.heappush(ready, (-(-(i + 1) * d // n), k, i, release))
+            if i + 1 < blocks[order[k]]:
+                heapq.heappush(coming, ((i + 1) * d // n, k, i + 1))
         deadline, k, i, release = heapq.heappop(ready)
-        out[order[k], i] = (slot, release, deadline)
-    return out
+        yield order[k], i, slot, release, deadline
+        slot += 1
+
+
+def schedule(slots: dict) -> dict:
+    """{(source, i): (slot, release, deadline)} of one period, earliest deadline first."""
+    return {(s, i): (slot, release, deadline) for s, i, slot, release, deadline in walk(shares(slots), slots)}
+
+
+def _plan(spark, weights: dict, blocks: dict, block: int) -> DataFrame:
+    """A row for each block. Sources without a weight come after all others and take turns, one block a slot."""
+    order = sorted(blocks, key=str)
+    number = {s: k for k, s in enumerate(order)}
+    keys, columns = array("i"), [array("q") for _ in range(4)]
+    last = 0
+    for s, *x in walk(weights, blocks):
+        last = x[1] + 1
+        if x[3] * block >= 2**62:
+            raise ValueError(f"the weight of source {s[1:]!r} is too small: its places don't fit 64 bits")
+        keys.append(number[s])
+        for c, v in zip(columns, x):
+            c.append(v)
+    late = [s for s in order if s not in weights]
+    for i in range(max((blocks[s] for s in late), default=0)):
+        for s in late:
+            if i < blocks[s]:
+                keys.append(number[s])
+                for c, v in zip(columns, (i, last, last, last + 1)):
+                    c.append(v)
+                last += 1
+    names = pa.DictionaryArray.from_arrays(pa.array(np.array(keys, np.int32)), pa.array(order, pa.string())).cast(pa.string())
+    made = pa.table([names, *(pa.array(np.array(c, np.int64)) for c in columns)], names=["_key", "_block", "_s", "_r", "_d"])
+    plan = spark.createDataFrame(made) if len(made) else spark.createDataFrame([], "_key string, _block long, _s long, _r long, _d long")
+    return F.broadcast(plan) if len(made) <= BROADCAST_BLOCKS else plan  # counted
 
 
 def default_weights(counts: dict) -> dict:
@@ -66,8 +121,9 @@ def mix(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", so
 
     A null source is a source of its own. A source that weights leaves out, or gives 0, is put after all
     others. Documents of one source stand in the order of the MD5 of their id. Repeated rows all stay. The
-    number of sources must fit the driver; documents of a source are ranked in buckets, so a source may hold
-    any share of the rows.
+    number of sources and the schedule of blocks must fit the driver; documents of a source are ranked in
+    buckets, so a source may hold any share of the rows. Weights are taken as they are: period has no effect
+    and stands for callers that still give one.
     """
     own = [f"mix_{c}" for c in ("weight", "block", "release", "deadline", "slot", "position")]
     x = docs.drop(*own)
@@ -79,30 +135,19 @@ def mix(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", so
     digits = round(math.log(buckets, 16))
     x = x.withColumn("_bucket", F.substring("_hash", 1, digits))
     given = default_weights(counts) if weights is None else {("n" if s is None else f"s{s}"): w for s, w in weights.items()}
-    slots = slots_of({s: given.get(s, 0) for s in counts}, period)
-    length = sum(slots.values())
-    last = max((-(-n // block) * length // slots[s] + length for s, n in counts.items() if s in slots), default=0)
-    made = [(s, n, i, slot, release, deadline) for (s, i), (slot, release, deadline) in schedule(slots).items() for n in [slots[s]]]
-    late = [(s, 1, 0, 0, 0, 1) for s in counts if s not in slots]  # after all the others, one block a slot
-    spark = docs.sparkSession
-    plan = spark.createDataFrame([*made, *late], "_key string, _n int, _i int, _s int, _r int, _d int")
-    sizes = plan.groupBy("_key").agg(F.max("_n").alias("_n"))
+    target = shares({s: given.get(s, 0) for s in counts})
+    plan = _plan(docs.sparkSession, target, {s: -(-n // block) for s, n in counts.items()}, block)
+    sizes = docs.sparkSession.createDataFrame([(s, float(target.get(s, 0))) for s in counts], "_key string, _w double")
     starts = x.groupBy("_key", "_bucket").agg(F.count("*").alias("_c"))
     before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("_key", "_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_key", "_bucket").orderBy("_hash", doc_id, *(c for c in names if c != doc_id and x.schema[c].dataType.simpleString() in ("string", "bigint", "int")))
     x = x.withColumn("_rank", F.row_number().over(within) - 1).join(starts, ["_key", "_bucket"])
     x = x.join(F.broadcast(sizes), "_key").withColumn("_rank", F.col("_rank") + F.col("_before"))  # one row a source
-    x = x.withColumn("_block", F.floor(F.col("_rank") / block)).withColumn("_i", (F.col("_block") % F.col("_n")).cast("int"))
-    x = x.join(F.broadcast(plan.drop("_n")), ["_key", "_i"])  # one row a slot of the period
-    late_keys = [s for s in counts if s not in slots]
-    base = F.floor(F.col("_block") / F.col("_n")) * F.lit(length)
-    if late_keys:
-        base = F.when(F.col("_key").isin(late_keys), F.lit(last) + F.col("_block")).otherwise(base)
-    weight = F.when(F.col("_key").isin(late_keys), 0.0).otherwise(F.col("_n") / F.lit(float(length))) if late_keys else F.col("_n") / F.lit(float(length))
+    x = x.withColumn("_block", F.floor(F.col("_rank") / block)).join(plan, ["_key", "_block"])
     return x.select(
-        *names, weight.alias("mix_weight"), F.col("_block").alias("mix_block"), (base + F.col("_r")).alias("mix_release"), (base + F.col("_d")).alias("mix_deadline"),
-        (base + F.col("_s")).alias("mix_slot"), ((base + F.col("_s")) * block + F.col("_rank") % block).alias("mix_position"),
+        *names, F.col("_w").alias("mix_weight"), F.col("_block").alias("mix_block"), F.col("_r").alias("mix_release"), F.col("_d").alias("mix_deadline"),
+        F.col("_s").alias("mix_slot"), (F.col("_s") * block + F.col("_rank") % block).alias("mix_position"),
     )
 
 

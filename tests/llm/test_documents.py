@@ -339,3 +339,21 @@ def test_schedule_meets_every_deadline():
         plan = mixing.schedule(slots)
         assert sorted(x[0] for x in plan.values()) == list(range(sum(slots.values())))
         assert all(release <= slot < deadline for slot, release, deadline in plan.values())
+
+
+@pytest.mark.parametrize("target", [{"a": 0.5, "b": 0.3, "c": 0.1, "d": 0.1}, {"a": 0.9, "b": 0.1}, {"a": 1, "b": 1e-6}, {"a": 2**0.5, "b": 3**0.5, "c": 0.01}])
+def test_mixing_keeps_the_given_weights(spark, target):
+    rows = [(i, "a" if i % 2 else "bcd"[i // 2 % (len(target) - 1)]) for i in range(9000)] + [(9001, "late"), (9002, "later")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), target, block=1).collect()
+    assert len({x.mix_position for x in out}) == len(out) == 9002
+    live = sorted((x.mix_slot, x.source) for x in out if x.source in target)
+    end = min(max(s for s, n in live if n == m) for m in target)
+    total = sum(mixing.exact(w) for w in target.values())
+    taken = collections.Counter()
+    for slot, (at, source) in enumerate(live[: end + 1]):
+        taken[source] += 1
+        assert at == slot and all(abs(taken[s] - mixing.exact(w) / total * (slot + 1)) < 1 for s, w in target.items())
+    for x in out:
+        if x.source in target:
+            w = mixing.exact(target[x.source]) / total
+            assert (x.mix_release, x.mix_deadline) == (math.floor(x.mix_block / w), math.ceil((x.mix_block + 1) / w)) and x.mix_release <= x.mix_slot < x.mix_deadline
