@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm import scan
@@ -35,6 +35,7 @@ RUN = 73
 SPREAD = SIZE - RUN + 1  # runs in a window; a power of two
 BLOCK_BYTES = 16 << 20
 RANGE_BYTES = 3 << 20
+GROUPS = 4  # shards of hashes for each shuffle partition; a task holds one at a time
 _U = np.uint64
 _PLACE = _U((1 << 20) - 1)
 
@@ -80,42 +81,53 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, n: int, first_doc: int, sh
     return doc[starts] + first_doc, starts + shift, stops - starts, lead, runs[anchor[starts]], whole
 
 
-def _place(start: np.ndarray, length: np.ndarray, lead: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """31 bits of start, 8 each of length - SIZE and lead, 16 of the text's tag, in one key."""
-    return (tag.astype(_U) << _U(47)) | (start.astype(_U) << _U(16)) | ((length - SIZE).astype(_U) << _U(8)) | lead.astype(_U)
+def _place(start: np.ndarray, length: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """31 bits of start, 8 each of length - SIZE and lead, in one key."""
+    return (start.astype(_U) << _U(16)) | ((length - SIZE).astype(_U) << _U(8)) | lead.astype(_U)
 
 
 def _placed(x: np.ndarray):
     x = x.view(_U)
-    return ((x >> _U(16)) & _U((1 << 31) - 1)).astype(np.int64), ((x >> _U(8)) & _U(255)).astype(np.int64) + SIZE, (x & _U(255)).astype(np.int64), (x >> _U(47)).astype(np.int64)
+    return (x >> _U(16)).astype(np.int64), ((x >> _U(8)) & _U(255)).astype(np.int64) + SIZE, (x & _U(255)).astype(np.int64)
+
+
+def _halves(tag: pa.Array) -> np.ndarray:
+    """The two 64-bit halves of each tag, as columns."""
+    return scan.buffers(tag)[0].copy().view(_U).reshape(-1, 2)
+
+
+def _tags(halves: np.ndarray) -> pa.Array:
+    """From two rows of halves."""
+    n = halves.shape[1]
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, np.int32)), pa.py_buffer(np.ascontiguousarray(halves.T))])
 
 
 _SENT = "shard int, part binary"
-_FOUND = "partial boolean, doc long, tag int, start int, stop int, lead int, run long, times long"
-_FOUND_ARROW = pa.schema([("partial", pa.bool_()), ("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("lead", pa.int32()), ("run", pa.int64()), ("times", pa.int64())])
+_FOUND = "partial boolean, doc long, tag binary, start int, stop int, lead int, run long, times long"
+_FOUND_ARROW = pa.schema([("partial", pa.bool_()), ("doc", pa.int64()), ("tag", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("lead", pa.int32()), ("run", pa.int64()), ("times", pa.int64())])
 
 
-def _found(partial: bool, doc, place, run, times) -> pa.RecordBatch:
-    start, length, lead, tag = _placed(place)
+def _found(partial: bool, doc, tag, place, run, times) -> pa.RecordBatch:
+    start, length, lead = _placed(place)
     n = len(start)
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((np.full(n, partial), doc, tag, start, start + length, lead, run.view(np.int64), times), _FOUND_ARROW.types)], schema=_FOUND_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((np.full(n, partial), doc, _tags(tag), start, start + length, lead, run.view(np.int64), times), _FOUND_ARROW.types)], schema=_FOUND_ARROW)
 
 
 def _scan(shards: int):
     """Rows with a negative shard hold what is repeated within the block; the others go to their shard."""
 
     def flush(held: list) -> pa.RecordBatch:
-        run, whole, doc, place = (np.concatenate(x) for x in zip(*held))
+        run, whole, doc, place, tag = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((whole, run))
-        run, whole, doc, place = run[order], whole[order], doc[order], place[order]
+        run, whole, doc, place, tag = run[order], whole[order], doc[order], place[order], tag[order].T
         first = np.ones(len(run), bool)
         first[1:] = (run[1:] != run[:-1]) | (whole[1:] != whole[:-1])
         at = np.flatnonzero(first)
         times = np.diff(np.append(at, len(run)))
         again = np.repeat(times > 1, times)
-        rows = [(s, np.stack([run[at][a:b], whole[at][a:b], doc[at][a:b].view(_U), place[at][a:b], times[a:b].astype(_U)])) for s, a, b in cuts(run[at], shards)]
+        rows = [(s, np.stack([run[at][a:b], whole[at][a:b], doc[at][a:b].view(_U), place[at][a:b], times[a:b].astype(_U), *tag[:, at[a:b]]])) for s, a, b in cuts(run[at], shards)]
         if again.any():
-            rows.append((-1 - int(run[0] % _U(shards)), np.stack([doc[again].view(_U), place[again]])))
+            rows.append((-1 - int(run[0] % _U(shards)), np.stack([doc[again].view(_U), place[again], *tag[:, again]])))
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([pack(x.reshape(-1)) for _, x in rows], pa.binary())], names=["shard", "part"])
 
     def go(batches):
@@ -124,9 +136,9 @@ def _scan(shards: int):
             data, offsets = scan.buffers(batch.column("text"))
             s = stretches(data, offsets)
             doc = batch.column("doc").to_numpy(zero_copy_only=False)[s["doc"]]
-            tag = batch.column("tag").to_numpy(zero_copy_only=False)[s["doc"]]
+            tag = _halves(batch.column("tag"))[s["doc"]]
             if len(doc):
-                held.append((s["run"], s["whole"], doc, _place(s["start"], s["length"], s["lead"], tag)))
+                held.append((s["run"], s["whole"], doc, _place(s["start"], s["length"], s["lead"]), tag))
             size += len(data)
             if held and size >= BLOCK_BYTES:
                 yield flush(held)
@@ -140,11 +152,13 @@ def _scan(shards: int):
 def _meet(shard: pa.Table) -> pa.Table:
     """Stretches repeated as wholes, and one of each kind of the partial ones."""
     if shard["shard"][0].as_py() < 0:
-        out = [_found(False, x[0].view(np.int64), x[1], np.zeros(len(x[0]), _U), np.full(len(x[0]), 2)) for x in (unpack(p.as_py(), _U).reshape(2, -1) for p in shard["part"])]
+        out = [_found(False, x[0].view(np.int64), x[2:], x[1], np.zeros(len(x[0]), _U), np.full(len(x[0]), 2)) for x in (unpack(p.as_py(), _U).reshape(4, -1) for p in shard["part"])]
         return pa.Table.from_batches(out, _FOUND_ARROW)
-    run, whole, doc, place, times = np.concatenate([unpack(p.as_py(), _U).reshape(5, -1) for p in shard["part"]], axis=1)
+    parts = [unpack(p.as_py(), _U).reshape(7, -1) for p in shard["part"]]
+    run, whole, doc, place, times, *tag = (np.concatenate([p[k] for p in parts]) for k in range(7))
+    del parts
     order = np.lexsort((whole, run))
-    run, whole, doc, place, times = (x[order] for x in (run, whole, doc, place, times))
+    run, whole, times = run[order], whole[order], times[order]
     new_run = np.ones(len(run), bool)
     new_run[1:] = run[1:] != run[:-1]
     new = new_run.copy()
@@ -153,9 +167,10 @@ def _meet(shard: pa.Table) -> pa.Table:
     sums = np.add.reduceat(times, at)
     kinds = np.bincount(np.cumsum(new_run)[at] - 1)  # kinds of surroundings of each run
     rows = np.diff(np.append(at, len(run)))
-    full = np.repeat(sums > 1, rows) & (times == 1)  # those repeated within a block are known already
+    full = np.flatnonzero(np.repeat(sums > 1, rows) & (times == 1))  # those repeated within a block are known already
     partial = at[np.repeat(kinds, kinds) > 1]
-    out = [_found(False, doc[full].view(np.int64), place[full], run[full], times[full].astype(np.int64)), _found(True, doc[partial].view(np.int64), place[partial], run[partial], sums[np.repeat(kinds, kinds) > 1].astype(np.int64))]
+    f, p = order[full], order[partial]
+    out = [_found(False, doc[f].view(np.int64), np.stack([x[f] for x in tag]), place[f], run[full], times[full].astype(np.int64)), _found(True, doc[p].view(np.int64), np.stack([x[p] for x in tag]), place[p], run[partial], sums[np.repeat(kinds, kinds) > 1].astype(np.int64))]
     return pa.Table.from_batches(out, _FOUND_ARROW)
 
 
@@ -168,6 +183,7 @@ def _bytes_of(batches):
         n = lists.value_lengths().to_numpy(zero_copy_only=False)
         at = np.repeat(offsets[:-1], n)
         start, stop, lead = (rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "stop", "lead"))
+        tag = np.repeat(_halves(batch.column("tag")), n, axis=0).T
         raw = data.tobytes()
         for i in range(0, len(start), 20_000):
             j = slice(i, i + 20_000)
@@ -176,7 +192,7 @@ def _bytes_of(batches):
                     pa.array([raw[a : a + RUN] for a in (at + start + lead)[j]], pa.binary()),
                     rows.field("run").slice(i, 20_000),
                     pa.array(np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), n)[j], pa.int64()),
-                    pa.array(np.repeat(batch.column("tag").to_numpy(zero_copy_only=False), n)[j], pa.int32()),
+                    _tags(tag[:, j]),
                     rows.field("start").slice(i, 20_000), rows.field("lead").slice(i, 20_000), rows.field("times").slice(i, 20_000),
                     pa.array([raw[a:b] for a, b in zip((at + start)[j], (at + stop)[j])], pa.binary()),
                 ],
@@ -184,7 +200,7 @@ def _bytes_of(batches):
             )
 
 
-_BYTES = "anchor binary, run long, doc long, tag int, start int, lead int, times long, bytes binary"
+_BYTES = "anchor binary, run long, doc long, tag binary, start int, lead int, times long, bytes binary"
 
 
 def multikey(data: np.ndarray, at: np.ndarray, group: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -270,28 +286,32 @@ def _sort_range(batches):
         yield work(pa.Table.from_batches(held).combine_chunks())
 
 
+def _tag_of(text: Column) -> Column:
+    return F.unhex(F.md5(text)).alias("tag")
+
+
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = text_of(text)
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.shiftrightunsigned(F.xxhash64(t), 48).cast("int").alias("tag"), t.alias("text"))
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), _tag_of(t), t.alias("text"))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, tag, start, stop): byte spans, overlapping ones included, whose every byte is covered by a repeated string.
 
-    A null id stands as -2**63, a null text is empty. tag holds 16 bits of the text's hash, which tells
-    texts under one id apart. Texts are at most 2 GiB.
+    A null id stands as -2**63, a null text is empty. tag holds the MD5 of the text, which tells texts
+    under one id apart. Texts are at most 2 GiB.
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
     small_batches(spark)
     x = _rows(docs, doc_id, text)
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = x.mapInArrow(_scan(shards), _SENT).groupBy("shard").applyInArrow(_meet, _FOUND).checkpoint()
+    met = x.mapInArrow(_scan(shards * GROUPS), _SENT).groupBy("shard").applyInArrow(_meet, _FOUND).checkpoint()
     parts = met.filter("partial").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop", "lead", "run", "times")).alias("parts"))
     some = member_filter(x, "doc", met.filter("partial"), "doc")
     raw = some.join(parts, ["doc", "tag"]).select("doc", "tag", "text", "parts").mapInArrow(_bytes_of, _BYTES)
     ranges = raw.repartitionByRange(shards, "anchor").sortWithinPartitions("anchor", "run")
-    covered = ranges.mapInArrow(_sort_range, "doc long, tag int, start int, stop int")
+    covered = ranges.mapInArrow(_sort_range, "doc long, tag binary, start int, stop int")
     return met.filter(~F.col("partial")).select("doc", "tag", "start", "stop").unionByName(covered)
 
 
@@ -357,7 +377,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The rows of docs with their own columns, text holding what is left and length (if there) its code points. Texts that lose nothing stay as they are."""
     names = docs.columns
     t = text_of(text)
-    x = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("_tag", F.shiftrightunsigned(F.xxhash64(t), 48).cast("int"))
+    x = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("_tag", _tag_of(t))
     spans = _spans(docs, doc_id, text).select(F.col("doc").alias("_sdoc"), F.col("tag").alias("_stag"), F.col("spans").alias("_spans"))
 
     def cut(batches):

@@ -126,6 +126,25 @@ def test_suffix_dedup(spark):
     assert suffix.dedup(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_suffix_dedup_tells_texts_without_an_id_apart(spark, key):
+    r = random.Random(41)
+    passages = ["".join(r.choice("abcdé ") for _ in range(240)) for _ in range(40)]
+    text = lambda n: "".join(r.choice("uvwxyz") for _ in range(n))
+    texts = [text(r.randrange(0, 90)) + passages[i % 40][r.randrange(9) :] + text(r.randrange(90)) if i % 2 else text(r.randrange(200, 400)) for i in range(4000)]
+    counts = collections.Counter(t[i : i + suffix.SIZE] for t in map(str.encode, texts) for i in range(len(t) - suffix.SIZE + 1))
+    want = collections.Counter()
+    for t in map(str.encode, texts):
+        at = [i for i in range(len(t) - suffix.SIZE + 1) if counts[t[i : i + suffix.SIZE]] > 1]
+        gone = {j for i in at for j in range(i, i + suffix.SIZE)}
+        want[len(t), hashlib.sha256(bytes(b for j, b in enumerate(t) if j not in gone)).hexdigest()] += 1
+    df = spark.createDataFrame([(key, t) for t in texts], "doc_id long, text string")
+    out = suffix.dedup(df).collect()
+    assert {x.doc for x in out} == {key}
+    assert collections.Counter((x.n_bytes, x.kept_sha256) for x in out) == want
+    assert collections.Counter(x.text for x in suffix.without_repeats(df).collect()) == collections.Counter(x.kept for x in out)
+
+
 def test_multikey_quicksort():
     import numpy as np
 
