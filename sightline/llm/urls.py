@@ -2,6 +2,8 @@
 
 Tree. A path's segments become a template: runs of digits turn into #, long hexadecimal segments into *,
 and at each level a position under one (host, prefix) that takes more than FAN values turns into *.
+Paths of any length are followed to their end; a prefix with at most FAN paths can't have such a position
+further down, so its paths leave the loop as they are.
 Each template counts pages and labelled good and bad pages; sibling templates whose bad share doesn't
 differ from their siblings' by a two-proportion z-test are merged into one branch. A branch's purity is
 its share of good pages smoothed towards its host's, which is smoothed towards that of all hosts. Templates
@@ -13,6 +15,9 @@ its templates, not one for each page.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +26,6 @@ from sightline.llm.native import lower_ascii, shared_checkpoints, table
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 FAN = 24
-DEPTH = 6
 SMOOTH = 8.0
 LEAST = 0.5
 Z = 1.96
@@ -45,9 +49,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def _segments(path: Column) -> Column:
-    """At most DEPTH segments, the rest as the last; digits and long hexadecimal runs generalised."""
-    plain = F.transform(F.split(path, "/"), lambda s: F.when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), F.lit("*")).otherwise(F.regexp_replace(s, r"\d+", "#")))
-    return F.when(F.size(plain) <= DEPTH, plain).otherwise(F.concat(F.slice(plain, 1, DEPTH - 1), F.array(F.lit("**"))))
+    """Digits and long hexadecimal runs generalised."""
+    return F.transform(F.split(path, "/"), lambda s: F.when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), F.lit("*")).otherwise(F.regexp_replace(s, r"\d+", "#")))
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -55,14 +58,22 @@ def templates(pages: DataFrame) -> DataFrame:
     x = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("segments", _segments(F.col("path")))
     shared_checkpoints(pages.sparkSession)
     tree = x.select("host", "segments").distinct().withColumn("shape", F.array().cast("array<string>"))
-    for level in range(DEPTH):
+    done = []
+    for level in count():
         tree = tree.checkpoint()  # each level reads the one before twice
+        if level:
+            done.append(tree.filter(~F.col("open")))
+            tree = tree.filter("open")
+            if tree.isEmpty():
+                break
         at = F.get("segments", F.lit(level))
-        wide = tree.filter(at.isNotNull()).groupBy("host", "shape").agg((F.approx_count_distinct(at, 0.02) > FAN).alias("wide"))
-        tree = tree.join(wide, ["host", "shape"], "left").select(
-            "host", "segments", F.when(at.isNull(), F.col("shape")).otherwise(F.concat("shape", F.array(F.when(F.col("wide"), "*").otherwise(at)))).alias("shape")
-        )
-    tree = tree.select("host", "segments", F.array_join("shape", "/").alias("template")).checkpoint()
+        wide = tree.groupBy("host", "shape").agg((F.count("*") > FAN).alias("many"), (F.approx_count_distinct(at, 0.02) > FAN).alias("wide"))
+        rest = F.slice("segments", level + 1, F.size("segments"))
+        tree = tree.join(wide, ["host", "shape"]).select(
+            "host", "segments", F.concat("shape", F.when(F.col("many"), F.array(F.when(F.col("wide"), "*").otherwise(at))).otherwise(rest)).alias("shape"),
+            (F.col("many") & (F.size("segments") > level + 1)).alias("open"),
+        )
+    tree = reduce(DataFrame.unionByName, done).select("host", "segments", F.array_join("shape", "/").alias("template")).checkpoint()
     return x.join(tree, ["host", "segments"], "left").drop("segments")
 
 

@@ -37,6 +37,21 @@ def test_templates_by_purity(spark):
     assert by[40].template == "/ads/#" and by[240].template == "/u/*/p"
 
 
+def test_templates_of_deep_paths(spark):
+    deep = "/a/b/c/d/e/f/g/h/i/j"
+    pages = [(i, f"http://h.net/a/b/c/d/{'good' if i % 2 else 'bad'}/{i}") for i in range(120)]
+    pages += [(200 + i, f"http://h.net{deep}/{'ok' if i % 2 else 'ads'}/n{chr(97 + i % 26)}{chr(97 + i // 26)}/p") for i in range(120)]
+    pages += [(400, "http://few.net" + deep * 9), (401, "http://few.net" + deep * 9 + "/"), (402, "http://few.net/a"), (403, None)]
+    labels = [(i, i % 2 == 0) for i in [*range(60), *range(200, 260)]]
+    out = {r.page: r for r in urls.verdicts(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page long, bad boolean"), rules=()).collect()}
+    assert len(out) == len(pages)
+    for i in range(60, 120):
+        good = bool(i % 2)
+        assert (out[i].template, out[i].verdict) == (f"/a/b/c/d/{'good' if good else 'bad'}/#", "allow" if good else "block")
+        assert (out[200 + i].template, out[200 + i].verdict) == (f"{deep}/{'ok' if good else 'ads'}/*/p", "allow" if good else "block")
+    assert [out[i].template for i in (400, 401, 402, 403)] == [deep * 9, deep * 9 + "/", "/a", ""]
+
+
 def nodes(spark, rows):
     return spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
 
