@@ -7,6 +7,9 @@ smallest 64 leaf digests, the leaves being runs of three words counted from each
 Two fingerprints are alike to the degree that their leaves are: with J the Jaccard estimate from the
 smallest leaves of the union, the likeness is 2J / (1 + J), the share of leaves that both hold.
 
+That likeness is an estimate, which op2_document_fingerprints returns because its SQL is so defined.
+op2_document_branches compares whole trees: the share over all leaves, and the branches that differ.
+
 Only DataFrame functions run here.
 """
 
@@ -53,9 +56,14 @@ def _runs(paragraph: Column) -> Column:
     )
 
 
+def all_leaves_of(text: Column) -> Column:
+    """The distinct leaf digests."""
+    return F.array_distinct(F.flatten(F.transform(F.split(text, PARAGRAPH), _runs)))
+
+
 def leaves_of(text: Column) -> Column:
     """The smallest LEAVES distinct leaf digests, sorted."""
-    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(text, PARAGRAPH), _runs)))), 1, LEAVES)
+    return F.slice(F.array_sort(all_leaves_of(text)), 1, LEAVES)
 
 
 def fingerprint_of(text: Column) -> Column:
@@ -114,6 +122,34 @@ def locate_edits(before: DataFrame, after: DataFrame) -> DataFrame:
     return paragraphs.filter(~F.col("y.a").eqNullSafe(F.col("y.b"))).select("doc", "section", "paragraph")
 
 
+def with_tree(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with <name>_paragraphs, _sections, _root and _leaves (all of them) of a text column."""
+    x = rows.withColumn(f"{name}_paragraphs", paragraph_digests(F.col(text))).withColumn(f"{name}_leaves", all_leaves_of(F.col(text)))
+    return x.withColumn(f"{name}_sections", section_digests(F.col(f"{name}_paragraphs"))).withColumn(f"{name}_root", root_of(F.col(f"{name}_sections")))
+
+
+def whole_likeness(a: str, b: str) -> Column:
+    """Twice the leaves that both trees hold by the leaves of each, 1 for equal roots."""
+    common, both = F.size(F.array_intersect(f"{a}_leaves", f"{b}_leaves")), F.size(f"{a}_leaves") + F.size(f"{b}_leaves")
+    return F.when(F.col(f"{a}_root") == F.col(f"{b}_root"), 1.0).when(both == 0, 0.0).otherwise(2.0 * common / both)
+
+
+def differing(a: str, b: str) -> Column:
+    """array of (section, paragraph), counted from 0: the branches that differ between two trees. Equal roots and sections are not descended into."""
+
+    def pairs(x: Column, y: Column) -> Column:
+        return F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1)
+
+    def section(i: Column) -> Column:
+        x, y = F.get(f"{a}_paragraphs", i), F.get(f"{b}_paragraphs", i)
+        apart = F.filter(pairs(x, y), lambda j: ~F.get(x, j).eqNullSafe(F.get(y, j)))
+        return F.transform(apart, lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
+
+    sections = F.filter(pairs(F.col(f"{a}_sections"), F.col(f"{b}_sections")), lambda i: ~F.get(f"{a}_sections", i).eqNullSafe(F.get(f"{b}_sections", i)))
+    none = F.array().cast("array<struct<section:int,paragraph:int>>")
+    return F.when(F.col(f"{a}_root") == F.col(f"{b}_root"), none).otherwise(F.flatten(F.transform(sections, section)))
+
+
 def with_next(rows: DataFrame, key: str, buckets: int, *carried: str) -> DataFrame:
     """Each row with next_<c> for the row that follows it in descending key order, the first following the last.
 
@@ -149,6 +185,21 @@ def op2_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_document_branches(spark, sf_dir: str) -> DataFrame:
+    """The texts of op2_document_fingerprints compared by their whole trees."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("t"))
+    x = with_next(docs, "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")), "t")
+    n = F.char_length("t")
+    half = F.floor(n / 2).cast("int")
+    x = x.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), n - half), F.substring(F.col("next_t"), F.lit(1), half)))
+    for text, name in (("t", "own"), ("edited", "edited"), ("next_t", "next")):
+        x = with_tree(x, text, name)
+    return x.select(
+        "doc_id", whole_likeness("own", "edited").alias("near_edited"), differing("own", "edited").alias("edited_branches"),
+        whole_likeness("own", "next").alias("near_next"), differing("own", "next").alias("next_branches"),
+    )
+
+
 def _oracle() -> str:
     def fp(t: str) -> str:
         leaves = f"list_sort(list_distinct(flatten(list_transform(string_split({t}, chr(10)), lambda p: list_transform(range(0, len(list_filter(string_split(p, ' '), lambda q: q <> '')), {RUN}), lambda i: left(md5(array_to_string(list_filter(string_split(p, ' '), lambda q: q <> '')[i + 1 : i + {RUN}], ' ')), 12))))))[1:{LEAVES}]"

@@ -9,6 +9,7 @@ def queries() -> dict:
     return {
         "op1_url_filters": urls.op1_url_filters,
         "op2_document_fingerprints": fingerprint.op2_document_fingerprints,
+        "op2_document_branches": fingerprint.op2_document_branches,
         "op3_source_mixing": mixing.op3_source_mixing,
         "op4_suffix_dedup": suffix.op4_suffix_dedup,
         "op5_license_scan": licenses.op5_license_scan,

@@ -86,6 +86,28 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint(frame(spark, [])).count() == 0
 
 
+def test_whole_trees_tell_every_edit(spark, tmp_path):
+    from sightline.llm import queries
+
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda w: "\n\n".join("\n".join(" ".join(w[i : i + 30]) for i in range(s, s + 300, 30)) for s in range(0, 3000, 300))
+    leaves = lambda t: {tuple(p.split()[i : i + 3]) for p in t.split("\n") for i in range(0, len(p.split()), 3)}
+    texts = {2: text(words), 1: text([*words[:1234], "other", *words[1235:]]), 0: "a\n\nb"}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.queries()["op2_document_branches"](spark, str(tmp_path)).collect()}
+    for d, e in ((2, 1), (1, 0), (0, 2)):
+        half = len(texts[d]) // 2
+        edited = texts[d][: len(texts[d]) - half] + texts[e][:half]
+        for other, near, branches in ((texts[e], got[d].near_next, got[d].next_branches), (edited, got[d].near_edited, got[d].edited_branches)):
+            a, b = leaves(texts[d]), leaves(other)
+            assert abs(near - 2 * len(a & b) / (len(a) + len(b))) < 1e-12
+            x, y = ([s.split("\n") for s in t.split("\n\n")] for t in (texts[d], other))
+            at = lambda t, i, j: t[i][j] if i < len(t) and j < len(t[i]) else None
+            assert [tuple(r) for r in branches] == [(i, j) for i in range(40) for j in range(400) if at(x, i, j) != at(y, i, j)]
+    assert got[2].near_next == 0.999 and [tuple(r) for r in got[2].next_branches] == [(4, 1)]
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 16])
 def test_next_document(spark, buckets):
     rows = [(7, "g"), (3, "c"), (3, "b"), (None, "n"), (9, "i"), (5, "e"), (1, "a")]
