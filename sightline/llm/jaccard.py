@@ -9,13 +9,16 @@ and indexes their one-deletion neighbourhoods instead, which finds a group with
 than the slack are too empty to be signed; these sets are indexed again under another partition, and
 after ROUNDS partitions by each shingle, so nothing is missed.
 
-Candidates meet in shards of the signature space. Buckets are sifted by sketches: the counts of a set's
-shingles in BINS bins, whose distance never exceeds the sets' difference, so a pair whose sketches differ
-by more than the threshold allows is no link. The pairs that stay are few besides the links themselves;
-the clusters that they form are verified on the whole texts. A cluster's texts meet in one task, which
-counts the common shingles of every two through an inverted index; each step reports one edge a text, not
-pairs. Lists beyond LIST members and clusters beyond BLOCK_SHINGLES are cut into blocks and every two blocks
-meet, so a task's size is bounded and no link is lost.
+Candidates meet in buckets, in shards of the signature space. Each step reports what connects texts, one edge
+a text, never pairs. Buckets are sifted by sketches: the counts of a set's shingles in BINS bins, whose distance
+never exceeds the sets' difference, so a pair whose sketches differ by more than the threshold allows is no
+link. Buckets go to lots by their smallest member, so the buckets of one cluster meet in few lots. Members of
+a bucket beyond LIST (HOT within a block of texts) are taken as connected without a sift, which only makes
+the clusters larger. Clusters are verified on the whole texts: a text's common shingles with all
+others come from an inverted index, and texts that are known to be connected aren't compared again. A cluster
+beyond BLOCK_SHINGLES is cut into blocks, which share two pivots; the texts that this doesn't connect with the
+main part of their cluster then meet all its blocks. So a task's size is bounded, a cluster of close copies
+costs what it holds, and no link is lost.
 """
 
 from __future__ import annotations
@@ -31,12 +34,13 @@ from pyspark.sql.window import Window
 from sightline.llm import scan
 from sightline.llm.components import components
 from sightline.llm.exchange import cuts, pack, release, unpack
-from sightline.llm.native import member_filter, shared_checkpoints, small_batches, table, text_of
+from sightline.llm.native import member_filter, shared_checkpoints, small_batches, spare, table, text_of
 
 GROWTH = 1.5
 ROUNDS = 3
-ALL_PAIRS = 8
+HOT = 64
 LIST = 1000
+FEW = 100_000
 BINS = 256
 BLOCK_SHINGLES = 250_000
 BLOCK_BYTES = 32 << 20
@@ -110,12 +114,12 @@ def signatures(keys: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.nd
     low = bands()
     own = np.searchsorted(low, n, "right") - 1
     found = []
-    for step in (0, 1):
-        band = own + step
-        take = (n > 0) & ((step == 0) | (100 * n >= percent * low[np.minimum(band, len(low) - 1)]))
-        which = np.flatnonzero(take)
-        if len(which):
-            _sign(keys, first, which, band[which], percent, found)
+    for step in range(len(low)):  # a set is signed in its own band and in all above that hold sets it can be linked with
+        band = np.minimum(own + step, len(low) - 2)
+        which = np.flatnonzero((n > 0) & (band == own + step) & ((step == 0) | (100 * n >= percent * low[band])))
+        if not len(which):
+            break
+        _sign(keys, first, which, band[which], percent, found)
     if not found:
         return np.zeros(0, _U), np.zeros(0, np.int64)
     return np.concatenate([s for s, _ in found]), np.concatenate([d for _, d in found])
@@ -183,7 +187,7 @@ _SENT = "shard int, part binary, sketches binary"
 _MET = "kind int, a long, b long, raw binary"
 
 
-def _send(shards: int, size: int, percent: int):
+def _send(shards: int, size: int, percent: int, hot: int):
     def flush(held: list) -> pa.RecordBatch:
         doc, n, one, two = (np.concatenate(x) for x in zip(*[h[:4] for h in held]))
         sketches = np.concatenate([h[6] for h in held])
@@ -202,8 +206,19 @@ def _send(shards: int, size: int, percent: int):
         sig, who = sig[use], doc[row[use]]
         order = np.argsort(sig)
         sig, who = sig[order], who[order]
+        edges = np.zeros((2, 0), np.int64)
+        if len(sig):
+            heads = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            times = np.diff(np.append(heads, len(sig)))
+            least = np.repeat(np.minimum.reduceat(who, heads), times)
+            many = np.repeat(times > hot, times)
+            edges = np.unique(np.stack([who[many], least[many]]), axis=1)
+            sent = ~many | (who == least)
+            sig, who = sig[sent], who[sent]
         rows = [(s, pack(np.stack([sig[a:b], who[a:b].view(_U)]).reshape(-1))) for s, a, b in cuts(sig, shards)]
-        rows.append((-1 - int(one[0] % _U(shards)), pack(np.stack([doc, n, kin]).reshape(-1).view(_U))))
+        own = -1 - int(one[0] % _U(shards))
+        rows.append((own, pack(edges.reshape(-1).view(_U))))
+        rows.append((own, pack(np.stack([doc, n, kin]).reshape(-1).view(_U))))
         extra = [None] * (len(rows) - 1) + [pack(sketches.reshape(-1))]
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary()), pa.array(extra, pa.binary())], names=["shard", "part", "sketches"])
 
@@ -252,36 +267,38 @@ def _table(kind, a, b, raw=None) -> pa.Table:
     return pa.table({"kind": pa.array(np.full(len(a), kind), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "raw": pa.array(raw or [None] * len(a), pa.binary())})
 
 
-def _meet(shard: pa.Table) -> pa.Table:
-    """kind 0: candidates a < b; kind 1: document a has b shingles and a sketch; kind 2: members of a large bucket; kind 3: a and b are the same set."""
-    parts = [unpack(p.as_py(), _U) for p in shard["part"]]
-    if shard["shard"][0].as_py() < 0:
-        doc, n, kin = np.concatenate([p.reshape(3, -1) for p in parts], axis=1).view(np.int64)
-        sketches = np.concatenate([unpack(x.as_py(), np.uint8) for x in shard["sketches"]]).tobytes()
-        raw = [sketches[i : i + BINS] for i in range(0, len(sketches), BINS)]
-        return pa.concat_tables([_table(1, doc, n, raw), _table(3, doc[doc != kin], kin[doc != kin])])
-    sig, who = np.concatenate([p.reshape(2, -1) for p in parts], axis=1)
-    who = who.view(np.int64)
-    order = np.lexsort((who, sig))
-    sig, who = sig[order], who[order]
-    fresh = np.append(True, (sig[1:] != sig[:-1]) | (who[1:] != who[:-1]))
-    sig, who = sig[fresh], who[fresh]
-    heads = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-    n = np.diff(np.append(heads, len(sig)))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in range(2, ALL_PAIRS + 1):
-        rows = who[heads[n == k][:, None] + np.arange(k)]
-        for i in range(k):
-            for j in range(i + 1, k):
-                a.append(rows[:, i])
-                b.append(rows[:, j])
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-    lists = set()
-    for h, k in zip(heads[n > ALL_PAIRS], n[n > ALL_PAIRS]):
-        blocks = [who[i : min(i + LIST, h + k)] for i in range(h, h + k, LIST)]
-        lists |= {blocks[0].tobytes()} if len(blocks) == 1 else {np.append(x, y).tobytes() for i, x in enumerate(blocks) for y in blocks[i + 1 :]}
-    zero = np.zeros(len(lists), np.int64)
-    return pa.concat_tables([_table(0, *pairs), _table(2, zero, zero, sorted(lists))])
+def _meet(most: int):
+    """kind 0: a and b are connected; kind 1: document a has b shingles and a sketch; kind 2: members of a bucket, a being the smallest; kind 3: a and b are the same set; kind 4: a bucket of a < b."""
+
+    def go(shard: pa.Table) -> pa.Table:
+        if shard["shard"][0].as_py() < 0:
+            out = []
+            for part, sketches in zip(shard["part"], shard["sketches"]):
+                if sketches.is_valid:
+                    doc, n, kin = unpack(part.as_py(), _U).reshape(3, -1).view(np.int64)
+                    flat = unpack(sketches.as_py(), np.uint8).tobytes()
+                    out += [_table(1, doc, n, [flat[i : i + BINS] for i in range(0, len(flat), BINS)]), _table(3, doc[doc != kin], kin[doc != kin])]
+                else:
+                    out.append(_table(0, *unpack(part.as_py(), _U).reshape(2, -1).view(np.int64)))
+            return pa.concat_tables(out)
+        parts = [unpack(p.as_py(), _U) for p in shard["part"]]
+        sig, who = np.concatenate([p.reshape(2, -1) for p in parts], axis=1)
+        who = who.view(np.int64)
+        order = np.lexsort((who, sig))
+        sig, who = sig[order], who[order]
+        fresh = np.append(True, (sig[1:] != sig[:-1]) | (who[1:] != who[:-1]))
+        sig, who = sig[fresh], who[fresh]
+        heads = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        n = np.diff(np.append(heads, len(sig)))
+        two = heads[n == 2]
+        pairs = np.unique(np.stack([who[two], who[two + 1]]), axis=1)
+        lists = sorted({who[h : h + k].tobytes() for h, k in zip(heads[(n > 2) & (n <= most)], n[(n > 2) & (n <= most)])})
+        least = np.array([np.frombuffer(x, np.int64, 1)[0] for x in lists], np.int64)
+        large = np.repeat(n > most, n)
+        edges = np.unique(np.stack([who[large], np.repeat(who[heads], n)[large]]), axis=1)
+        return pa.concat_tables([_table(4, *pairs), _table(2, least, least, lists), _table(0, *edges)])
+
+    return go
 
 
 def _opened(batches):
@@ -290,8 +307,15 @@ def _opened(batches):
         lists = [np.frombuffer(x, np.int64) for x in raw]
         for i in range(0, len(lists), 100):
             n = [len(x) for x in lists[i : i + 100]]
-            g = np.repeat(batch.column("g").to_numpy(zero_copy_only=False)[i : i + 100], n)
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(np.concatenate(lists[i : i + 100]), pa.int64())], names=["g", "doc"])
+            g, lot = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False)[i : i + 100], n) for c in ("g", "lot"))
+            yield pa.RecordBatch.from_arrays([pa.array(lot, pa.int64()), pa.array(g, pa.int64()), pa.array(np.concatenate(lists[i : i + 100]), pa.int64())], names=["lot", "g", "doc"])
+
+
+def _join_labels(label: np.ndarray, members: np.ndarray) -> None:
+    """The components of the members become one, in place."""
+    old = np.unique(label[members])
+    if len(old) > 1:
+        label[np.isin(label, old)] = old[0]
 
 
 def _sift(percent: int):
@@ -301,51 +325,58 @@ def _sift(percent: int):
         g = lot["g"].to_numpy()
         order = np.argsort(g, kind="stable")
         g, doc, n = g[order], lot["doc"].to_numpy()[order], lot["n"].to_numpy()[order]
-        sketch = np.frombuffer(b"".join(lot["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)[order].astype(np.int16)
+        sketch = np.frombuffer(b"".join(lot["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)[order]
         heads = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         size = np.diff(np.append(heads, len(g)))
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids, at = np.unique(doc, return_inverse=True)
 
-        def keep(i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> None:
-            near = distance * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
-            u.append(i[near])
-            v.append(j[near])
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            distance = np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(axis=1)
+            return distance * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
 
         two = heads[size == 2]
-        for i in np.array_split(two, len(two) // 10_000 + 1):
-            keep(i, i + 1, np.abs(sketch[i] - sketch[i + 1]).sum(axis=1))
+        two = np.concatenate([i[near(i, i + 1)] for i in np.array_split(two, len(two) // 10_000 + 1)])
+        label = _labels(len(ids), at[two], at[two + 1])
         for h, k in zip(heads[size > 2], size[size > 2]):
-            for i in range(h, h + k - 1):
-                j = np.arange(i + 1, h + k)
-                keep(np.full(len(j), i), j, np.abs(sketch[j] - sketch[i]).sum(axis=1))
-        ids, at = np.unique(doc, return_inverse=True)
-        label = _labels(len(ids), at[np.concatenate(u)], at[np.concatenate(v)])
+            rows = np.arange(h, h + k)
+            for i in rows[:-1]:
+                others = rows[label[at[rows]] != label[at[i]]]  # those that it is connected with need no look
+                if not len(others):
+                    if len(np.unique(label[at[rows]])) == 1:
+                        break
+                    continue
+                close = others[near(np.full(len(others), i), others)]
+                if len(close):
+                    _join_labels(label, at[np.append(close, i)])
         moved = np.flatnonzero(label != np.arange(len(ids)))
         return pa.table({"u": pa.array(ids[moved], pa.int64()), "v": pa.array(ids[label[moved]], pa.int64())})
 
     return go
 
 
+def _few(x: DataFrame) -> DataFrame:
+    return F.broadcast(x) if x.count() <= FEW else x  # counted
+
+
 def candidates(met: DataFrame, lots: int, percent: int) -> DataFrame:
-    """Edges (u, v) that connect what pairs within the sketch bound connect."""
-    pairs = met.filter("kind = 0").select("a", "b").distinct().withColumn("g", F.xxhash64("a", "b"))
-    pairs = pairs.select("g", F.explode(F.array("a", "b")).alias("doc"))
-    lists = met.filter("kind = 2").select("raw").distinct().select(F.xxhash64("raw").alias("g"), "raw").mapInArrow(_opened, "g long, doc long")
+    """Edges (u, v) that connect at least what pairs within the sketch bound connect."""
+    pairs = met.filter("kind = 4").select("a", "b").distinct()
+    pairs = pairs.select(F.pmod(F.xxhash64("a"), F.lit(lots)).alias("lot"), F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("doc"))
+    lists = met.filter("kind = 2").select("a", "raw").distinct().select(F.pmod(F.xxhash64("a"), F.lit(lots)).alias("lot"), F.xxhash64("raw").alias("g"), "raw")
     sketches = met.filter("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("raw").alias("sketch"))
-    rows = pairs.unionByName(lists).join(sketches, "doc").withColumn("lot", F.pmod("g", F.lit(lots)))
-    return rows.groupBy("lot").applyInArrow(_sift(percent), "u long, v long").distinct()
+    rows = pairs.unionByName(lists.mapInArrow(_opened, "lot long, g long, doc long")).join(sketches, "doc")
+    sifted = rows.groupBy("lot").applyInArrow(_sift(percent), "u long, v long")
+    return sifted.unionByName(met.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def _verify(size: int, percent: int):
-    """Links within a block, or between two: one edge (u, v) for each text that they connect."""
+    """Links among texts, or with a side between those of side 1 and those of side 0: one edge (u, v) for each text that they connect."""
 
     def check(group: pa.Table) -> pa.Table:
         data, offsets = scan.buffers(group["text"])
         keys, first = shingles(data, offsets, size)
         n = np.diff(first)
-        doc = group["doc"].to_numpy()
-        block = group["block"].to_numpy()
-        both = bool((block != block[0]).any())
+        doc, side = group["doc"].to_numpy(), group["side"].to_numpy()
         owner = np.repeat(np.arange(len(n)), n)
         order = np.argsort(keys, kind="stable")
         sorted_keys, owner_of = keys[order], owner[order]
@@ -354,8 +385,18 @@ def _verify(size: int, percent: int):
         df = np.diff(np.append(heads, len(keys)))
         number = np.empty(len(keys), np.int64)
         number[order] = np.cumsum(head) - 1
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d in range(len(n)):
+        label = _labels(len(n), *_same_ids(doc))
+        cross = bool(side.any())
+        waiting = ((side == 1) | (not cross)) & (n > 0)
+        while waiting.any():
+            ends = np.flatnonzero(waiting)
+            if not cross:
+                kinds, times = np.unique(label[ends], return_counts=True)
+                if len(kinds) == 1:
+                    break  # all that haven't been compared with every other text are connected
+                ends = ends[label[ends] != kinds[times.argmax()]]
+            d = int(ends[0])
+            waiting[d] = False
             token = number[first[d] : first[d + 1]]
             token = token[df[token] > 1]
             if not len(token):
@@ -363,37 +404,68 @@ def _verify(size: int, percent: int):
             length = df[token]
             at = np.repeat(heads[token] - np.cumsum(length) + length, length) + np.arange(length.sum())
             common = np.bincount(owner_of[at], minlength=len(n))
-            common[d:] = 0  # the later text looks at the earlier ones
-            near = np.flatnonzero(100 * common >= percent * (n + n[d] - common))
-            near = near[common[near] > 0]
-            if both:
-                near = near[block[near] != block[d]]
-            u.append(np.full(len(near), d))
-            v.append(near)
-        label = _labels(len(n), np.concatenate(u), np.concatenate(v))
-        moved = np.flatnonzero(label != np.arange(len(n)))
-        return pa.table({"u": pa.array(doc[moved], pa.int64()), "v": pa.array(doc[label[moved]], pa.int64())})
+            near = (100 * common >= percent * (n + n[d] - common)) & (common > 0)
+            if cross:
+                near &= side == 0
+            near[d] = True
+            _join_labels(label, np.flatnonzero(near))
+        moved = np.flatnonzero(doc[label] != doc)
+        return pa.table({"component": pa.array(np.full(len(moved), group["component"][0].as_py()), pa.int64()), "u": pa.array(doc[moved], pa.int64()), "v": pa.array(doc[label[moved]], pa.int64())})
 
     return check
 
 
-def verified(edges: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
+def _same_ids(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(doc, kind="stable")
+    same = np.flatnonzero(doc[order][1:] == doc[order][:-1])
+    return order[same], order[same + 1]
+
+
+_LINKS = "component long, u long, v long"
+
+
+def verified(edges: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, percent: int, most: int = BLOCK_SHINGLES) -> DataFrame:
     """Edges (u, v) that connect what links connect, among the clusters of edges (u, v)."""
-    clusters = components(edges).join(sizes, F.col("node") == F.col("doc")).select("doc", "n", "component").checkpoint()
-    blocks = clusters.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = clusters.join(blocks, "component").select("doc", "component", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
-    some = member_filter(texts, "doc", clusters, "doc")
-    rows = some.join(placed, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return rows.select("component", "i", "j", "doc", "block", "text").groupBy("component", "i", "j").applyInArrow(_verify(size, percent), "u long, v long")
 
+    def spot(c: str):
+        return F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    clusters = components(edges).join(sizes, F.col("node") == F.col("doc")).select("doc", "n", "component").checkpoint()
+    pivots = (F.min_by("doc", F.xxhash64("doc")).alias("p"), F.max_by("doc", F.xxhash64("doc")).alias("q"))
+    big = clusters.groupBy("component").agg(F.ceil(F.sum("n") / most).cast("int").alias("blocks"), *pivots).filter("blocks > 1").checkpoint()
+    big = _few(big)
+    placed = clusters.join(big, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", spot("blocks"))
+    some = member_filter(texts, "doc", clusters, "doc")
+    everywhere = F.col("doc").isin(F.col("p"), F.col("q"))
+    spread = placed.select("component", "doc", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("block"))
+    rows = some.join(spread, "doc").select("component", "block", "doc", F.lit(0).alias("side"), "text")
+    links = rows.groupBy("component", "block").applyInArrow(_verify(size, percent), _LINKS).checkpoint()
+    if not big.take(1):
+        return links.select("u", "v")
+    whole = placed.filter("blocks > 1").select("component", "doc", "n", "blocks", "own").checkpoint()
+    parts = components(links.join(big.select("component"), "component", "left_semi").select("u", "v"))
+    whole = whole.join(parts.select(F.col("node").alias("doc"), F.col("component").alias("sub")), "doc", "left").withColumn("sub", F.coalesce("sub", "doc")).checkpoint()
+    main = whole.groupBy("component", "sub").agg(F.count("*").alias("c")).groupBy("component").agg(F.max_by("sub", F.struct("c", "sub")).alias("main"), F.count("*").alias("subs"))
+    main = _few(main.filter("subs > 1").checkpoint())
+    rest = whole.join(main, "component").filter("sub != main").select("component", "doc", "n", "blocks")
+    apart = _few(rest.groupBy("component").agg(F.ceil(F.sum("n") / most).cast("int").alias("lots")).checkpoint())
+    if not apart.take(1):
+        return links.select("u", "v")
+    one = rest.join(apart, "component").select("component", "doc", F.lit(1).alias("side"), spot("lots").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    all_ = whole.join(apart, "component").select("component", "doc", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("i"), F.col("own").alias("j"))
+    crossed = some.join(one.unionByName(all_), "doc").groupBy("component", "i", "j").applyInArrow(_verify(size, percent), _LINKS)
+    return links.select("u", "v").unionByName(crossed.select("u", "v"))
+
+
+def join(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, hot: int = HOT, longest: int = LIST, block: int = BLOCK_SHINGLES
+) -> DataFrame:
     """(doc, n_shingles, component), one row for each input row: component is the smallest id reachable by links.
 
     Two texts are linked if 100 * common >= percent * union over their distinct shingles of size words.
     Texts without words are linked with nothing. Rows with the same id are one node; a row without
-    an id is linked with nothing and has no component.
+    an id is linked with nothing and has no component. An empty table gives no rows. hot, longest and block
+    say from which size on buckets and clusters are worked on in parts; the result doesn't depend on them.
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
@@ -401,12 +473,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     x = docs.select(F.col(doc_id).cast("long").alias("doc"), text_of(text).alias("text"))
     named = x.filter(F.col("doc").isNotNull())
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = named.mapInArrow(_send(shards, size, percent), _SENT).groupBy("shard").applyInArrow(_meet, _MET).checkpoint()
+    met = named.mapInArrow(_send(shards, size, percent, hot), _SENT).groupBy("shard").applyInArrow(_meet(longest), _MET).checkpoint()
     release(spark)
     info = met.filter("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("n"))
     sizes = info.groupBy("doc").agg(F.max("n").alias("n"))
     same = met.filter("kind = 3").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links = verified(candidates(met, 8 * shards, percent), named, sizes, size, percent)
+    links = verified(candidates(met, 8 * shards, percent), named, sizes, size, percent, block)
     found = components(links.unionByName(same))
     release(spark)
     counted = x.filter(F.col("doc").isNull()).mapInArrow(_count(size), "doc long, n long")
@@ -430,18 +502,21 @@ def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with their own columns.
+    """The rows of docs whose id is the smallest of its component, with their own columns, whatever these are named.
 
-    Of rows that repeat an id, the first by text and then the other plain columns stays. Rows without an id stay.
+    Of rows that repeat an id, the first by text and then the other plain columns stays. Rows without an
+    id stay. Null, empty and wordless texts are linked with nothing and stay. An empty table stays empty.
     """
-    key = F.col(doc_id)
-    gone = join(docs, doc_id, text, size, percent).filter(F.col("component") != F.col("doc")).select(F.col("doc").alias("_gone")).distinct().checkpoint()
-    again = docs.filter(key.isNotNull()).groupBy(key.cast("long").alias("_again")).count().filter("count > 1").select("_again").checkpoint()
-    named = docs.filter(key.isNotNull()).withColumn("_id", key.cast("long"))
-    special = gone.select(F.col("_gone").alias("_id")).unionByName(again.select(F.col("_again").alias("_id")))
+    key, rank = spare(docs.columns, "keep_key", "keep_rank")
+    own = F.col(doc_id).cast("long")
+    found = join(docs, doc_id, text, size, percent)
+    gone = found.filter(F.col("component") != F.col("doc")).select(F.col("doc").alias(key)).distinct().checkpoint()
+    again = docs.filter(own.isNotNull()).groupBy(own.alias(key)).count().filter("count > 1").select(key).checkpoint()
+    named = docs.filter(own.isNotNull())
+    special = gone.unionByName(again)
     plain = [c for c, t in docs.dtypes if c not in (doc_id, text) and t in ("string", "bigint", "int", "double")]
-    once = Window.partitionBy("_id").orderBy(text, *plain)
-    looked_at = member_filter(named, "_id", special, "_id").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
-    looked_at = looked_at.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    sure = member_filter(named, "_id", special, "_id", wanted=False)
-    return sure.select(*docs.columns).unionByName(looked_at.select(*docs.columns)).unionByName(docs.filter(key.isNull()))
+    once = Window.partitionBy(own).orderBy(text, *plain)
+    looked_at = member_filter(named, own, special, key).join(gone, own == F.col(key), "left_anti")
+    looked_at = looked_at.withColumn(rank, F.row_number().over(once)).filter(F.col(rank) == 1)
+    sure = member_filter(named, own, special, key, wanted=False)
+    return sure.unionByName(looked_at.select(*docs.columns)).unionByName(docs.filter(own.isNull()))

@@ -44,21 +44,36 @@ def small_batches(spark, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def member_filter(rows: DataFrame, key: str, members: DataFrame, member: str, wanted: bool = True, most_bits: int = 1 << 23) -> DataFrame:
+def spare(taken, *names: str) -> list[str]:
+    """Working names that no column of taken has, whatever its case."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+def member_filter(rows: DataFrame, key: str | Column, members: DataFrame, member: str, wanted: bool = True, most_bits: int = 1 << 23) -> DataFrame:
     """Rows whose key may be among the members, or with wanted=False the rest, whose keys surely aren't.
 
     A bitmap over key hashes is broadcast as (word, bits), at most most_bits / 64 rows whatever the number
     of members. Beyond some most_bits / 8 members it lets more rows pass; joins after it stay exact.
+    Columns of rows stay as they are, whatever their names.
     """
     n = members.count()
     bits = min(most_bits, max(1 << 16, 1 << (8 * n).bit_length()))
+    word, mask = spare(rows.columns, "filter_word", "filter_bits")
 
-    def slot(c: str):
+    def slot(c: str | Column) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(bits))
 
-    marked = members.select(slot(member).alias("_slot")).groupBy((F.col("_slot") / 64).cast("int").alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 as int))")).alias("_bits")
-    )
-    x = rows.withColumn("_slot", slot(key)).withColumn("_word", (F.col("_slot") / 64).cast("int")).join(F.broadcast(marked), "_word", "left")
-    hit = F.coalesce(F.expr("shiftright(_bits, cast(_slot % 64 as int)) & 1L") == 1, F.lit(False))
+    def at(c: str | Column) -> Column:
+        return (slot(c) / 64).cast("int")
+
+    marked = members.groupBy(at(member).alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot(member) % 64).cast("int"))).alias(mask))
+    x = rows.join(F.broadcast(marked), at(key) == F.col(word), "left")
+    hit = F.coalesce(F.call_function("shiftright", F.col(mask), (slot(key) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
     return x.filter(hit if wanted else ~hit).select(*rows.columns)
