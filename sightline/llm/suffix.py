@@ -12,6 +12,9 @@ same anchor form one stretch; a stretch carries the hash of its anchor run and t
 3. Partial stretches fetch their bytes. Sampled splitters deal them out in ranges by the tokens that
    lead their anchor suffix. A boundary is a splitter's lead and equal leads go to one range, so
    comparing across a boundary always finds different leads: no repeat lies across one.
+   An anchor with more than HOT kinds of surroundings sends its windows one by one, dealt by their own
+   bytes. Windows that repeat within a batch of texts are repeats at once and one of each kind goes on, so
+   neither a common anchor nor a common window fills a range.
 4. Each range sorts the suffixes that start at its windows by multikey quicksort over 8-byte
    characters: one pivot a group and round, groups split into less, equal and greater, equal ones move
    to the next character. Groups that stay equal for SIZE bytes are repeats.
@@ -28,13 +31,14 @@ from pyspark.sql import functions as F
 
 from sightline.llm import scan
 from sightline.llm.exchange import cuts, pack, unpack
-from sightline.llm.native import member_filter, shared_checkpoints, small_batches, table, text_of
+from sightline.llm.native import member_filter, shared_checkpoints, small_batches, spare, table, text_of
 
 SIZE = 200
 RUN = 73
 SPREAD = SIZE - RUN + 1  # runs in a window; a power of two
 BLOCK_BYTES = 16 << 20
 RANGE_BYTES = 3 << 20
+HOT = 500
 GROUPS = 4  # shards of hashes for each shuffle partition; a task holds one at a time
 _U = np.uint64
 _PLACE = _U((1 << 20) - 1)
@@ -103,14 +107,14 @@ def _tags(halves: np.ndarray) -> pa.Array:
 
 
 _SENT = "shard int, part binary"
-_FOUND = "partial boolean, doc long, tag binary, start int, stop int, lead int, run long, times long"
-_FOUND_ARROW = pa.schema([("partial", pa.bool_()), ("doc", pa.int64()), ("tag", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("lead", pa.int32()), ("run", pa.int64()), ("times", pa.int64())])
+_FOUND = "partial boolean, doc long, tag binary, start int, stop int, lead int, run long, times long, kinds long"
+_FOUND_ARROW = pa.schema([("partial", pa.bool_()), ("doc", pa.int64()), ("tag", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("lead", pa.int32()), ("run", pa.int64()), ("times", pa.int64()), ("kinds", pa.int64())])
 
 
-def _found(partial: bool, doc, tag, place, run, times) -> pa.RecordBatch:
+def _found(partial: bool, doc, tag, place, run, times, kinds=None) -> pa.RecordBatch:
     start, length, lead = _placed(place)
     n = len(start)
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((np.full(n, partial), doc, _tags(tag), start, start + length, lead, run.view(np.int64), times), _FOUND_ARROW.types)], schema=_FOUND_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((np.full(n, partial), doc, _tags(tag), start, start + length, lead, run.view(np.int64), times, np.ones(n, np.int64) if kinds is None else kinds), _FOUND_ARROW.types)], schema=_FOUND_ARROW)
 
 
 def _scan(shards: int):
@@ -166,41 +170,88 @@ def _meet(shard: pa.Table) -> pa.Table:
     at = np.flatnonzero(new)
     sums = np.add.reduceat(times, at)
     kinds = np.bincount(np.cumsum(new_run)[at] - 1)  # kinds of surroundings of each run
+    kinds = np.repeat(kinds, kinds)
     rows = np.diff(np.append(at, len(run)))
     full = np.flatnonzero(np.repeat(sums > 1, rows) & (times == 1))  # those repeated within a block are known already
-    partial = at[np.repeat(kinds, kinds) > 1]
+    partial = at[kinds > 1]
     f, p = order[full], order[partial]
-    out = [_found(False, doc[f].view(np.int64), np.stack([x[f] for x in tag]), place[f], run[full], times[full].astype(np.int64)), _found(True, doc[p].view(np.int64), np.stack([x[p] for x in tag]), place[p], run[partial], sums[np.repeat(kinds, kinds) > 1].astype(np.int64))]
+    out = [_found(False, doc[f].view(np.int64), np.stack([x[f] for x in tag]), place[f], run[full], times[full].astype(np.int64)), _found(True, doc[p].view(np.int64), np.stack([x[p] for x in tag]), place[p], run[partial], sums[kinds > 1].astype(np.int64), kinds[kinds > 1])]
     return pa.Table.from_batches(out, _FOUND_ARROW)
 
 
-def _bytes_of(batches):
-    """The bytes of each partial stretch, with the tokens that lead its anchor suffix."""
-    for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
-        data, offsets = scan.buffers(batch.column("text"))
-        lists = batch.column("parts")
-        rows = lists.flatten()
-        n = lists.value_lengths().to_numpy(zero_copy_only=False)
-        at = np.repeat(offsets[:-1], n)
-        start, stop, lead = (rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "stop", "lead"))
-        tag = np.repeat(_halves(batch.column("tag")), n, axis=0).T
-        raw = data.tobytes()
+def _sent_bytes(anchor, run, doc, tag, start, stop, lead, times, text) -> pa.RecordBatch:
+    types = (pa.binary(), pa.int64(), pa.int64(), None, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    columns = [_tags(x) if t is None else pa.array(x, t) for x, t in zip((anchor, run, doc, tag, start, stop, lead, times, text), types)]
+    return pa.RecordBatch.from_arrays(columns, names=["anchor", "run", "doc", "tag", "start", "stop", "lead", "times", "bytes"])
+
+
+def _bytes_of(hot: int):
+    """The bytes of each partial stretch with the tokens that lead its anchor suffix; of stretches under hot anchors the windows.
+
+    A row with a negative times is a span that is known to be repeated and has no bytes.
+    """
+
+    def stretches_of(raw, at, start, stop, lead, times, run, doc, tag):
         for i in range(0, len(start), 20_000):
             j = slice(i, i + 20_000)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([raw[a : a + RUN] for a in (at + start + lead)[j]], pa.binary()),
-                    rows.field("run").slice(i, 20_000),
-                    pa.array(np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), n)[j], pa.int64()),
-                    _tags(tag[:, j]),
-                    rows.field("start").slice(i, 20_000), rows.field("lead").slice(i, 20_000), rows.field("times").slice(i, 20_000),
-                    pa.array([raw[a:b] for a, b in zip((at + start)[j], (at + stop)[j])], pa.binary()),
-                ],
-                names=["anchor", "run", "doc", "tag", "start", "lead", "times", "bytes"],
+            yield _sent_bytes(
+                [raw[a : a + RUN] for a in (at + start + lead)[j]], run[j], doc[j], tag[:, j], start[j], stop[j], lead[j], times[j],
+                [raw[a:b] for a, b in zip((at + start)[j], (at + stop)[j])],
+            )
+
+    def windows_of(data, raw, at, start, stop, lead, times, run, doc, tag):
+        n = stop - start - SIZE + 1
+        row = np.repeat(np.arange(len(n)), n)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        where = (at + start)[row] + within
+        length = stop - start
+        before = np.cumsum(length) - length
+        bytes_ = data[np.repeat(at + start - before, length) + np.arange(length.sum())]
+        place = before[row] + within
+        own = scan.mix(scan.span_hash(scan.prefix(bytes_), place, place + SIZE) ^ scan.mix(run.view(_U)[row] + (lead[row] - within).astype(_U)))
+        order = np.argsort(own, kind="stable")
+        heads = np.append(True, own[order][1:] != own[order][:-1])
+        count = np.diff(np.append(np.flatnonzero(heads), len(own)))
+        again = np.empty(len(own), bool)
+        again[order] = np.repeat(count > 1, count)
+        first = np.zeros(len(own), bool)
+        first[order] = heads
+        known = again & (times[row] == 1)  # others are known as wholes
+        edge = known & ~np.append(False, known[:-1] & (row[1:] == row[:-1]))
+        last = known & ~np.append(known[1:] & (row[1:] == row[:-1]), False)
+        a, b = np.flatnonzero(edge), np.flatnonzero(last)
+        here = start[row] + within
+        empty = [b""] * len(a)
+        yield _sent_bytes([int(x).to_bytes(8, "little") for x in own[a]], own[a].view(np.int64), doc[row[a]], tag[:, row[a]], here[a], here[b] + SIZE, lead[row[a]], np.full(len(a), -1), empty)
+        sent = np.flatnonzero(first)
+        for i in range(0, len(sent), 20_000):
+            j = sent[i : i + 20_000]
+            yield _sent_bytes(
+                [raw[x : x + SIZE] for x in where[j]], own[j].view(np.int64), doc[row[j]], tag[:, row[j]], here[j], here[j] + SIZE, (lead[row] - within)[j],
+                np.where(again[j], 2, times[row[j]]), [raw[x : x + SIZE] for x in where[j]],
             )
 
+    def go(batches):
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
+            data, offsets = scan.buffers(batch.column("text"))
+            lists = batch.column("parts")
+            rows = lists.flatten()
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            start, stop, lead, times, run, kinds = (rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "stop", "lead", "times", "run", "kinds"))
+            columns = (np.repeat(offsets[:-1], n), start, stop, lead, times, run, np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), n))
+            tag = np.repeat(_halves(batch.column("tag")), n, axis=0).T
+            raw = data.tobytes()
+            many = kinds > hot
+            if not many.all():
+                yield from stretches_of(raw, *(c[~many] for c in columns), tag[:, ~many])
+            for some in np.array_split(np.flatnonzero(many), -(-int(many.sum()) // 5000) or 1):
+                if len(some):
+                    yield from windows_of(data, raw, *(c[some] for c in columns), tag[:, some])
 
-_BYTES = "anchor binary, run long, doc long, tag binary, start int, lead int, times long, bytes binary"
+    return go
+
+
+_BYTES = "anchor binary, run long, doc long, tag binary, start int, stop int, lead int, times long, bytes binary"
 
 
 def multikey(data: np.ndarray, at: np.ndarray, group: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -243,6 +294,9 @@ def multikey(data: np.ndarray, at: np.ndarray, group: np.ndarray, size: int = SI
 def _sort_range(batches):
     """Covered spans of the partial stretches of one range; comes sorted by anchor, and works through it in whole anchor groups."""
 
+    def spans(rows, start, stop) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rows["doc"], rows["tag"], pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["doc", "tag", "start", "stop"])
+
     def work(rows: pa.Table) -> pa.RecordBatch:
         data, offsets = scan.buffers(rows["bytes"])
         data = np.append(data, np.zeros(8, np.uint8))
@@ -259,16 +313,16 @@ def _sort_range(batches):
         last = hit.copy()
         last[:-1] &= ~(hit[1:] & (row[1:] == row[:-1]))
         a, b = np.flatnonzero(edge), np.flatnonzero(last)
-        at = pa.array(row[a])
         start = rows["start"].to_numpy()[row[a]]
-        return pa.RecordBatch.from_arrays(
-            [rows["doc"].take(at).combine_chunks(), rows["tag"].take(at).combine_chunks(), pa.array(start + within[a], pa.int32()), pa.array(start + within[b] + SIZE, pa.int32())],
-            names=["doc", "tag", "start", "stop"],
-        )
+        return spans(rows.select(["doc", "tag"]).take(pa.array(row[a])).combine_chunks().to_batches()[0] if len(a) else rows.schema.empty_table().to_batches(1)[0], start + within[a], start + within[b] + SIZE)
 
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
+        known = batch.filter(pa.array(batch.column("times").to_numpy() < 0))
+        if known.num_rows:
+            yield spans({c: known.column(c) for c in ("doc", "tag")}, known.column("start"), known.column("stop"))
+            batch = batch.filter(pa.array(batch.column("times").to_numpy() >= 0))
         if not batch.num_rows:
             continue
         held.append(batch)
@@ -295,7 +349,7 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), _tag_of(t), t.alias("text"))
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """(doc, tag, start, stop): byte spans, overlapping ones included, whose every byte is covered by a repeated string.
 
     A null id stands as -2**63, a null text is empty. tag holds the MD5 of the text, which tells texts
@@ -307,9 +361,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     x = _rows(docs, doc_id, text)
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = x.mapInArrow(_scan(shards * GROUPS), _SENT).groupBy("shard").applyInArrow(_meet, _FOUND).checkpoint()
-    parts = met.filter("partial").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop", "lead", "run", "times")).alias("parts"))
+    parts = met.filter("partial").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop", "lead", "run", "times", "kinds")).alias("parts"))
     some = member_filter(x, "doc", met.filter("partial"), "doc")
-    raw = some.join(parts, ["doc", "tag"]).select("doc", "tag", "text", "parts").mapInArrow(_bytes_of, _BYTES)
+    raw = some.join(parts, ["doc", "tag"]).select("doc", "tag", "text", "parts").mapInArrow(_bytes_of(hot), _BYTES)
     ranges = raw.repartitionByRange(shards, "anchor").sortWithinPartitions("anchor", "run")
     covered = ranges.mapInArrow(_sort_range, "doc long, tag binary, start int, stop int")
     return met.filter(~F.col("partial")).select("doc", "tag", "start", "stop").unionByName(covered)
@@ -353,17 +407,17 @@ def _cut(batches):
 _CUT = "doc long, n_bytes long, spans array<struct<start:int,stop:int>>, kept_sha256 string, kept string"
 
 
-def _spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return repeats(docs, doc_id, text).groupBy("doc", "tag").agg(F.array_distinct(F.collect_list(F.struct("start", "stop"))).alias("spans")).checkpoint()
+def _spans(docs: DataFrame, doc_id: str, text: str, hot: int = HOT) -> DataFrame:
+    return repeats(docs, doc_id, text, hot).groupBy("doc", "tag").agg(F.array_distinct(F.collect_list(F.struct("start", "stop"))).alias("spans")).checkpoint()
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row for each input row: doc, n_bytes, spans (maximal removed byte runs), kept_sha256, kept (the text that is left, without broken characters).
 
     Repeated rows are repeats of each other and lose all that is SIZE bytes long. Texts shorter than SIZE lose nothing.
     """
     x = _rows(docs, doc_id, text)
-    spans = _spans(docs, doc_id, text)
+    spans = _spans(docs, doc_id, text, hot)
     touched = member_filter(x, "doc", spans, "doc").join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(_cut, _CUT)
     clean = member_filter(x, "doc", spans, "doc", wanted=False).select(
         "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"),
@@ -374,11 +428,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
-    """The rows of docs with their own columns, text holding what is left and length (if there) its code points. Texts that lose nothing stay as they are."""
+    """The rows of docs with their own columns, text holding what is left and length (if there) its code points. Texts that lose nothing stay as they are, nulls too."""
     names = docs.columns
-    t = text_of(text)
-    x = docs.withColumn("_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("_tag", _tag_of(t))
-    spans = _spans(docs, doc_id, text).select(F.col("doc").alias("_sdoc"), F.col("tag").alias("_stag"), F.col("spans").alias("_spans"))
+    key, digest, found = spare(names, "cut_key", "cut_digest", "cut_spans")
+    own, tag = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), F.unhex(F.md5(text_of(text)))
+    spans = _spans(docs, doc_id, text).select(F.col("doc").alias(key), F.col("tag").alias(digest), F.col("spans").alias(found))
 
     def cut(batches):
         at = names.index(text)
@@ -392,11 +446,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 columns[names.index(length)] = pa.array([len(s) for s in left], columns[names.index(length)].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    maybe = member_filter(x, "_doc", spans, "_sdoc")
-    known = (F.col("_doc") == F.col("_sdoc")) & (F.col("_tag") == F.col("_stag"))
-    touched = maybe.join(spans, known).select(*names, "_spans").mapInArrow(cut, docs.schema)
-    whole = maybe.join(spans, known, "left_anti").select(*names)
-    return touched.unionByName(whole).unionByName(member_filter(x, "_doc", spans, "_sdoc", wanted=False).select(*names))
+    maybe = member_filter(docs, own, spans, key)
+    known = (own == F.col(key)) & (tag == F.col(digest))
+    touched = maybe.join(spans, known).select(*names, found).mapInArrow(cut, docs.schema)
+    whole = maybe.join(spans, known, "left_anti")
+    return touched.unionByName(whole).unionByName(member_filter(docs, own, spans, key, wanted=False))
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
