@@ -1,12 +1,11 @@
 """Benchmark decontamination: hashed benchmark n-grams against every window of every document.
 
-Method. The benchmark's word windows become a set of 64-bit hashes which travels inside the plan
-(a broadcast hash set, at most ``max_set`` entries, counted before it is taken). A document is
-first probed at every sixth word only: an occurrence of a ten-word window always contains a
-five-word run that starts at a multiple of six, so the probe misses nothing. Documents that pass
-have all their windows hashed, and the windows that hit are verified by joining their *text* with
-the benchmark's. A benchmark beyond ``max_set`` takes the other way: every window is joined, both
-sides shuffled.
+Method. The benchmark's word windows become a set of 64-bit hashes, which is broadcast where the counted
+windows are at most ``max_set`` and shuffled otherwise; the plan is the same. A document is first probed at
+every sixth word only: an occurrence of a ten-word window always contains a five-word run that starts
+at a multiple of six, so the probe misses nothing. The probes' hashes meet the set, and a bitmap of the
+texts that hit is broadcast (1 MB at most). Texts that pass have all their windows joined with the
+benchmark's by their words. Items of fewer words are probed by all runs of their width.
 
 Only DataFrame functions run here.
 """
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.native import member_filter, shared_checkpoints, table, text_of, words_of
+from sightline.llm.native import member_filter, shared_checkpoints, spare, table, text_of, words_of
 
 MAX_SET = 100_000
 
@@ -37,12 +36,6 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     )
 
 
-def _hashes(grams: DataFrame, limit: int) -> list[int] | None:
-    """The distinct hashes, or None if there are more than limit."""
-    rows = grams.select(F.xxhash64("gram").alias("h")).distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else [r.h for r in rows]
-
-
 def _starts(n: Column, width: int, step: int = 1) -> Column:
     return F.when(n >= width, F.sequence(F.lit(0), n - width, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
@@ -52,6 +45,9 @@ def hits(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str
 
     rid tells rows with the same or no id apart; it holds within one result only.
     """
+    shared_checkpoints(docs.sparkSession)
+    windows = windows.checkpoint()
+    few = F.broadcast if windows.count() <= max_set else (lambda x: x)  # counted
     part = size // 2
     probes = (
         windows.filter(F.col("width") == size)
@@ -59,41 +55,32 @@ def hits(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(size - part))))
         .select(_gram(F.col("w"), F.col("i"), part).alias("gram"))
     )
-    short = [r.width for r in windows.select("width").distinct().collect() if r.width < size]
-    sets = {width: _hashes(windows.filter(F.col("width") == width), max_set) for width in [*short, size]}
-    probe = _hashes(probes, max_set)
-    words = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(doc_id).alias("doc"), words_of(text_of(text)).alias("w")
-    ).withColumn("n_words", F.size("w"))
+    short = sorted(r.width for r in windows.select("width").distinct().collect() if r.width < size)  # fewer than size
+    wanted = probes.unionByName(windows.filter(F.col("width") < size).select("gram")).select(F.xxhash64("gram").alias("h")).distinct()
+    t = text_of(text)
     w, n = F.col("w"), F.col("n_words")
 
-    def found(starts: Column, width: int) -> Column:
-        known = sets[width]
-        if known is None:
-            return starts
-        return F.filter(starts, lambda i: F.xxhash64(_gram(w, i, width)).isin(known)) if known else F.array().cast("array<int>")
-
-    if probe is None or sets[size] is None:
-        near = F.lit(True)
-    elif probe:
-        near = F.exists(_starts(n, part, size - part + 1), lambda i: F.xxhash64(_gram(w, i, part)).isin(probe))
-    else:
-        near = F.lit(False)
-    marked = words.withColumn("near", near)
-
-    def runs(starts: Column, width: int) -> Column:
-        return F.transform(found(starts, width), lambda i: F.struct(i.alias("start"), (i + width).alias("stop")))
-
-    full = F.when(F.col("near"), _starts(n, size)).otherwise(F.array().cast("array<int>"))
-    spans = F.concat(*(runs(_starts(n, width), width) for width in short), runs(full, size))
-    rows = marked.select("rid", "doc", "n_words", "w", F.explode_outer(spans).alias("run")).select(
-        "rid", "doc", "n_words", "run.start", "run.stop",
-        F.when(F.col("run").isNotNull(), _gram(w, F.col("run.start"), F.col("run.stop") - F.col("run.start"))).alias("gram"),
-    )
-    known = windows.select("gram", "item")
-    if all(x is not None for x in sets.values()):
-        known = F.broadcast(known)  # at most max_set grams of each width
-    return rows.join(known, "gram", "left").drop("gram")
+    def hashes(starts: Column, width: int) -> Column:
+        return F.transform(starts, lambda i: F.xxhash64(_gram(w, i, width)))
+
+    x = docs.select(F.xxhash64(t).alias("key"), words_of(t).alias("w")).withColumn("n_words", F.size("w"))
+    seen = x.select("key", F.explode(F.concat(hashes(_starts(n, part, size - part + 1), part), *(hashes(_starts(n, width), width) for width in short))).alias("h"))
+    near = seen.join(few(wanted), "h", "left_semi").select("key").distinct().checkpoint()
+    plain = docs.select(F.col(doc_id).alias("doc"), t.alias("text"))
+
+    def told(wanted: bool) -> DataFrame:
+        rows = member_filter(plain, F.xxhash64("text"), near, "key", wanted).select((F.monotonically_increasing_id() * 2 + int(wanted)).alias("rid"), "doc", words_of(F.col("text")).alias("w"))
+        return rows.withColumn("n_words", F.size("w"))
+
+    def runs(width: int) -> Column:
+        return F.transform(_starts(n, width), lambda i: F.struct(i.alias("start"), (i + width).alias("stop"), _gram(w, i, width).alias("gram")))
+
+    found = told(True).select("rid", "doc", "n_words", F.explode_outer(F.concat(*map(runs, [*short, size]))).alias("run")).select("rid", "doc", "n_words", "run.start", "run.stop", "run.gram")
+    found = found.join(few(windows.select("gram", "item")), "gram", "left").select(
+        "rid", "doc", "n_words", *(F.when(F.col("item").isNotNull(), F.col(c)).alias(c) for c in ("start", "stop")), "item"
+    )
+    none = (F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"), F.lit(None).cast(windows.schema["item"].dataType).alias("item"))
+    return found.unionByName(told(False).select("rid", "doc", "n_words", *none))
 
 
 def _named(windows: DataFrame) -> DataFrame:
@@ -104,7 +91,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """One row for each input row: doc, n_words, n_hit, items (sorted strings), spans (maximal hit word ranges).
 
     Null and empty texts have no words and no hits. A repeated row gives a repeated result. A null
-    item id counts as the string "null".
+    item id counts as the string "null". Empty tables give no rows, or no hits; other columns are left out.
     """
     windows = item_windows(items, size=size)
     merged = F.aggregate(
@@ -157,12 +144,13 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", size: int = 10, max_set: int = MAX_SET) -> DataFrame:
-    """The rows of docs without any benchmark window, with their own columns. What a row is depends on its text alone, so rows go by its digest."""
+    """The rows of docs without any benchmark window, with their own columns, whatever their names. What a row is depends on its text alone, so rows go by its digest.
+
+    Null and empty texts hold no window and stay, repeated rows stay or go together.
+    """
     digest = F.md5(text_of(text))
+    (key,) = spare(docs.columns, "clean_key")
     found = hits(docs.select(digest.alias("doc"), text_of(text).alias("text")), _named(item_windows(items, size=size)), "doc", "text", size, max_set)
-    bad = found.filter(F.col("stop").isNotNull() & F.col("item").isNotNull()).select(F.col("doc").alias("_bad")).distinct()
-    shared_checkpoints(docs.sparkSession)
-    bad = bad.checkpoint()
-    marked = docs.withColumn("_digest", digest)
-    looked_at = member_filter(marked, "_digest", bad, "_bad").join(bad, F.col("_digest") == F.col("_bad"), "left_anti")
-    return member_filter(marked, "_digest", bad, "_bad", wanted=False).select(*docs.columns).unionByName(looked_at.select(*docs.columns))
+    bad = found.filter(F.col("item").isNotNull()).select(F.col("doc").alias(key)).distinct().checkpoint()
+    looked_at = member_filter(docs, digest, bad, key).join(bad, digest == F.col(key), "left_anti")
+    return member_filter(docs, digest, bad, key, wanted=False).unionByName(looked_at)
