@@ -21,24 +21,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sightline.llm.native import table
+from sightline.llm.native import spare, table
 
-PERIOD = 1000
 BLOCK = 64
 BUCKET_ROWS = 20_000
 BROADCAST_BLOCKS = 100_000
+MOST_SOURCES = 100_000
 
 
-def slots_of(weights: dict, period: int = PERIOD) -> dict:
-    """Whole slots a period by largest remainders, at least one each; the period doubles until it holds all sources."""
-    live = {s: w for s, w in weights.items() if w > 0}
-    while live and period < 2 * len(live):
-        period *= 2
-    total = sum(live.values())
-    spare = period - len(live)
-    exact = {s: 1 + spare * w / total for s, w in live.items()}
-    out = {s: int(x) for s, x in exact.items()}
-    for s in sorted(live, key=lambda s: (out[s] - exact[s], str(s)))[: period - sum(out.values())]:
+def slots_of(weights: dict, period: int = 1000) -> dict:
+    """Whole slots of a period by largest remainders of period times the share; a source may get none."""
+    parts = {s: w * period for s, w in shares(weights).items()}
+    out = {s: math.floor(x) for s, x in parts.items()}
+    for s in sorted(parts, key=lambda s: (out[s] - parts[s], str(s)))[: period - sum(out.values())]:
         out[s] += 1
     return out
 
@@ -84,7 +79,7 @@ def schedule(slots: dict) -> dict:
     return {(s, i): (slot, release, deadline) for s, i, slot, release, deadline in walk(shares(slots), slots)}
 
 
-def _plan(spark, weights: dict, blocks: dict, block: int) -> DataFrame:
+def _plan(spark, weights: dict, blocks: dict, block: int, names: tuple) -> DataFrame:
     """A row for each block. Sources without a weight come after all others and take turns, one block a slot."""
     order = sorted(blocks, key=str)
     number = {s: k for k, s in enumerate(order)}
@@ -105,9 +100,9 @@ def _plan(spark, weights: dict, blocks: dict, block: int) -> DataFrame:
                 for c, v in zip(columns, (i, last, last, last + 1)):
                     c.append(v)
                 last += 1
-    names = pa.DictionaryArray.from_arrays(pa.array(np.array(keys, np.int32)), pa.array(order, pa.string())).cast(pa.string())
-    made = pa.table([names, *(pa.array(np.array(c, np.int64)) for c in columns)], names=["_key", "_block", "_s", "_r", "_d"])
-    plan = spark.createDataFrame(made) if len(made) else spark.createDataFrame([], "_key string, _block long, _s long, _r long, _d long")
+    source = pa.DictionaryArray.from_arrays(pa.array(np.array(keys, np.int32)), pa.array(order, pa.string())).cast(pa.string())
+    made = pa.table([source, *(pa.array(np.array(c, np.int64)) for c in columns)], names=list(names))
+    plan = spark.createDataFrame(made) if len(made) else spark.createDataFrame([], f"{names[0]} string, " + ", ".join(f"{c} long" for c in names[1:]))
     return F.broadcast(plan) if len(made) <= BROADCAST_BLOCKS else plan  # counted
 
 
@@ -116,39 +111,41 @@ def default_weights(counts: dict) -> dict:
     return {s: math.sqrt(n) for s, n in counts.items()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", source: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", source: str = "source", block: int = BLOCK, period: int = 1000, most_sources: int = MOST_SOURCES) -> DataFrame:
     """The columns of docs and mix_weight, mix_block, mix_release, mix_deadline, mix_slot, mix_position; the mixture is the order of mix_position.
 
     A null source is a source of its own. A source that weights leaves out, or gives 0, is put after all
-    others. Documents of one source stand in the order of the MD5 of their id. Repeated rows all stay. The
-    number of sources and the schedule of blocks must fit the driver; documents of a source are ranked in
-    buckets, so a source may hold any share of the rows. Weights are taken as they are: period has no effect
-    and stands for callers that still give one.
+    others. Documents of one source stand in the order of the MD5 of their id, a null id as an empty one. Repeated
+    rows all stay, an empty table stays empty and texts aren't read. Columns of docs that have the names of the
+    new ones are replaced, all others stay. Documents of a source are ranked in buckets, so a source may hold any
+    share of the rows. The schedule of blocks must fit the driver, and more than most_sources sources are an error.
+    Weights are taken as they are: period has no effect and stands for callers that still give one.
     """
     own = [f"mix_{c}" for c in ("weight", "block", "release", "deadline", "slot", "position")]
     x = docs.drop(*own)
     names = x.columns
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
-    x = x.withColumn("_key", key).withColumn("_hash", F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    counts = {r[0]: r[1] for r in x.groupBy("_key").count().collect()}
-    buckets = 16 ** min(6, max(1, math.ceil(math.log(max(2, sum(counts.values()) / BUCKET_ROWS), 16)) + 1))
-    digits = round(math.log(buckets, 16))
-    x = x.withColumn("_bucket", F.substring("_hash", 1, digits))
+    k, h, rank, bucket, before, size, w, number, slot, release, deadline = spare(
+        [*names, *own], "key", "hash", "rank", "bucket", "before", "size", "share", "number", "at", "release", "deadline"
+    )
+    x = x.withColumn(k, F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))).withColumn(h, F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    rows = x.groupBy(k).agg(F.count("*").alias(size)).limit(most_sources + 1).collect()
+    if len(rows) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
+    counts = {r[0]: r[1] for r in rows}
+    digits = min(6, max(1, math.ceil(math.log(max(2, sum(counts.values()) / BUCKET_ROWS), 16)) + 1))
+    x = x.withColumn(bucket, F.substring(h, 1, digits))
     given = default_weights(counts) if weights is None else {("n" if s is None else f"s{s}"): w for s, w in weights.items()}
     target = shares({s: given.get(s, 0) for s in counts})
-    plan = _plan(docs.sparkSession, target, {s: -(-n // block) for s, n in counts.items()}, block)
-    sizes = docs.sparkSession.createDataFrame([(s, float(target.get(s, 0))) for s in counts], "_key string, _w double")
-    starts = x.groupBy("_key", "_bucket").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("_key", "_bucket", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_key", "_bucket").orderBy("_hash", doc_id, *(c for c in names if c != doc_id and x.schema[c].dataType.simpleString() in ("string", "bigint", "int")))
-    x = x.withColumn("_rank", F.row_number().over(within) - 1).join(starts, ["_key", "_bucket"])
-    x = x.join(F.broadcast(sizes), "_key").withColumn("_rank", F.col("_rank") + F.col("_before"))  # one row a source
-    x = x.withColumn("_block", F.floor(F.col("_rank") / block)).join(plan, ["_key", "_block"])
-    return x.select(
-        *names, F.col("_w").alias("mix_weight"), F.col("_block").alias("mix_block"), F.col("_r").alias("mix_release"), F.col("_d").alias("mix_deadline"),
-        F.col("_s").alias("mix_slot"), (F.col("_s") * block + F.col("_rank") % block).alias("mix_position"),
-    )
+    plan = _plan(docs.sparkSession, target, {s: -(-n // block) for s, n in counts.items()}, block, (k, number, slot, release, deadline))
+    shares_of = docs.sparkSession.createDataFrame([(s, float(target.get(s, 0))) for s in counts], f"{k} string, {w} double")
+    earlier = Window.partitionBy(k).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = x.groupBy(k, bucket).agg(F.count("*").alias(size)).select(k, bucket, F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy(k, bucket).orderBy(h, doc_id, *(c for c in names if c != doc_id and x.schema[c].dataType.simpleString() in ("string", "bigint", "int")))
+    x = x.withColumn(rank, F.row_number().over(within) - 1).join(starts, [k, bucket])
+    x = x.join(F.broadcast(shares_of), k).withColumn(rank, F.col(rank) + F.col(before))  # at most most_sources rows
+    x = x.withColumn(number, F.floor(F.col(rank) / block)).join(plan, [k, number])
+    made = (F.col(w), F.col(number), F.col(release), F.col(deadline), F.col(slot), F.col(slot) * block + F.col(rank) % block)
+    return x.select(*names, *(c.alias(name) for c, name in zip(made, own)))
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:
