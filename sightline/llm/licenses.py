@@ -1,9 +1,10 @@
 """License scans: an Aho-Corasick automaton over notice phrases and identifier tags, and a shunting-yard parser for license expressions.
 
 The automaton runs over the words of a text joined by single spaces, so a phrase is found where its
-words stand consecutively, whatever stands between them. SPDX-License-Identifier tags are found by the
-same automaton on the raw text; the rest of the tag's line is parsed as an expression of identifiers
-with AND, OR, WITH and parentheses, and the identifiers that are licenses become labels.
+words stand consecutively, whatever stands between them. SPDX-License-Identifier tags are found by a second
+automaton on the raw text; the rest of the tag's line is parsed as an expression of identifiers
+with AND, OR, WITH and parentheses. The licenses that it names become labels; ``holds`` evaluates it for a
+set of licenses that one may use. Both take time in proportion to the expression, however it is nested.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ PHRASES = {
 }
 BASE_SURE = 0.9
 TAG_SURE = 1.0
-TAG = "spdx-license-identifier:"
+TAGS = ("spdx-license-identifier:",)
 
 #: Separators to a space, A-Z to lower case, as bytes.translate takes it.
 _PLAIN = bytes(int(scan.LOWER[i]) if scan.ALNUM[i] else 32 for i in range(256))
@@ -88,7 +89,10 @@ def to_postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The ways to comply: each a set of licenses that hold together. x WITH y is one license named x-with-y."""
+    """The ways to comply: each a set of licenses that hold together. x WITH y is one license named x-with-y.
+
+    There may be as many ways as the product of all alternatives; scans use ``named`` and ``holds``, which don't list them.
+    """
     stack: list[list[frozenset[str]]] = []
     for token in postfix:
         if token not in _RANK:
@@ -104,6 +108,43 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
     return stack.pop()
 
 
+def named(postfix: list[str]) -> set[str]:
+    """The labels of the licenses in an expression. x WITH y is one license, x-with-y; where y is itself an expression all its names follow."""
+    stack: list[list[str]] = []  # the smaller of two lists is put to the larger, so a long expression costs little more than its length
+    for token in postfix:
+        if token not in _RANK:
+            stack.append([token])
+            continue
+        b, a = stack.pop(), stack.pop()
+        if token == "with":
+            more = "-".join(sorted(b))
+            stack.append([f"{x}-with-{more}" for x in a])
+        else:
+            a, b = (a, b) if len(a) >= len(b) else (b, a)
+            a += b
+            stack.append(a)
+    return {label_of(x) for x in stack.pop()}
+
+
+def holds(postfix: list[str], owned: set[str]) -> bool:
+    """Whether licenses with these labels are enough to comply: AND asks for both sides, OR for one."""
+    stack: list = []
+
+    def value(x) -> bool:
+        return x if isinstance(x, bool) else label_of(x) in owned
+
+    for token in postfix:
+        if token not in _RANK:
+            stack.append(token)
+            continue
+        b, a = stack.pop(), stack.pop()
+        if token == "with":
+            stack.append(f"{a}-with-{b}" if isinstance(a, str) and isinstance(b, str) else False)
+        else:
+            stack.append((value(a) or value(b)) if token == "or" else (value(a) and value(b)))
+    return value(stack.pop())
+
+
 def label_of(identifier: str) -> str:
     """The short label of an SPDX identifier: apache-2.0 is apache-2, gpl-3.0-or-later is gpl-3."""
     name = re.sub(r"(-only|-or-later|\+)$", "", identifier)
@@ -119,6 +160,15 @@ def automaton():
     return a
 
 
+@functools.cache
+def tag_automaton():
+    a = ahocorasick.Automaton()
+    for tag in TAGS:
+        a.add_word(tag, len(tag))
+    a.make_automaton()
+    return a
+
+
 def scan_text(raw: bytes) -> dict:
     """n_words, base (starts of base phrases in words, sorted), base_labels, labels, score, notices (start word, stop word, label), expressions."""
     words = raw.translate(_PLAIN).split()
@@ -145,17 +195,14 @@ def scan_text(raw: bytes) -> dict:
         sure = 1 - (1 - sure) * (1 - p)
         notices.append((start, start + phrase.count(" ") + 1, label))
     expressions = []
-    low = raw.lower()
-    place = low.find(TAG.encode())
-    while place >= 0:
-        stop = raw.find(b"\n", place)
-        line = raw[place + len(TAG) : stop if stop >= 0 else len(raw)].decode("utf-8", "replace")
+    for end, _ in tag_automaton().iter(raw.lower().decode("latin-1")):  # one character a byte
+        stop = raw.find(b"\n", end)
+        line = raw[end + 1 : stop if stop >= 0 else len(raw)].decode("utf-8", "replace")
         postfix = to_postfix(line)
         if postfix:
             expressions.append(line.strip())
-            labels |= {label_of(x) for way in evaluate(postfix) for x in way} - {"none", "noassertion"}
+            labels |= named(postfix) - {"none", "noassertion"}
             sure = TAG_SURE
-        place = low.find(TAG.encode(), place + 1)
     return {"n_words": len(words), "base": sorted(base), "base_labels": sorted(base_labels), "labels": sorted(labels), "score": round(min(1.0, sure), 6), "notices": sorted(notices), "expressions": expressions}
 
 
@@ -188,7 +235,8 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """One row for each input row: words, base phrase places, labels, score 0 to 1, all notices and expressions.
 
     A null or empty text has no words, empty labels and score 0. Overlapping phrases all count. A
-    malformed expression adds no label.
+    malformed expression adds no label. Repeated rows give repeated results, an empty table gives none, and
+    other columns of docs are left out. A text of any length is scanned as a whole, in linear time.
     """
     return docs.select(F.col(doc_id).cast("long").alias("doc"), text_of(text).alias("text")).mapInArrow(_go, _FOUND)
 
