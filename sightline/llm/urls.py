@@ -80,8 +80,10 @@ def templates(pages: DataFrame) -> DataFrame:
 def verdicts(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page, host, path, rule, verdict, template, purity), one row for each input row.
 
-    labels has page, bad (boolean). A null url, or one without ://, has an empty host and path and goes
-    by its labels as any other. Without any label nothing is rejected.
+    labels has page, bad (boolean); a page is bad if any of its rows says so, and a null says nothing. A null
+    url, or one without ://, has an empty host and path and goes by its labels as any other. Without any label
+    nothing is rejected. An empty table gives no rows, repeated rows give repeated results and count as often.
+    Other columns of pages are left out. A url may be of any length.
     """
     x = templates(pages.select(F.col(page_id).alias("page"), F.col(url).alias("url")))
     if labels is None:
@@ -115,7 +117,13 @@ def verdicts(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, pag
     )
 
 
-def op1_url_filters(spark, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    return verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), labels).withColumnRenamed("page", "page_id")
+def rule_labels(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """(page, bad): what the rules say of the pages that they fit."""
+    host, path = host_of(F.col(url)), path_of(F.col(url))
+    return pages.select(F.col(page_id).alias("page"), rule_of(host, path, rules)["verdict"].alias("verdict")).filter("verdict is not null").select("page", (F.col("verdict") == "block").alias("bad"))
+
 
+def op1_url_filters(spark, sf_dir: str) -> DataFrame:
+    """Pages have no labels of their own, so the tree learns from the verdicts of the rules: pages that a rule fits are its labelled pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return verdicts(pages, rule_labels(pages)).withColumnRenamed("page", "page_id")
