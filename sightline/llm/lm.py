@@ -2,7 +2,8 @@
 
 P(w | u) = a(b) c(u w) / c(u) + k(b) c(w) / N + z(b) / (V + 1), where b is the bucket floor(log2 c(u)) of
 the context's frequency. The weights of each bucket come from expectation-maximisation on deleted
-documents: training documents with crc32 remainder 1, each seen by counts that leave itself out.
+documents: those of one training fold (crc32 remainder 1), each seen by counts that leave itself out, so
+what they teach grows with the corpus; without any the weights stay as they begin.
 Estimates for EM are gathered as counts over quarter-octave cells of the two estimates, which is a table
 of bounded size over all deleted tokens.
 
@@ -24,7 +25,8 @@ from sightline.llm.exchange import cuts, pack, release, unpack
 from sightline.llm.native import shared_checkpoints, table, text_of
 
 BLOCK_BYTES = 8 << 20
-BUCKETS = 24
+BUCKETS = 40
+SHARDS = 4  # of the key space for each shuffle partition: messages grow with the blocks, not with their square
 CELL = 4
 NONE = -(1 << 20)
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
@@ -136,8 +138,10 @@ def _cells(total: int, n_docs: int):
 
 def learn_weights(cells, vocabulary: int, rounds: int = 60) -> np.ndarray:
     """(BUCKETS, 3): weights of the bigram, unigram and uniform estimates by EM. Buckets without deleted tokens take those of the nearest below."""
-    out = np.tile([0.0, 0.9, 0.1], (BUCKETS, 1))
-    last = out[0]
+    out = np.tile([0.4, 0.4, 0.2], (BUCKETS, 1))
+    out[0] = last = np.array([0.0, 0.9, 0.1])
+    if not len(cells):
+        return out
     for b in range(BUCKETS):
         rows = np.array([(one, two, n) for bb, one, two, n in cells if bb == b], np.float64).reshape(-1, 3)
         if len(rows):
@@ -176,7 +180,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
     """(one row for each input row, the mixture weights).
 
     Null and empty texts are one end token. A null id trains. Repeated rows count as often as they
-    stand. An empty table gives no rows.
+    stand. An empty table gives no rows; other columns of docs are left out. A text of any length is one
+    row of its block, which is scored as a whole.
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
@@ -185,12 +190,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
     size, n_docs = x.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.when(F.col("fold") != HELD_OUT, 1))).first()
     blocks = max(1, math.ceil(size / block_bytes))
     small = max(1, blocks // (FOLDS - 1))
+    shards = SHARDS * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     h = F.xxhash64("doc_id", "text")
     x = x.select(
         "doc_id", "text", (F.col("fold") != HELD_OUT).alias("train"), (F.col("fold") == HELD_OUT).alias("held_out"),
         F.when(F.col("fold") == DELETED, blocks + F.pmod(h, F.lit(small))).otherwise(F.pmod(h, F.lit(blocks))).alias("block"),
     )
-    answers = x.groupBy("block").applyInArrow(_request(blocks), _REQUEST).groupBy("kind", "shard").applyInArrow(_answer, _ANSWER).checkpoint()
+    answers = x.groupBy("block").applyInArrow(_request(shards), _REQUEST).groupBy("kind", "shard").applyInArrow(_answer, _ANSWER).checkpoint()
     total, known = answers.filter("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     release(spark)
     told = answers.select("kind", "shard", "block", "counts")
