@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sightline.llm.native import table, text_of
+from sightline.llm.native import spare, table, text_of
 
 LEAVES = 64
 RUN = 3
@@ -98,7 +98,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, n_chars, root, sections, paragraphs, fingerprint), one row for each input row; a null text is empty."""
+    """(doc, n_chars, root, sections, paragraphs, fingerprint), one row for each input row; a null text is empty, an empty table gives no rows, other columns are left out."""
     x = docs.select(F.col(doc_id).alias("doc"), text_of(text).alias("t"))
     x = x.withColumn("paragraphs", paragraph_digests(F.col("t")))
     x = x.withColumn("sections", section_digests(F.col("paragraphs")))
@@ -150,25 +150,42 @@ def differing(a: str, b: str) -> Column:
     return F.when(F.col(f"{a}_root") == F.col(f"{b}_root"), none).otherwise(F.flatten(F.transform(sections, section)))
 
 
+def _bucket_of(at: Column, splits: list) -> Column:
+    """How many splits lie below at, by halving; the plan holds one array, however many splits there are."""
+    if not splits:
+        return F.lit(0)
+    known = F.lit(splits)
+
+    def halve(x: Column, _: Column) -> Column:
+        middle = F.floor((x["low"] + x["high"]) / 2).cast("int")
+        below = F.get(known, middle) < at
+        return F.struct(F.when((x["low"] < x["high"]) & below, middle + 1).otherwise(x["low"]).alias("low"), F.when((x["low"] < x["high"]) & ~below, middle).otherwise(x["high"]).alias("high"))
+
+    first = F.struct(F.lit(0).alias("low"), F.lit(len(splits)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(splits).bit_length())), first, halve)["low"]
+
+
 def with_next(rows: DataFrame, key: str, buckets: int, *carried: str) -> DataFrame:
     """Each row with next_<c> for the row that follows it in descending key order, the first following the last.
 
     Ties go by the first carried column, nulls come last. The order is dealt over buckets whose
     splitters are sampled quantiles; the first row of each bucket is also put at the end of the bucket
-    before it, so no task sees more than its own range.
+    before it, so no task sees more than its own range. Other columns stay, whatever their names.
     """
-    at = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
-    splits = sorted(set(rows.agg(F.percentile_approx(at, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or [])) if buckets > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s < F.col("_at"))) if splits else F.lit(0)
-    x = rows.withColumn("_at", at).withColumn("_bucket", bucket.cast("int"))
-    tops = {r[0]: r[1] for r in x.groupBy("_bucket").agg(F.max("_at")).collect()}
-    order = sorted(tops, reverse=True)
-    ghosts = [F.when((F.col("_bucket") == b) & (F.col("_at") == tops[b]), F.struct(F.lit(order[i - 1]).alias("b"), F.lit(1 + (i == 0)).alias("ghost"))) for i, b in enumerate(order)]
-    own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("ghost"))
-    x = x.withColumn("_to", F.explode(F.array_compact(F.array(own, F.coalesce(*ghosts, F.lit(None).cast("struct<b:int,ghost:int>"))))))
-    w = Window.partitionBy("_to.b").orderBy(F.when(F.col("_to.ghost") == 2, 1).otherwise(0).asc(), F.col("_at").desc(), *(F.col(c).asc() for c in carried[:1]), F.col("_to.ghost").asc())
-    x = x.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried))
-    return x.filter(F.col("_to.ghost") == 0).drop("_at", "_bucket", "_to")
+    at, bucket, top, back, last, ghost, to = spare([*rows.columns, *(f"next_{c}" for c in carried)], "at", "bucket", "top", "back", "last", "ghost", "to")
+    x = rows.withColumn(at, F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))))
+    splits = sorted(set(x.agg(F.percentile_approx(at, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or [])) if buckets > 1 else []
+    x = x.withColumn(bucket, _bucket_of(F.col(at), splits).cast("int"))
+    tops = sorted((tuple(r) for r in x.groupBy(bucket).agg(F.max(at)).collect()), reverse=True)
+    before = [(b, t, tops[i - 1][0], int(i == 0)) for i, (b, t) in enumerate(tops)]
+    before = rows.sparkSession.createDataFrame(before, f"{bucket} int, {top} long, {back} int, {last} int")
+    x = x.join(F.broadcast(before), bucket)  # at most a row for each shuffle partition
+    copies = F.when(F.col(at) == F.col(top), F.array(F.struct(F.col(bucket).alias("b"), F.lit(0).alias("ghost")), F.struct(F.col(back).alias("b"), (F.col(last) + 1).alias("ghost"))))
+    x = x.withColumn(to, F.explode(F.coalesce(copies, F.array(F.struct(F.col(bucket).alias("b"), F.lit(0).alias("ghost"))))))
+    x = x.withColumn(ghost, F.col(f"{to}.ghost")).withColumn(to, F.col(f"{to}.b"))
+    w = Window.partitionBy(to).orderBy((F.col(ghost) == 2).asc(), F.col(at).desc(), *(F.col(c).asc() for c in carried[:1]), F.col(ghost).asc())
+    x = x.select(*rows.columns, ghost, *(F.lead(c).over(w).alias(f"next_{c}") for c in carried))
+    return x.filter(F.col(ghost) == 0).drop(ghost)
 
 
 def op2_document_fingerprints(spark, sf_dir: str) -> DataFrame:
