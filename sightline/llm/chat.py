@@ -2,7 +2,7 @@
 
 Nodes (tree, node, parent, role, text, score) form trees of replies. Paths from root to leaf come from
 iterative self-joins that double the distance covered each round, so a thread of n turns takes
-log2(n) joins. Branches are ranked by the mean score of their nodes, and each chosen path is written
+log2(n) rounds. Branches are ranked by the mean score of their nodes, and each chosen path is written
 as one string. Turns are marked ``### Role: text</turn>`` and control strings inside a text are escaped by
 a backslash that ``unescape`` takes away again. The loss mask covers what stands between an assistant's
 mark and its end.
@@ -21,7 +21,6 @@ from pyspark.sql.window import Window
 from sightline.llm.native import lower_ascii, shared_checkpoints, table, text_of
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
-MAX_ROUNDS = 40
 
 
 #: What stands for a backslash, # and < inside a text. Every backslash of an escaped text starts one of these.
@@ -57,49 +56,61 @@ def untitle(coded: Column) -> Column:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, path array of node from the root): one row for each leaf.
+    """(tree, leaf, node, distance): a row for each leaf and node on its way from the root, distance counted up from the leaf.
 
     nodes has tree, node (unique in its tree), parent (null for a root). A parent that isn't there
-    makes its children roots; nodes on a cycle are on no path.
+    makes its children roots; nodes on a cycle, and those that hang from one, are on no path.
+
+    Each round joins the table of ancestors 2**k above with itself, and the leaves that are deeper than 2**k
+    with it, so the rows are those of the result and a node is carried no more often than it is on a path.
     """
+    shared_checkpoints(nodes.sparkSession)
     n = nodes.select("tree", "node", "parent")
     there = n.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    n = n.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"))
-    leaf = n.join(n.filter(F.col("up").isNotNull()).select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
-    step = n.join(n.groupBy("tree").agg(F.count("*").alias("n")), "tree").select("tree", "node", "up", F.array("node").alias("path"), "n")
-    shared_checkpoints(nodes.sparkSession)
-    step = step.checkpoint()
-    for _ in range(MAX_ROUNDS):
-        done, going = step.filter(F.col("up").isNull()), step.filter(F.col("up").isNotNull())
-        if not going.take(1):
+    n = n.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up")).checkpoint()
+    most = n.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    above = [n.filter(F.col("up").isNotNull())]
+    looped = None
+    while above[-1].take(1):
+        if 2 ** (len(above) - 1) >= most:  # an ancestor further off than the tree is large
+            looped = above.pop().select("tree", F.col("node").alias("leaf"))
+            break
+        higher = above[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("up2"))
+        above.append(above[-1].join(higher, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up")).checkpoint())
+    parents = above[0].select("tree", F.col("up").alias("node")).distinct()
+    leaf = n.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
+    if looped is not None:
+        leaf = leaf.join(looped, ["tree", "leaf"], "left_anti")
+    found = live = leaf.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("distance"))
+    for k, table_ in enumerate(above):
+        deep = live.join(table_.select("tree", F.col("node").alias("leaf")), ["tree", "leaf"], "left_semi").checkpoint()
+        if not deep.take(1):
             break
-        above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("head"))
-        going = going.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), F.concat("head", "path").alias("path"), "n")
-        going = going.filter(F.size("path") <= F.col("n"))  # a longer one goes round a cycle
-        step = done.unionByName(going).checkpoint()
-    done = step.filter(F.col("up").isNull())
-    return leaf.join(done.withColumnRenamed("node", "leaf"), ["tree", "leaf"]).select("tree", "leaf", "path")
+        new = deep.join(table_, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("distance") + 2**k).alias("distance")).checkpoint()
+        found = found.unionByName(new)
+        live = deep.unionByName(new)
+    return found
 
 
 def conversations(nodes: DataFrame, best: int | None = None) -> DataFrame:
     """(tree, leaf, rank, score, turns array<struct<role, text>>): each root-to-leaf path, ranked by its mean score in its tree.
 
     best keeps so many branches of a tree; None keeps all. A null score counts as 0, ties go to the smaller leaf.
+    Null roles and texts are empty ones. An empty table gives no rows; other columns are left out.
     """
     nodes = nodes.withColumn("tree", F.struct("tree"))  # a struct is a join key even where the id is null
-    found = paths(nodes)
-    steps = found.select("tree", "leaf", F.posexplode("path").alias("at", "node"))
-    told = steps.join(nodes.select("tree", "node", "role", "text", "score"), ["tree", "node"])
+    told = paths(nodes).join(nodes.select("tree", "node", text_of("role").alias("role"), text_of("text").alias("text"), "score"), ["tree", "node"])
     out = told.groupBy("tree", "leaf").agg(
         F.avg(F.coalesce("score", F.lit(0.0))).alias("score"),
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),
     )
     out = out.withColumn("tree", F.col("tree.tree")).withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("leaf").asc())))
     return out if best is None else out.filter(F.col("rank") <= best)
 
 
 def formatted(turns: Column) -> Column:
-    return F.array_join(F.transform(turns, lambda x: F.concat(F.lit(OPEN), title(x["role"]), F.lit(MIDDLE), escape(x["text"]), F.lit(CLOSE))), "")
+    """The string of an array of struct<role, text>; a null role or text is an empty one."""
+    return F.array_join(F.transform(turns, lambda x: F.concat(F.lit(OPEN), title(text_of(x["role"])), F.lit(MIDDLE), escape(text_of(x["text"])), F.lit(CLOSE))), "")
 
 
 def read_back(text: Column) -> Column:

@@ -182,14 +182,20 @@ def _kth_largest(scores: DataFrame, k: int, most: int = 10_000) -> float:
 
 
 class Classifier:
-    """A fitted sampler: ratio (slots), thresholds (of the three contrasts), cutoff (drawn), kept (k)."""
+    """A fitted sampler: ratio (slots), thresholds (of the three contrasts), cutoff (drawn), kept (k).
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS):
+    labels has label_id, quality and toxic; rows without an id or with a null quality that isn't toxic say nothing, and
+    of repeated labels the worst counts. Null texts are empty. Empty texts have weight 0 before the thresholds.
+    Repeated rows are scored alike and stay or go together. Without labels every threshold is minus infinity and all
+    rows stay; an empty table stays empty. A text of any length is scored as a whole.
+    """
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS, label_id: str = "doc_id"):
         spark = docs.sparkSession
         shared_checkpoints(spark)
         small_batches(spark)
         kind = F.when(F.col("toxic") == 1, 3).when(F.col("quality") == 0, 2).when((F.col("quality") == 1) & (F.col("toxic") == 0), 1)
-        y = labels.select(F.col("doc_id").alias("doc"), kind.alias("kind")).filter(F.col("doc").isNotNull() & F.col("kind").isNotNull())
+        y = labels.select(F.col(label_id).cast("long").alias("doc"), kind.alias("kind")).filter(F.col("doc").isNotNull() & F.col("kind").isNotNull())
         y = y.groupBy("doc").agg(F.max("kind").alias("kind")).withColumn("h", F.xxhash64("doc")).orderBy("h", "doc").limit(max_labels)
         self.columns = (doc_id, text)
         x = self._prepared(docs).join(F.broadcast(y), "doc", "left")  # at most max_labels rows
