@@ -104,15 +104,23 @@ def smooth(df: DataFrame, keys: list[str], order: str, value: str, **options: fl
     return df.select(*keys, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value)).groupBy(*keys).applyInPandas(one, schema)
 
 
-def monotonic_path(scores: np.ndarray, stay: float = -0.02) -> np.ndarray:
-    """The step of each sample, never falling, with the largest total score; the first sample may start at any step, staying costs stay."""
+def monotonic_path(scores: np.ndarray, stay: float = -0.02, advance: float = 0.0, free_start: bool = True) -> np.ndarray:
+    """The step of each sample, never falling, with the largest total score; staying costs stay, moving on earns advance.
+
+    With free_start the first sample may be at any step; else it is at a later step only where its score
+    there beats what the step before gives.
+    """
     n, m = scores.shape
     best = np.full((n, m), -np.inf)
     back = np.zeros((n, m), int)
     best[0] = scores[0]
+    if not free_start:
+        for j in range(1, m):
+            if scores[0, j] <= best[0, j - 1] + stay + advance:
+                best[0, j] = -np.inf
     for i in range(1, n):
         held = best[i - 1] + stay
-        moved = np.append(-np.inf, best[i - 1][:-1])
+        moved = np.append(-np.inf, best[i - 1][:-1] + advance)
         back[i] = np.where(moved > held, np.arange(m) - 1, np.arange(m))
         best[i] = scores[i] + np.maximum(held, moved)
     path = [int(np.argmax(best[-1]))]
@@ -121,17 +129,19 @@ def monotonic_path(scores: np.ndarray, stay: float = -0.02) -> np.ndarray:
     return np.array(path[::-1])
 
 
-def drop_dtw(cost: np.ndarray, drop: float) -> tuple[float, list[tuple[int, int]]]:
-    """Least cost of matching rows to columns in order, where any row may be dropped for drop; every column takes at least one row if it can."""
+def drop_dtw(cost: np.ndarray, drop) -> tuple[float, list[tuple[int, int]]]:
+    """Least cost of matching rows to columns in order, where any row may be dropped for drop (one value, or one for each row); every column takes at least one row if it can."""
     n, m = cost.shape
+    drop = np.broadcast_to(np.asarray(drop, float), (n,))
     best = np.full((n + 1, m + 1), np.inf)
-    best[:, 0] = drop * np.arange(n + 1)
+    best[0, 0] = 0.0
+    best[1:, 0] = np.cumsum(drop)
     move = np.zeros((n + 1, m + 1), int)
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            options = (best[i - 1, j] + drop, best[i - 1, j - 1] + cost[i - 1, j - 1], best[i - 1, j] + cost[i - 1, j - 1])
-            move[i, j] = int(np.argmin(options))
-            best[i, j] = options[move[i, j]]
+        before = best[i - 1]
+        options = np.stack([before[1:] + drop[i - 1], before[:-1] + cost[i - 1], before[1:] + cost[i - 1]])
+        move[i, 1:] = options.argmin(axis=0)
+        best[i, 1:] = options.min(axis=0)
     pairs, i, j = [], n, m
     while i and j:
         if move[i, j]:

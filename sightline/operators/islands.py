@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+ROUNDS = 10_000
+
+
 def _w(keys, *order):
     return Window.partitionBy(*keys).orderBy(*order)
 
@@ -51,9 +54,9 @@ def gaps(df: DataFrame, keys: list[str], at: str, longer: int = 0) -> DataFrame:
 def fill_bounded(grid: DataFrame, keys: list[str], at: str, value: str, between: int = 5, hold: int = 3) -> DataFrame:
     """filled: a missing value interpolated where both sides exist and the gap is at most between, held where one side exists within hold steps."""
     back = _w(keys, at).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = _w(keys, at).rowsBetween(0, Window.unboundedFollowing)
+    ahead = _w(keys, F.col(at).desc()).rowsBetween(Window.unboundedPreceding, 0)  # read backwards, so that the frame only grows
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
-    x = grid.withColumn("_p", F.last(known, ignorenulls=True).over(back)).withColumn("_n", F.first(known, ignorenulls=True).over(ahead))
+    x = grid.withColumn("_p", F.last(known, ignorenulls=True).over(back)).withColumn("_n", F.last(known, ignorenulls=True).over(ahead))
     p, n, t = F.col("_p"), F.col("_n"), F.col(at)
     gap = n["t"] - p["t"] - 1
     drawn = p["v"] + (n["v"] - p["v"]) * (t - p["t"]) / (n["t"] - p["t"])
@@ -65,8 +68,10 @@ def fill_bounded(grid: DataFrame, keys: list[str], at: str, value: str, between:
 def round_robin(df: DataFrame, kind: str, *order: Column) -> DataFrame:
     """rank: the k-th best of each kind comes before any (k + 1)-th; within a round kinds keep the order of their scores."""
     x = df.withColumn("_k", F.row_number().over(Window.partitionBy(kind).orderBy(*order)))
-    starts = x.groupBy("_k").count()
-    before = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # one row a round
-    starts = starts.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    x = x.join(starts.drop("count"), "_k")
+    starts = x.groupBy("_k").count().withColumn("_bucket", F.floor(F.col("_k") / ROUNDS))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for so many rounds
+    buckets = starts.groupBy("_bucket").agg(F.sum("count").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    before = Window.partitionBy("_bucket").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).join(buckets, "_bucket").select("_k", (F.col("_before") + F.col("_base")).alias("_before"))
+    x = x.join(starts, "_k")
     return x.withColumn("rank", F.col("_before") + F.row_number().over(Window.partitionBy("_k").orderBy(*order))).drop("_k", "_before")

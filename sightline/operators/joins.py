@@ -34,11 +34,9 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str
     r = right.select(*keys, F.col(at).alias("_t"), F.struct(F.col(at).alias("t"), F.col(value).alias("v")).alias("_r"), F.lit(1 if strictly != forward else 0).alias("_side"))
     l = left.select("*", F.col(at).alias("_t"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.lit(0 if strictly != forward else 1).alias("_side"))  # noqa: E741
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", F.col("_r.v"))
-    if forward:
-        found = F.first("_r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        found = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    order = [F.col("_t"), F.col("_side"), F.col("_r.v")]
+    order = [c.desc() for c in order] if forward else order  # forward reads backwards, so that the frame only grows
+    found = F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return both.withColumn("_f", found).filter(F.col("_r").isNull()).select(*left.columns, F.col("_f.t").alias("matched_at"), F.col("_f.v").alias("matched"))
 
 

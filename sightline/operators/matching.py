@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def greedy(cost: np.ndarray, most: float = np.inf) -> list[tuple[int, int]]:
@@ -22,38 +24,51 @@ def greedy(cost: np.ndarray, most: float = np.inf) -> list[tuple[int, int]]:
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
-    """The one-to-one assignment of least total cost by shortest augmenting paths. Every row of the shorter side is matched; costs must be finite."""
+    """The one-to-one assignment of least total cost. Every row of the shorter side is matched; costs must be finite.
+
+    Rows first take their cheapest column where it is free. Each row that is left looks for the column at the end of its
+    cheapest chain of exchanges, measured by what a pair costs above the prices of its row and column, and the
+    prices then rise by what the chain has used up.
+    """
     if cost.size == 0:
         return []
-    flipped = cost.shape[0] > cost.shape[1]
-    c = cost.T if flipped else cost
-    n, m = c.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0] = i
-        j0, low, way, used = 0, np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+    wide = cost if cost.shape[0] <= cost.shape[1] else cost.T
+    rows, columns = wide.shape
+    row_price, column_price = wide.min(axis=1), np.zeros(columns)
+    holder, choice = np.full(columns, -1), np.full(rows, -1)
+    for row, column in enumerate(wide.argmin(axis=1)):
+        if holder[column] < 0:
+            holder[column], choice[row] = row, column
+    for start in np.flatnonzero(choice < 0):
+        excess = wide[start] - row_price[start] - column_price
+        came_from = np.full(columns, start)
+        closed = np.zeros(columns, bool)
         while True:
-            used[j0] = True
-            reduced = np.append(np.inf, c[match[j0] - 1] - u[match[j0]] - v[1:])
-            better = ~used & (reduced < low)
-            low[better], way[better] = reduced[better], j0
-            j1 = int(np.argmin(np.where(used, np.inf, low)))
-            delta = low[j1]
-            u[match[used]] += delta
-            v[used] -= delta
-            low[~used] -= delta
-            j0 = j1
-            if match[j0] == 0:
+            end = int(np.where(closed, np.inf, excess).argmin())
+            if holder[end] < 0:
                 break
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    pairs = [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
-    return sorted((c_, r_) if flipped else (r_, c_) for r_, c_ in pairs)
+            closed[end] = True
+            other = holder[end]
+            onward = excess[end] + wide[other] - row_price[other] - column_price
+            better = ~closed & (onward < excess)
+            excess[better], came_from[better] = onward[better], other
+        saved = excess[end] - excess[closed]
+        row_price[start] += excess[end]
+        row_price[holder[closed]] += saved
+        column_price[closed] -= saved
+        row = -1
+        while row != start:
+            row = int(came_from[end])
+            holder[end], choice[row], end = row, end, int(choice[row])
+    pairs = [(row, int(column)) for row, column in enumerate(choice)]
+    return pairs if wide is cost else sorted((column, row) for row, column in pairs)
 
 
 def match_groups(df: DataFrame, keys: list[str], side: str, item: str, value: str, most: float, optimal: bool = False) -> DataFrame:
-    """keys, left, right, cost: items of side a matched with items of side b of the same group by |value difference| up to most."""
+    """keys, left, right, cost: items of side a matched with items of side b of the same group by |value difference| up to most.
+
+    A group is cut wherever two neighbouring values are further apart than most, as no pair reaches across; a task holds one piece.
+    """
     schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "left long, right long, cost double"])
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -62,7 +77,12 @@ def match_groups(df: DataFrame, keys: list[str], side: str, item: str, value: st
         pairs = [p for p in assignment(np.where(cost <= most, cost, 1e9)) if cost[p] <= most] if optimal else greedy(cost, most)
         return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(pairs) for k in keys}, "left": [a[item].iloc[r] for r, _ in pairs], "right": [b[item].iloc[c] for _, c in pairs], "cost": [cost[p] for p in pairs]})
 
-    return df.select(*keys, side, item, value).groupBy(*keys).applyInPandas(one, schema)
+    w = Window.partitionBy(*keys).orderBy(value)
+    x = df.filter(F.col(value).isNotNull() & F.col(side).isin("a", "b")).select(*keys, side, item, value, F.coalesce((F.col(value) - F.lag(value).over(w) > most).cast("int"), F.lit(0)).alias("_cut"))
+    x = x.withColumn("_piece", F.sum("_cut").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    both = Window.partitionBy(*keys, "_piece")
+    x = x.withColumn("_a", F.max(F.col(side) == "a").over(both)).withColumn("_b", F.max(F.col(side) == "b").over(both)).filter("_a AND _b")
+    return x.select(*keys, side, item, value, "_piece").groupBy(*keys, "_piece").applyInPandas(one, schema)
 
 
 def idf1(overlap: np.ndarray) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,15 +14,37 @@ from sightline.functions.expressions import cosine
 def top_exemplars(queries: DataFrame, exemplars: DataFrame, k: int, most_exemplars: int = 10_000) -> DataFrame:
     """query, exemplar, similarity, rank: the k most similar exemplars of each query, not itself; both have id, embedding.
 
-    Exemplars are a reference set: they are broadcast after a count has shown that they are at most most_exemplars.
+    Exemplars are a reference set: they are broadcast as one matrix after a count has shown that they are at most
+    most_exemplars. Each batch of queries is compared by one matrix product and keeps its k best, so nothing is
+    shuffled. A vector of zeros has no similarity and comes last; ties go to the smaller exemplar.
     """
-    if (n := exemplars.count()) > most_exemplars:
-        raise ValueError(f"{n} exemplars; at most {most_exemplars} are compared with every query")
-    e = F.broadcast(exemplars.select(F.col("id").alias("exemplar"), F.col("embedding").alias("_e")))
-    pairs = queries.select(F.col("id").alias("query"), F.col("embedding").alias("_q")).join(e, F.col("query") != F.col("exemplar"))
-    pairs = pairs.select("query", "exemplar", cosine(F.col("_q"), F.col("_e")).alias("similarity"))
-    w = Window.partitionBy("query").orderBy(F.col("similarity").desc_nulls_last(), F.col("exemplar").asc())
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    rows = exemplars.select("id", "embedding").orderBy("id").limit(most_exemplars + 1).collect()
+    if len(rows) > most_exemplars:
+        raise ValueError(f"more than {most_exemplars} exemplars; at most that many are compared with every query")
+    ids = np.array([r.id for r in rows], np.int64)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, _unit(np.array([r.embedding for r in rows], float).reshape(len(rows), -1))))
+
+    def best(batches):
+        names, matrix = shared.value
+        for batch in batches:
+            for part in (batch.iloc[i : i + 1000] for i in range(0, len(batch), 1000)):
+                own = part["query"].to_numpy()
+                score = _unit(np.array(part["embedding"].tolist(), float).reshape(len(part), -1)) @ matrix.T if len(names) else np.zeros((len(part), 0))
+                score = np.where(np.isnan(score), -2.0, score)
+                score[own[:, None] == names[None, :]] = -3.0
+                order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # exemplars stand by id, so ties go to the smaller
+                taken = np.take_along_axis(score, order, axis=1)
+                row, rank = np.nonzero(taken > -3.0)
+                value = taken[row, rank]
+                yield pd.DataFrame({"query": own[row], "exemplar": names[order[row, rank]], "similarity": pd.Series(value).where(value > -2.0), "rank": rank + 1})
+
+    return queries.select(F.col("id").cast("long").alias("query"), "embedding").filter("embedding is not null").mapInPandas(best, "query long, exemplar long, similarity double, rank int")
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1; NaN for rows of zeros."""
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, length, out=np.full_like(vectors, np.nan), where=length > 0)
 
 
 def deltas(df: DataFrame, keys: list[str], order: str, embedding: str) -> DataFrame:

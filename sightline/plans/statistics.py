@@ -233,9 +233,14 @@ def two_means_cut(spark, sf_dir):
 @query("cluster_components", """WITH RECURSIVE n AS (SELECT a.p_partkey AS u, b.p_partkey AS v FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) < 20),
 r(node, reach) AS (SELECT DISTINCT u, u FROM n UNION SELECT r.node, n.v FROM r JOIN n ON n.u = r.reach) SELECT node, min(reach) AS cluster FROM r GROUP BY 1""")
 def cluster_components(spark, sf_dir):
-    w = Window.partitionBy("p_brand", "p_size").orderBy("p_retailprice", "p_partkey")
-    p = load(spark, sf_dir, "part").select("p_partkey", F.lag("p_partkey").over(w).alias("before"), (F.col("p_retailprice") - F.lag("p_retailprice").over(w)).alias("gap"))
-    return graph.clusters(p.filter("gap < 20"), "p_partkey", "before")  # neighbours in price order span each cluster
+    return graph.chains(load(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_retailprice", "p_partkey", 20)
+
+
+@query("graph_components", """WITH RECURSIVE l AS (SELECT DISTINCT l_partkey * 2 AS u, l_suppkey * 2 + 1 AS v FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R' AND l_discount = 0.1),
+n AS (SELECT u, v FROM l UNION SELECT v, u FROM l), r(node, reach) AS (SELECT DISTINCT u, u FROM n UNION SELECT r.node, n.v FROM r JOIN n ON n.u = r.reach) SELECT CAST(node AS BIGINT) AS node, CAST(min(reach) AS BIGINT) AS cluster FROM r GROUP BY 1""")
+def graph_components(spark, sf_dir):
+    x = load(spark, sf_dir, "lineitem").filter("l_quantity = 50 AND l_returnflag = 'R' AND l_discount = 0.1")
+    return graph.clusters(x.select((F.col("l_partkey") * 2).alias("u"), (F.col("l_suppkey") * 2 + 1).alias("v")), "u", "v")
 
 
 @query("exemplar_top_match")

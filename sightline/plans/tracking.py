@@ -51,25 +51,38 @@ def line_fit(spark, sf_dir):
     return x.join(few, "user_id", "left_semi").groupBy("user_id").applyInPandas(one, "user_id long, x double, y double, slope double, rms double")
 
 
+STEPS = 8
+KEEP = 0.3
+
+
 def _aligned(spark, sf_dir, f, schema):
-    x = load(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 6).alias("scores"))
-    return x.groupBy("label").applyInPandas(f, schema)
+    return load(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").alias("scores")).groupBy("label").applyInPandas(f, schema)
+
+
+def _vectors(rows: pd.DataFrame) -> np.ndarray:
+    return np.stack(rows["scores"].to_list()).astype(float)
 
 
 @query("monotonic_dp")
 def monotonic_dp(spark, sf_dir):
+    """The values of an embedding as the scores of so many steps."""
+
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id")
-        return pd.DataFrame({"label": rows["label"], "vec_id": rows["vec_id"], "step": folds.monotonic_path(np.stack(rows["scores"].to_list()).astype(float))})
+        return pd.DataFrame({"label": rows["label"], "vec_id": rows["vec_id"], "step": folds.monotonic_path(_vectors(rows), free_start=False)})
 
     return _aligned(spark, sf_dir, one, "label int, vec_id long, step long")
 
 
 @query("drop_dtw")
 def drop_dtw(spark, sf_dir):
+    """STEPS embeddings at even distances are the steps; a pair costs 1 - cosine, dropping a sample the KEEP quantile of its costs."""
+
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id")
-        cost, pairs = folds.drop_dtw(np.abs(np.stack(rows["scores"].to_list()).astype(float)), 0.05)
-        return pd.DataFrame([{"label": rows["label"].iloc[0], "cost": cost, "matched": len(pairs)}])
+        x = _vectors(rows.sort_values("vec_id"))
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        cost = 1 - x @ x[np.linspace(0, len(x) - 1, min(STEPS, len(x))).round().astype(int)].T
+        total, pairs = folds.drop_dtw(cost, np.quantile(cost, KEEP, axis=1))
+        return pd.DataFrame([{"label": rows["label"].iloc[0], "cost": total, "matched": len(pairs)}])
 
     return _aligned(spark, sf_dir, one, "label int, cost double, matched long")

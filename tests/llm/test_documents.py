@@ -143,6 +143,9 @@ def test_suffix_dedup(spark):
         want[(d, len(t), tuple(spans), hashlib.sha256(bytes(b for b, c in zip(t, covered) if not c)).hexdigest())] += 1
     got = collections.Counter((x.doc, x.n_bytes, tuple((s.start, s.stop) for s in x.spans), x.kept_sha256) for x in out)
     assert got == want
+    for hot in (1, 3):
+        parts = suffix.dedup(frame(spark, rows, False), hot=hot).collect()
+        assert collections.Counter((x.doc, x.n_bytes, tuple((s.start, s.stop) for s in x.spans), x.kept_sha256) for x in parts) == want
     cut = suffix.without_repeats(frame(spark, rows).withColumn("n_chars", F.lit(5).cast("long")))
     assert collections.Counter((x.doc_id, len(x.text or "")) for x in cut.collect()) == collections.Counter((x.doc, len(x.kept)) for x in out)
     assert suffix.dedup(frame(spark, [])).count() == 0
@@ -206,6 +209,27 @@ def test_jaccard_join(spark, size, percent):
     assert jaccard.join(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("small,large", [(8, 13), (18, 28), (39, 64), (61, 100)])
+def test_jaccard_join_of_a_part_and_its_whole(spark, small, large):
+    rows = [(2 * k + i, " ".join(f"w{k}x{j}" for j in range(n))) for k in range(20) for i, n in enumerate((small, large))]
+    got = {r.doc: r.component for r in jaccard.join(frame(spark, rows, False), size=1, percent=60).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
+@pytest.mark.parametrize("limits", [{"hot": 2, "block": 300}, {"longest": 3, "block": 300}, {"hot": 2, "longest": 2, "block": 10_000}])
+def test_jaccard_join_works_in_parts(spark, limits):
+    """Chains of texts whose ends aren't alike, and near copies of one text, in more blocks than one."""
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(0, 160, 2)]
+    for i in range(60):
+        words = [f"c{j}" for j in range(50)]
+        words[r.randrange(50)] = f"own{i}"
+        rows.append((1000 + i, " ".join(words)))
+    whole = {(x.doc, x.component) for x in jaccard.join(frame(spark, rows, False), size=2, percent=80).collect()}
+    parts = {(x.doc, x.component) for x in jaccard.join(frame(spark, rows, False), size=2, percent=80, **limits).collect()}
+    assert whole == parts == {(d, 0 if d < 1000 else 1000) for d, _ in rows}
+
+
 def test_every_band_has_a_plan():
     kinds = {jaccard.plan_of(b, 85)[2] for b in range(len(jaccard.bands()) - 2)}
     assert kinds == {0, 1, 3}
@@ -305,6 +329,14 @@ def test_license_expressions():
     assert licenses.to_postfix("a OR b AND c") == ["a", "b", "c", "and", "or"]
     assert licenses.to_postfix("(a or b) and c trailing words") == ["a", "b", "or", "c", "and"]
     assert licenses.evaluate(licenses.to_postfix("(a or b) and c")) == [frozenset("ac"), frozenset("bc")]
+    assert licenses.named(licenses.to_postfix("(MIT or gpl-2.0-only) and c with d-1.0")) == {"mit", "gpl-2", "c-with-d-1"}
+    for owned, enough in (({"a", "c"}, True), ({"a", "b"}, False), ({"c"}, False), ({"b", "c"}, True)):
+        assert licenses.holds(licenses.to_postfix("(a or b) and c"), owned) == enough
+    clauses = " and ".join(f"(a{i} or b{i})" for i in range(2000))
+    assert len(licenses.named(licenses.to_postfix(clauses))) == 4000  # has 2**2000 ways to comply
+    assert licenses.holds(licenses.to_postfix(clauses), {f"b{i}" for i in range(2000)})
+    tagged = f"x\nSPDX-License-Identifier: {clauses}\nspdx-license-identifier: mit".encode()
+    assert len(licenses.scan_text(tagged)["labels"].copy()) == 4001
     for bad in ("", "or a", "a and", "(a", "a or )"):
         assert licenses.to_postfix(bad) is None
 
