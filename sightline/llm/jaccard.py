@@ -12,7 +12,8 @@ after ROUNDS partitions by each shingle, so nothing is missed.
 Candidates meet in buckets, in shards of the signature space. Each step reports what connects texts, one edge
 a text, never pairs. Buckets are sifted by sketches: the counts of a set's shingles in BINS bins, whose distance
 never exceeds the sets' difference, so a pair whose sketches differ by more than the threshold allows is no
-link. Buckets go to lots by their smallest member, so the buckets of one cluster meet in few lots. Members of
+link. Buckets go to lots by their smallest member, those of one smallest member to one lot for each LOT of
+them, so the buckets of one cluster meet in few lots. Members of
 a bucket beyond LIST (HOT within a block of texts) are taken as connected without a sift, which only makes
 the clusters larger. Clusters are verified on the whole texts: a text's common shingles with all
 others come from an inverted index, and texts that are known to be connected aren't compared again. A cluster
@@ -41,9 +42,10 @@ ROUNDS = 3
 HOT = 64
 LIST = 1000
 FEW = 100_000
+LOT = 64
 BINS = 256
 BLOCK_SHINGLES = 250_000
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 20 << 20
 _U = np.uint64
 _LOWERED = scan.BYTES[scan.LOWER]
 _STEPS = np.array([pow(0xC6BC279692B5C323, i + 1, 2**64) for i in range(64)], _U)
@@ -362,7 +364,10 @@ def candidates(met: DataFrame, lots: int, percent: int) -> DataFrame:
     """Edges (u, v) that connect at least what pairs within the sketch bound connect."""
     pairs = met.filter("kind = 4").select("a", "b").distinct()
     pairs = pairs.select(F.pmod(F.xxhash64("a"), F.lit(lots)).alias("lot"), F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("doc"))
-    lists = met.filter("kind = 2").select("a", "raw").distinct().select(F.pmod(F.xxhash64("a"), F.lit(lots)).alias("lot"), F.xxhash64("raw").alias("g"), "raw")
+    lists = met.filter("kind = 2").select("a", "raw")
+    heavy = _few(lists.groupBy("a").agg(F.ceil(F.count("*") / LOT).alias("parts")).filter("parts > 1").checkpoint())
+    part = F.pmod(F.xxhash64("raw"), F.coalesce("parts", F.lit(1)))
+    lists = lists.distinct().join(heavy, "a", "left").select(F.pmod(F.xxhash64("a", part), F.lit(lots)).alias("lot"), F.xxhash64("raw").alias("g"), "raw")
     sketches = met.filter("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("raw").alias("sketch"))
     rows = pairs.unionByName(lists.mapInArrow(_opened, "lot long, g long, doc long")).join(sketches, "doc")
     sifted = rows.groupBy("lot").applyInArrow(_sift(percent), "u long, v long")
