@@ -44,7 +44,7 @@ LIST = 1000
 FEW = 100_000
 LOT = 64
 BINS = 256
-BLOCK_SHINGLES = 250_000
+BLOCK_SHINGLES = 1_000_000  # some 100 MB in the task that verifies them
 BLOCK_BYTES = 20 << 20
 _U = np.uint64
 _LOWERED = scan.BYTES[scan.LOWER]
@@ -303,14 +303,15 @@ def _meet(most: int):
     return go
 
 
-def _opened(batches):
+def _members(batches):
+    """(lot, doc) of the members of each list, once a lot and batch."""
     for batch in batches:
-        raw = batch.column("raw").to_pylist()
-        lists = [np.frombuffer(x, np.int64) for x in raw]
-        for i in range(0, len(lists), 100):
-            n = [len(x) for x in lists[i : i + 100]]
-            g, lot = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False)[i : i + 100], n) for c in ("g", "lot"))
-            yield pa.RecordBatch.from_arrays([pa.array(lot, pa.int64()), pa.array(g, pa.int64()), pa.array(np.concatenate(lists[i : i + 100]), pa.int64())], names=["lot", "g", "doc"])
+        lot = batch.column("lot").to_numpy(zero_copy_only=False)
+        lists = [np.frombuffer(x, np.int64) for x in batch.column("raw").to_pylist()]
+        for i in range(0, len(lists), 1000):
+            n = [len(x) for x in lists[i : i + 1000]]
+            both = np.unique(np.stack([np.repeat(lot[i : i + 1000], n), np.concatenate(lists[i : i + 1000])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["lot", "doc"])
 
 
 def _join_labels(label: np.ndarray, members: np.ndarray) -> None:
@@ -321,35 +322,31 @@ def _join_labels(label: np.ndarray, members: np.ndarray) -> None:
 
 
 def _sift(percent: int):
-    """One edge (u, v) for each text that pairs within the sketch bound connect, over the buckets (g) of a lot."""
+    """One edge (u, v) for each text that pairs within the sketch bound connect, over the buckets of a lot; its texts come once."""
 
-    def go(lot: pa.Table) -> pa.Table:
-        g = lot["g"].to_numpy()
-        order = np.argsort(g, kind="stable")
-        g, doc, n = g[order], lot["doc"].to_numpy()[order], lot["n"].to_numpy()[order]
-        sketch = np.frombuffer(b"".join(lot["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)[order]
-        heads = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        size = np.diff(np.append(heads, len(g)))
-        ids, at = np.unique(doc, return_inverse=True)
+    def go(buckets: pa.Table, texts: pa.Table) -> pa.Table:
+        doc = texts["doc"].to_numpy()
+        order = np.argsort(doc)
+        ids, n = doc[order], texts["n"].to_numpy()[order]
+        sketch = np.frombuffer(b"".join(texts["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)[order]
 
         def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             distance = np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(axis=1)
-            return distance * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
-
-        two = heads[size == 2]
-        two = np.concatenate([i[near(i, i + 1)] for i in np.array_split(two, len(two) // 10_000 + 1)])
-        label = _labels(len(ids), at[two], at[two + 1])
-        for h, k in zip(heads[size > 2], size[size > 2]):
-            rows = np.arange(h, h + k)
+            return (distance * (100 + percent) <= (n[i] + n[j]) * (100 - percent)) | (n[i] < 0) | (n[j] < 0)
+
+        pairs = buckets.filter(buckets["raw"].is_null())
+        i, j = (np.searchsorted(ids, pairs[c].to_numpy()) for c in ("a", "b"))
+        two = np.concatenate([x[near(i[x], j[x])] for x in np.array_split(np.arange(len(i)), len(i) // 10_000 + 1)])
+        label = _labels(len(ids), i[two], j[two])
+        for raw in buckets["raw"].drop_null().to_pylist():
+            rows = np.searchsorted(ids, np.frombuffer(raw, np.int64))
             for i in rows[:-1]:
-                others = rows[label[at[rows]] != label[at[i]]]  # those that it is connected with need no look
+                others = rows[label[rows] != label[i]]  # those that it is connected with need no look
                 if not len(others):
-                    if len(np.unique(label[at[rows]])) == 1:
-                        break
-                    continue
+                    break
                 close = others[near(np.full(len(others), i), others)]
                 if len(close):
-                    _join_labels(label, at[np.append(close, i)])
+                    _join_labels(label, np.append(close, i))
         moved = np.flatnonzero(label != np.arange(len(ids)))
         return pa.table({"u": pa.array(ids[moved], pa.int64()), "v": pa.array(ids[label[moved]], pa.int64())})
 
@@ -362,15 +359,18 @@ def _few(x: DataFrame) -> DataFrame:
 
 def candidates(met: DataFrame, lots: int, percent: int) -> DataFrame:
     """Edges (u, v) that connect at least what pairs within the sketch bound connect."""
-    pairs = met.filter("kind = 4").select("a", "b").distinct()
-    pairs = pairs.select(F.pmod(F.xxhash64("a"), F.lit(lots)).alias("lot"), F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("doc"))
-    lists = met.filter("kind = 2").select("a", "raw")
+    pairs = met.filter("kind = 4").select("a", "b").distinct().select(F.pmod(F.xxhash64("a"), F.lit(lots)).alias("lot"), "a", "b", F.lit(None).cast("binary").alias("raw"))
+    lists = met.filter("kind = 2").select("a", "b", "raw")
     heavy = _few(lists.groupBy("a").agg(F.ceil(F.count("*") / LOT).alias("parts")).filter("parts > 1").checkpoint())
     part = F.pmod(F.xxhash64("raw"), F.coalesce("parts", F.lit(1)))
-    lists = lists.distinct().join(heavy, "a", "left").select(F.pmod(F.xxhash64("a", part), F.lit(lots)).alias("lot"), F.xxhash64("raw").alias("g"), "raw")
-    sketches = met.filter("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("raw").alias("sketch"))
-    rows = pairs.unionByName(lists.mapInArrow(_opened, "lot long, g long, doc long")).join(sketches, "doc")
-    sifted = rows.groupBy("lot").applyInArrow(_sift(percent), "u long, v long")
+    lists = lists.dropDuplicates(["raw"]).join(heavy, "a", "left").select(F.pmod(F.xxhash64("a", part), F.lit(lots)).alias("lot"), "a", "b", "raw")
+    members = lists.select("lot", "raw").mapInArrow(_members, "lot long, doc long").unionByName(pairs.select("lot", F.explode(F.array("a", "b")).alias("doc"))).distinct()
+    sketches = met.filter("kind = 1").groupBy(F.col("a").alias("doc")).agg(
+        F.min("b").alias("n"), F.first("raw").alias("sketch"), F.min(F.xxhash64("raw")).alias("h"), F.max(F.xxhash64("raw")).alias("other")
+    )
+    sketches = sketches.select("doc", F.when(F.col("h") == F.col("other"), F.col("n")).otherwise(-1).alias("n"), "sketch")  # an id with several texts is near all
+    texts = members.join(sketches, "doc").groupBy("lot")
+    sifted = pairs.unionByName(lists).groupBy("lot").cogroup(texts).applyInArrow(_sift(percent), "u long, v long")
     return sifted.unionByName(met.filter("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
@@ -443,7 +443,7 @@ def verified(edges: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, pe
     some = member_filter(texts, "doc", clusters, "doc")
     everywhere = F.col("doc").isin(F.col("p"), F.col("q"))
     spread = placed.select("component", "doc", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("block"))
-    rows = some.join(spread, "doc").select("component", "block", "doc", F.lit(0).alias("side"), "text")
+    rows = some.join(_few(spread.checkpoint()), "doc").select("component", "block", "doc", F.lit(0).alias("side"), "text")
     links = rows.groupBy("component", "block").applyInArrow(_verify(size, percent), _LINKS).checkpoint()
     if not big.take(1):
         return links.select("u", "v")
@@ -458,7 +458,7 @@ def verified(edges: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, pe
         return links.select("u", "v")
     one = rest.join(apart, "component").select("component", "doc", F.lit(1).alias("side"), spot("lots").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     all_ = whole.join(apart, "component").select("component", "doc", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("i"), F.col("own").alias("j"))
-    crossed = some.join(one.unionByName(all_), "doc").groupBy("component", "i", "j").applyInArrow(_verify(size, percent), _LINKS)
+    crossed = some.join(_few(one.unionByName(all_).checkpoint()), "doc").groupBy("component", "i", "j").applyInArrow(_verify(size, percent), _LINKS)
     return links.select("u", "v").unionByName(crossed.select("u", "v"))
 
 

@@ -216,7 +216,13 @@ def test_jaccard_join_of_a_part_and_its_whole(spark, small, large):
     assert got == {d: d - d % 2 for d, _ in rows}
 
 
-@pytest.mark.parametrize("limits", [{"hot": 2, "block": 300}, {"longest": 3, "block": 300}, {"hot": 2, "longest": 2, "block": 10_000}])
+def test_jaccard_join_of_several_texts_under_one_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, one), (2, two), (3, two), (3, one), (4, "other words")]
+    assert {(r.doc, r.component) for r in jaccard.join(frame(spark, rows, False)).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+@pytest.mark.parametrize("limits", [{"hot": 2, "block": 300}, {"longest": 3, "block": 300}])
 def test_jaccard_join_works_in_parts(spark, limits):
     """Chains of texts whose ends aren't alike, and near copies of one text, in more blocks than one."""
     r = random.Random(5)
