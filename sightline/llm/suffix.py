@@ -314,7 +314,8 @@ def _sort_range(batches):
         last[:-1] &= ~(hit[1:] & (row[1:] == row[:-1]))
         a, b = np.flatnonzero(edge), np.flatnonzero(last)
         start = rows["start"].to_numpy()[row[a]]
-        return spans(rows.select(["doc", "tag"]).take(pa.array(row[a])).combine_chunks().to_batches()[0] if len(a) else rows.schema.empty_table().to_batches(1)[0], start + within[a], start + within[b] + SIZE)
+        at = pa.array(row[a], pa.int64())
+        return spans({c: rows[c].take(at).combine_chunks() for c in ("doc", "tag")}, start + within[a], start + within[b] + SIZE)
 
     held: list[pa.RecordBatch] = []
     size = 0
