@@ -32,9 +32,12 @@ def table(spark, sf_dir: str, name: str):
 
 
 def shared_checkpoints(spark) -> None:
-    """The cluster's checkpoint folder is used as it is set; only a session without one gets a temporary folder."""
+    """The cluster's checkpoint folder is used as it is set; only a local session without one gets a temporary folder."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def small_batches(spark, rows: int = 2000) -> None:
