@@ -2,8 +2,8 @@
 
 P(w | u) = a(b) c(u w) / c(u) + k(b) c(w) / N + z(b) / (V + 1), where b is the bucket floor(log2 c(u)) of
 the context's frequency. The weights of each bucket come from expectation-maximisation on deleted
-documents: those of one training fold (crc32 remainder 1), each seen by counts that leave itself out, so
-what they teach grows with the corpus; without any the weights stay as they begin.
+documents: every training document, seen by counts that leave itself out. Without any the weights stay
+as they begin.
 Estimates for EM are gathered as counts over quarter-octave cells of the two estimates, which is a table
 of bounded size over all deleted tokens.
 
@@ -29,7 +29,7 @@ BUCKETS = 40
 SHARDS = 4  # of the key space for each shuffle partition: messages grow with the blocks, not with their square
 CELL = 4
 NONE = -(1 << 20)
-FOLDS, HELD_OUT, DELETED = 10, 0, 1
+FOLDS, HELD_OUT = 10, 0
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _LOWERED = scan.BYTES[scan.LOWER]
 
@@ -118,6 +118,8 @@ def bucket_of(contexts: np.ndarray) -> np.ndarray:
 
 def _cells(total: int, n_docs: int):
     def gather(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        """Cells of a block's training tokens. Texts held out have asked for their keys too, so they are looked up with the others and left out after."""
+        train = docs["train"].to_numpy()
         first, inverse, binverse, one, two = _looked_up(docs, answers)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
 
@@ -130,7 +132,8 @@ def _cells(total: int, n_docs: int):
         p1 = np.maximum(one - mine, 0) / np.maximum(total - np.repeat(np.diff(first), np.diff(first)), 1)
         p2 = np.maximum(two - own(binverse), 0) / np.maximum(context, 1)
         quantised = [np.where(p > 0, np.rint(CELL * np.log2(np.where(p > 0, p, 1))), NONE).astype(np.int64) for p in (p1, p2)]
-        cells, n = np.unique(np.stack([bucket_of(context), *quantised]), axis=1, return_counts=True)
+        seen = np.repeat(train, np.diff(first))
+        cells, n = np.unique(np.stack([bucket_of(context), *quantised])[:, seen], axis=1, return_counts=True)
         return pa.table({"b": cells[0], "one": cells[1], "two": cells[2], "n": n.astype(np.int64)})
 
     return gather
@@ -189,19 +192,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
     x = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"), F.coalesce(fold, F.lit(FOLDS)).alias("fold"))
     size, n_docs = x.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.when(F.col("fold") != HELD_OUT, 1))).first()
     blocks = max(1, math.ceil(size / block_bytes))
-    small = max(1, blocks // (FOLDS - 1))
     shards = SHARDS * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     h = F.xxhash64("doc_id", "text")
     x = x.select(
-        "doc_id", "text", (F.col("fold") != HELD_OUT).alias("train"), (F.col("fold") == HELD_OUT).alias("held_out"),
-        F.when(F.col("fold") == DELETED, blocks + F.pmod(h, F.lit(small))).otherwise(F.pmod(h, F.lit(blocks))).alias("block"),
+        "doc_id", "text", (F.col("fold") != HELD_OUT).alias("train"), (F.col("fold") == HELD_OUT).alias("held_out"), F.pmod(h, F.lit(blocks)).alias("block"),
     )
     answers = x.groupBy("block").applyInArrow(_request(shards), _REQUEST).groupBy("kind", "shard").applyInArrow(_answer, _ANSWER).checkpoint()
     total, known = answers.filter("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     release(spark)
     told = answers.select("kind", "shard", "block", "counts")
-    deleted = x.filter(F.col("block") >= blocks).groupBy("block").cogroup(told.filter(F.col("block") >= blocks).groupBy("block"))
-    cells = deleted.applyInArrow(_cells(total, n_docs), "b long, one long, two long, n long").groupBy("b", "one", "two").agg(F.sum("n").alias("n"))
+    cells = x.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cells(total, n_docs), "b long, one long, two long, n long").groupBy("b", "one", "two").agg(F.sum("n").alias("n"))
     weights = learn_weights([tuple(r) for r in cells.collect()], known)
     release(spark)
     out = x.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(total, known, n_docs, weights.tolist()), _SCORED)

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,10 +303,37 @@ def test_lm(spark):
     for d, t in tokens:
         base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
         want[d, held[d], len(t), sum(count[w] > 0 for w in t), n, round(base, 6)] += 1
+    scores, want_scores = collections.defaultdict(list), collections.defaultdict(list)
     for r in out.collect():
         got[r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)] += 1
-        assert r.score < 0 and math.isfinite(r.score)
+        scores[r.doc_id].append(round(r.score, 6))
     assert got == want
+
+    # every training document teaches, seen by counts that leave it out
+    begin, trained = "<begin>", [t for d, t in tokens if not held[d]]
+    pairs = collections.Counter(p for t in trained for p in zip([begin, *t], t))
+    before = collections.Counter({**count, begin: len(trained)})
+
+    def bucket(c):
+        return min(lm.BUCKETS - 1, 1 + int(math.log2(c))) if c else 0
+
+    def octave(p):
+        return round(lm.CELL * math.log2(p)) if p else lm.NONE
+
+    cells = collections.Counter()
+    for t in trained:
+        own, own_pairs, own_before = collections.Counter(t), collections.Counter(zip([begin, *t], t)), collections.Counter([*t, begin])
+        for u, w in zip([begin, *t], t):
+            c = before[u] - own_before[u]
+            cells[bucket(c), octave((count[w] - own[w]) / (n - len(t))), octave((pairs[u, w] - own_pairs[u, w]) / max(c, 1))] += 1
+    assert np.abs(weights - lm.learn_weights([(*k, m) for k, m in cells.items()], v)).max() < 1e-6
+    for d, t in tokens:
+        total = 0.0
+        for u, w in zip([begin, *t], t):
+            x = weights[bucket(before[u])]
+            total += math.log10(x[0] * pairs[u, w] / max(before[u], 1) + x[1] * count[w] / n + x[2] / (v + 1))
+        want_scores[d].append(round(total, 6))
+    assert {d: sorted(x) for d, x in scores.items()} == {d: sorted(x) for d, x in want_scores.items()}
     assert abs(weights.sum(axis=1) - 1).max() < 1e-9
     assert lm.score(frame(spark, []))[0].count() == 0
 
