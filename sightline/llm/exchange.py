@@ -7,6 +7,7 @@ holds more than one entry for each block and key, however often the key occurs.
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,11 @@ def cuts(sorted_keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
 
 
 def release(spark) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps whose results stand in a checkpoint."""
+    """Lets Spark's cleaner drop the shuffle files of steps whose results stand in a checkpoint.
+
+    The gateway passes dropped references on from a thread of its own and plans die in two rounds, so the collector waits and runs twice.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()

@@ -29,6 +29,7 @@ BUCKETS = 40
 SHARDS = 4  # of the key space for each shuffle partition: messages grow with the blocks, not with their square
 CELL = 4
 NONE = -(1 << 20)
+EMPTY = 4095  # an estimate of 0 among quantised ones, which stay below 4 * 64
 FOLDS, HELD_OUT = 10, 0
 END, BEGIN = np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179)
 _LOWERED = scan.BYTES[scan.LOWER]
@@ -131,10 +132,11 @@ def _cells(total: int, n_docs: int):
         context = np.maximum(_contexts(one, first, n_docs) - _contexts(mine, first, 1), 0)
         p1 = np.maximum(one - mine, 0) / np.maximum(total - np.repeat(np.diff(first), np.diff(first)), 1)
         p2 = np.maximum(two - own(binverse), 0) / np.maximum(context, 1)
-        quantised = [np.where(p > 0, np.rint(CELL * np.log2(np.where(p > 0, p, 1))), NONE).astype(np.int64) for p in (p1, p2)]
-        seen = np.repeat(train, np.diff(first))
-        cells, n = np.unique(np.stack([bucket_of(context), *quantised])[:, seen], axis=1, return_counts=True)
-        return pa.table({"b": cells[0], "one": cells[1], "two": cells[2], "n": n.astype(np.int64)})
+        q1, q2 = (np.where(p > 0, -np.rint(CELL * np.log2(np.where(p > 0, p, 1))), EMPTY).astype(np.int64) for p in (p1, p2))
+        packed = (bucket_of(context) << 24 | q1 << 12 | q2)[np.repeat(train, np.diff(first))]
+        cells, n = np.unique(packed, return_counts=True)
+        one_cell, two_cell = (np.where(q == EMPTY, NONE, -q) for q in (cells >> 12 & 4095, cells & 4095))
+        return pa.table({"b": cells >> 24, "one": one_cell, "two": two_cell, "n": n.astype(np.int64)})
 
     return gather
 
@@ -203,6 +205,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
     told = answers.select("kind", "shard", "block", "counts")
     cells = x.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_cells(total, n_docs), "b long, one long, two long, n long").groupBy("b", "one", "two").agg(F.sum("n").alias("n"))
     weights = learn_weights([tuple(r) for r in cells.collect()], known)
+    del cells  # its shuffle files stay while it can be reached
     release(spark)
     out = x.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(total, known, n_docs, weights.tolist()), _SCORED)
     return out, weights
