@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sightline.llm import chat, decontaminate, fingerprint, jaccard, licenses, lm, mixing, quality, suffix, urls
+from sightline.llm import chat, decontaminate, fim, fingerprint, jaccard, licenses, lm, mixing, quality, runs, suffix, tokenfile, urls
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_jaccard_join": jaccard.op9_jaccard_join,
         "op10_lm_scoring": lm.op10_lm_scoring,
+        "op11_periodic_runs": runs.op11_periodic_runs,
+        "op12_fill_in_middle": fim.op12_fill_in_middle,
+        "op13_token_files": tokenfile.op13_token_files,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_document_fingerprints": fingerprint.ORACLE,
         "op6_benchmark_decontamination": decontaminate.ORACLE,
         "op8_chat_formatting": chat.ORACLE,
+        "op12_fill_in_middle": fim.ORACLE,
     }
