@@ -108,7 +108,7 @@ def test_few_cells_are_looked_at():
 
 
 def test_footprints(spark):
-    above = [100.0, 0, 32, 320, 0, 100, 24, 240, 0, 0, 0.1, 10]
+    above = [float(x) for x in (100, 0, 32, 320, 0, 100, 24, 240, 0, 0, 0.1, 10)]
     at = lambda x, y: ((100 * x + 320) / 10, (100 * y + 240) / 10)
     box = lambda a, b, c, d: [*at(a, b), *at(c, d)]
     rows = [("a", v, above, box(-2, -1, 2, 1), None) for v in range(3)] + [("few", v, above, box(0, 0, 1, 1), None) for v in range(2)]
@@ -116,6 +116,6 @@ def test_footprints(spark):
     df = spark.createDataFrame(rows, "thing string, view int, camera array<double>, box array<double>, seed array<double>")
     (x,) = regions.footprints(df, ["thing"], 8.0, 0.5, seed="seed").collect()
     assert (x.thing, x.cells, x.bounds, x.centre) == ("a", 32, [-2.0, -1.0, 2.0, 1.0], [0.0, 0.0]) and sum(r.last - r.first + 1 for r in x.runs) == 32
-    many = [("still", 0, [10.0 + k % 3, 10, 30 + k % 3, 30]) for k in range(12)] + [("moves", 0, [10.0 * k, 10, 10.0 * k + 5, 30]) for k in range(12)] + [("rare", 0, [1.0, 1, 9, 9])] * 9 + [("still", 0, None)]
+    many = [("still", 0, [10.0 + k % 3, 10.0, 30.0 + k % 3, 30.0]) for k in range(12)] + [("moves", 0, [10.0 * k, 10.0, 10.0 * k + 5, 30.0]) for k in range(12)] + [("rare", 0, [1.0, 1.0, 9.0, 9.0])] * 9 + [("still", 0, None)]
     steady = regions.stable_boxes(spark.createDataFrame(many, "thing string, view int, box array<double>"), ["thing"], "view", "box").collect()
     assert [(x.thing, x.box) for x in steady] == [("still", [11.0, 10.0, 31.0, 30.0])]
