@@ -25,8 +25,8 @@ _PART = re.compile(r"(\[(?:\\.|[^\]\\])+\])([+*]?)")
 def boundary(grammar: str) -> str:
     """The zero-width regex that matches wherever one unit of the grammar ends and the next begins.
 
-    Alternatives are sequences of classes, each once, ``+`` or ``*``. Which of them a character starts must follow from the character and the
-    one before it; every character must belong to a unit.
+    Alternatives are sequences of classes, each once, ``+`` or ``*``. Every character must belong to a unit, and whether two neighbours share one must
+    follow from the two alone, as it does where classes of different alternatives don't overlap.
     """
     together = []
     for unit in grammar.split("|"):
