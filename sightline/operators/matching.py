@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,22 +69,54 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 def match_groups(df: DataFrame, keys: list[str], side: str, item: str, value: str, most: float, optimal: bool = False) -> DataFrame:
     """keys, left, right, cost: items of side a matched with items of side b of the same group by |value difference| up to most.
 
-    A group is cut wherever two neighbouring values are further apart than most, as no pair reaches across; a task holds one piece.
+    A group is cut wherever two neighbouring values are further apart than most, as no pair reaches across. Pieces are dealt over all tasks, however
+    many a group has, and go through a task one after another; it holds one Arrow batch and a piece.
     """
     schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "left long, right long, cost double"])
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = (rows[rows[side] == s].sort_values(item) for s in ("a", "b"))
-        cost = np.abs(a[value].to_numpy(float)[:, None] - b[value].to_numpy(float)[None, :])
-        pairs = [p for p in assignment(np.where(cost <= most, cost, 1e9)) if cost[p] <= most] if optimal else greedy(cost, most)
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(pairs) for k in keys}, "left": [a[item].iloc[r] for r, _ in pairs], "right": [b[item].iloc[c] for _, c in pairs], "cost": [cost[p] for p in pairs]})
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        edge = _edges(rows, [*keys, "_piece"])
+        is_a = (rows[side] == "a").to_numpy()
+        items, values = rows[item].to_numpy(), rows[value].to_numpy(float)
+        ones = np.add.reduceat(is_a, edge[:-1]) if len(rows) else np.zeros(0, int)
+        left, right, costs = [], [], []
+        for k in np.flatnonzero((ones > 0) & (ones < np.diff(edge))):
+            start, middle, stop = edge[k], edge[k] + ones[k], edge[k + 1]  # side a comes first
+            cost = np.abs(values[start:middle, None] - values[None, middle:stop])
+            chosen = [p for p in assignment(np.where(cost <= most, cost, 1e9)) if cost[p] <= most] if optimal else greedy(cost, most)
+            left += [start + r for r, _ in chosen]
+            right += [middle + c for _, c in chosen]
+            costs += [cost[p] for p in chosen]
+        out = rows[keys].iloc[left].reset_index(drop=True)
+        return out.assign(left=items[left] if left else [], right=items[right] if right else [], cost=costs)
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            last = _edges(rows, [*keys, "_piece"])[-2] if len(rows) else 0  # its piece may go on in the next batch
+            rest = rows.iloc[last:]
+            yield pairs(rows.iloc[:last])
+        if rest is not None:
+            yield pairs(rest)
 
     w = Window.partitionBy(*keys).orderBy(value)
     x = df.filter(F.col(value).isNotNull() & F.col(side).isin("a", "b")).select(*keys, side, item, value, F.coalesce((F.col(value) - F.lag(value).over(w) > most).cast("int"), F.lit(0)).alias("_cut"))
-    x = x.withColumn("_piece", F.sum("_cut").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    both = Window.partitionBy(*keys, "_piece")
-    x = x.withColumn("_a", F.max(F.col(side) == "a").over(both)).withColumn("_b", F.max(F.col(side) == "b").over(both)).filter("_a AND _b")
-    return x.select(*keys, side, item, value, "_piece").groupBy(*keys, "_piece").applyInPandas(one, schema)
+    x = x.withColumn("_piece", F.sum("_cut").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return x.repartition(parts, *keys, "_piece").sortWithinPartitions(*keys, "_piece", side, item).mapInPandas(go, schema)
+
+
+def _edges(rows: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Where each run of equal values begins, with the end. Nulls are equal."""
+    if not len(rows):
+        return np.zeros(1, int)
+    change = np.zeros(len(rows), bool)
+    for c in columns:
+        codes = pd.factorize(rows[c], use_na_sentinel=True)[0]
+        change[1:] |= codes[1:] != codes[:-1]
+    change[0] = True
+    return np.append(np.flatnonzero(change), len(rows))
 
 
 def idf1(overlap: np.ndarray) -> dict:

@@ -30,6 +30,11 @@ def test_match_groups_cuts_without_losing_pairs(spark):
     df = spark.createDataFrame(rows, "k long, side string, item long, at double")
     for optimal in (False, True):
         got = {(x.k, x.left, x.right) for x in matching.match_groups(df, ["k"], "side", "item", "at", 3.0, optimal).collect()}
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # pieces that go on in the next batch
+        try:
+            assert {(x.k, x.left, x.right) for x in matching.match_groups(df, ["k"], "side", "item", "at", 3.0, optimal).collect()} == got
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         for k in range(3):
             a, b = ([x for x in rows if x[0] == k and x[1] == s] for s in "ab")
             cost = np.abs(np.array([x[3] for x in a])[:, None] - np.array([x[3] for x in b])[None, :])
