@@ -2,7 +2,7 @@
 
 The automaton runs over the words of a text joined by single spaces, so a phrase is found where its
 words stand consecutively, whatever stands between them. SPDX-License-Identifier tags are found by a second
-automaton on the raw text; the rest of the tag's line is parsed as an expression of identifiers
+automaton on the raw text; the rest of the tag's line, up to the next tag, is parsed as an expression of identifiers
 with AND, OR, WITH and parentheses. The licenses that it names become labels; ``holds`` evaluates it for a
 set of licenses that one may use. Both take time in proportion to the expression, however it is nested.
 """
@@ -10,6 +10,7 @@ set of licenses that one may use. Both take time in proportion to the expression
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import ahocorasick
@@ -52,16 +53,18 @@ _LEXEMES = re.compile(r"\(|\)|[A-Za-z0-9.+-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
-def to_postfix(expression: str) -> list[str] | None:
-    """Shunting-yard: WITH binds before AND before OR. None if it isn't an expression; what follows a whole expression is left out."""
+def parse(expression: str) -> tuple[list[str] | None, int]:
+    """Shunting-yard: WITH binds before AND before OR. The postfix and where the expression ends; None if it isn't one. Nothing after its end is read."""
     out: list[str] = []
     stack: list[str] = []
     operand = True  # expected next
-    for token in _LEXEMES.findall(expression):
+    end = 0
+    for lexeme in _LEXEMES.finditer(expression):
+        token = lexeme.group()
         low = token.lower()
         if low in _RANK:
             if operand:
-                return None
+                return None, end
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
             stack.append(low)
@@ -72,7 +75,7 @@ def to_postfix(expression: str) -> list[str] | None:
             stack.append(token)
         elif token == ")":
             if operand:
-                return None
+                return None, end
             while stack and stack[-1] != "(":
                 out.append(stack.pop())
             if not stack:
@@ -83,9 +86,14 @@ def to_postfix(expression: str) -> list[str] | None:
             operand = False
         else:
             break  # two identifiers in a row: the expression has ended
+        end = lexeme.end()
     if operand or "(" in stack:
-        return None
-    return out + stack[::-1]
+        return None, end
+    return out + stack[::-1], end
+
+
+def to_postfix(expression: str) -> list[str] | None:
+    return parse(expression)[0]
 
 
 def evaluate(postfix: list[str]) -> list[frozenset[str]]:
@@ -180,7 +188,7 @@ def scan_text(raw: bytes) -> dict:
     for end, (is_base, phrase) in automaton().iter(text):
         begin = end - len(phrase) - 1
         if begin < at:
-            start = text.count(" ", 0, begin)
+            start = spaces - text.count(" ", begin, at)
         else:
             spaces += text.count(" ", at, begin)
             at = begin
@@ -195,12 +203,14 @@ def scan_text(raw: bytes) -> dict:
         sure = 1 - (1 - sure) * (1 - p)
         notices.append((start, start + phrase.count(" ") + 1, label))
     expressions = []
-    for end, _ in tag_automaton().iter(raw.lower().decode("latin-1")):  # one character a byte
-        stop = raw.find(b"\n", end)
-        line = raw[end + 1 : stop if stop >= 0 else len(raw)].decode("utf-8", "replace")
-        postfix = to_postfix(line)
+    tags = [(end + 1, length) for end, length in tag_automaton().iter(raw.lower().decode("latin-1"))]  # one character a byte
+    for (begin, _), (after, length) in itertools.pairwise([*tags, (len(raw), 0)]):
+        limit = after - length  # what belongs to a tag ends at the next one, or at its line's end
+        stop = raw.find(b"\n", begin, limit)
+        line = raw[begin : stop if stop >= 0 else limit].decode("utf-8", "replace")
+        postfix, end = parse(line)
         if postfix:
-            expressions.append(line.strip())
+            expressions.append(line[:end].strip())
             labels |= named(postfix) - {"none", "noassertion"}
             sure = TAG_SURE
     return {"n_words": len(words), "base": sorted(base), "base_labels": sorted(base_labels), "labels": sorted(labels), "score": round(min(1.0, sure), 6), "notices": sorted(notices), "expressions": expressions}
