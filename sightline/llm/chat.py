@@ -45,13 +45,13 @@ def title(role: Column) -> Column:
     coded = F.replace(F.replace(escape(role), F.lit("%"), F.lit("%25")), F.lit(":"), F.lit("%3A"))
     first = F.substring(coded, 1, 1)
     return F.when(first.rlike("[A-Z]"), F.concat(F.lit("%_"), coded)).otherwise(
-        F.concat(F.translate(first, string.ascii_lowercase, string.ascii_uppercase), F.substring(coded, 2, 1_000_000))
+        F.concat(F.translate(first, string.ascii_lowercase, string.ascii_uppercase), F.substring(coded, F.lit(2), F.char_length(coded)))
     )
 
 
 def untitle(coded: Column) -> Column:
     first = F.substring(coded, 1, 1)
-    plain = F.when(coded.startswith("%_"), F.substring(coded, 3, 1_000_000)).otherwise(F.concat(lower_ascii(first), F.substring(coded, 2, 1_000_000)))
+    plain = F.when(coded.startswith("%_"), F.substring(coded, F.lit(3), F.char_length(coded))).otherwise(F.concat(lower_ascii(first), F.substring(coded, F.lit(2), F.char_length(coded))))
     return unescape(F.replace(F.replace(plain, F.lit("%3A"), F.lit(":")), F.lit("%25"), F.lit("%")))
 
 

@@ -240,3 +240,26 @@ def test_frames_stand_alone_and_damage_is_seen(spark, tmp_path, monkeypatch):
         tokenfile.Reader(opened(str(folder / "h")))
     empty = tokenfile.write(spark.createDataFrame([], SCHEMA), str(tmp_path / "none"), path)
     assert empty.count() == 0 and tokenfile.read(empty, str(tmp_path / "none")).count() == 0
+
+
+def test_many_tags_on_one_line_take_linear_time():
+    import time
+
+    from sightline.llm import licenses
+
+    parts = ["MIT", "Apache-2.0 OR (GPL-2.0-only WITH Classpath-exception-2.0)", "(MIT", "BSD-3-Clause AND", "x y z"]
+    line = " ".join(f"// SPDX-License-Identifier: {parts[i % 5]};" for i in range(20000)).encode()
+    began = time.time()
+    found = licenses.scan_text(line)
+    assert time.time() - began < 2
+    alone = [licenses.scan_text(f"SPDX-License-Identifier: {p};".encode()) for p in parts]
+    assert found["labels"] == sorted({x for a in alone for x in a["labels"]}) and len(found["expressions"]) == 12000
+    assert set(found["expressions"]) == {e for a in alone for e in a["expressions"]} == {"MIT", parts[1], "x"}
+
+
+def test_roles_of_any_length_come_back(spark):
+    from sightline.llm import chat
+
+    long = "r" * 1_200_000
+    df = spark.createDataFrame([(long,), ("R" + long,), ("assistant",)], "role string")
+    assert all(x.back == x.role for x in df.select("role", chat.untitle(chat.title(F.col("role"))).alias("back")).collect())
