@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sightline.catalog import ORACLES, QUERIES
-from sightline.plans import cameras, lines, observations, projections, regions, reviews, series, statistics, tracking  # noqa: F401  (they register the queries)
+from sightline.plans import cameras, lines, observations, projections, regions, reviews, selection, series, settings, statistics, tracking  # noqa: F401  (they register the queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
