@@ -6,8 +6,9 @@ Paths of any length are followed to their end; a prefix with at most FAN paths c
 further down, so its paths leave the loop as they are.
 Each template counts pages and labelled good and bad pages; sibling templates whose bad share doesn't
 differ from their siblings' by a two-proportion z-test are merged into one branch. A branch's purity is
-its share of good pages smoothed towards its host's, which is smoothed towards that of all hosts. Templates
-of branches below LEAST purity are rejected.
+its share of good pages, smoothed towards that of the same template on all hosts, which is smoothed towards that of all templates that begin with the same
+segment, that towards the host's and that towards the share of all pages. So branches of a host without labelled pages part by what like templates of other hosts
+hold. Templates of branches below LEAST purity are rejected.
 
 Statistics are grouped before anything is joined, so a host with most of the pages costs one row for each of
 its templates, not one for each page.
@@ -96,20 +97,25 @@ def verdicts(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, pag
     near = leaves.groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("bad").alias("pbad"))
     hosts = leaves.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("bad").alias("hbad"))
     every = leaves.agg(F.sum("n").alias("an"), F.sum("bad").alias("abad"))
+    leaves = leaves.withColumn("top", F.regexp_extract("template", "^/?[^/]*", 0))
+    same = leaves.groupBy("template").agg(F.sum("n").alias("sn"), F.sum("bad").alias("sbad"))
+    tops = leaves.groupBy("top").agg(F.sum("n").alias("tn"), F.sum("bad").alias("tbad"))
     x_n, x_bad = F.col("pn") - F.col("n"), F.col("pbad") - F.col("bad")
     pooled = F.try_divide(F.col("pbad"), F.col("pn"))
     spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("n")) + F.try_divide(F.lit(1), x_n)))
     z = F.try_divide(F.abs(F.try_divide(F.col("bad"), F.col("n")) - F.try_divide(x_bad, x_n)), spread)
     apart = (F.col("n") > 0) & (x_n > 0) & (pooled > 0) & (pooled < 1) & (z > Z)
-    tree = leaves.join(near, ["host", "parent"]).join(hosts, "host").join(F.broadcast(every))  # every is one row
+    tree = leaves.join(near, ["host", "parent"]).join(hosts, "host").join(same, "template").join(tops, "top").join(F.broadcast(every))  # every is one row
     tree = tree.withColumn("apart", F.coalesce(apart, F.lit(False))).checkpoint()
     rest = tree.filter(~F.col("apart")).groupBy("host", "parent").agg(F.sum("n").alias("rn"), F.sum("bad").alias("rbad"))
     tree = tree.join(rest, ["host", "parent"], "left")
     n = F.when(F.col("apart"), F.col("n")).otherwise(F.col("rn"))
     b = F.when(F.col("apart"), F.col("bad")).otherwise(F.col("rbad"))
     overall = (F.coalesce("an", F.lit(0)) - F.coalesce("abad", F.lit(0)) + SMOOTH) / (F.coalesce("an", F.lit(0)) + SMOOTH)
-    host_good = (F.col("hn") - F.col("hbad") + SMOOTH * overall) / (F.col("hn") + SMOOTH)
-    tree = tree.select("host", "template", ((n - b + SMOOTH * host_good) / (n + SMOOTH)).alias("purity"))
+    prior = overall
+    for many, wrong in ((F.col("hn"), F.col("hbad")), (F.col("tn"), F.col("tbad")), (F.col("sn"), F.col("sbad")), (n, b)):
+        prior = (many - wrong + SMOOTH * prior) / (many + SMOOTH)
+    tree = tree.select("host", "template", prior.alias("purity"))
     x = x.join(tree, ["host", "template"], "left").withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     return x.select(
         "page", "host", "path", F.col("fit.rule").alias("rule"),

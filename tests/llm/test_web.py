@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -107,3 +108,53 @@ def test_pipeline_over_a_small_folder(spark, tmp_path):
     assert not any(passage in (x.text or "") for x in out) and {202, 203} <= kept.keys()
     assert len({x.mix_position for x in out}) == len(out)
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_purity_is_that_of_a_loop(spark):
+    """Merging, chains of priors and branches that part on hosts without labels, from the operator's own templates."""
+    import math
+    import random
+
+    r = random.Random(4)
+    rows, said = [], []
+    for i in range(1500):
+        host = r.choice(["a.x", "b.x", "c.y", "quiet.z"])
+        path = r.choice(["/de/7", "/de/7/", "/fr/8", "/fr/about", "/en", "/", "", "/de/old/9.html"])
+        rows.append((i, f"http://{host}{path}"))
+        if host != "quiet.z" and r.random() < 0.5:
+            said.append((i, r.random() < (0.9 if path.startswith("/de") else 0.8 if path == "/fr/about" else 0.1)))
+    got = urls.verdicts(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(said, "page long, bad boolean"), rules=()).collect()
+    bad = dict(said)
+    pages = {x.page: (x.host, x.template) for x in got}
+
+    def counts(some):
+        told = [bad[p] for p in some if p in bad]
+        return len(told), sum(told)
+
+    def parent(t):
+        return re.sub(r"/[^/]*$", "", t)
+
+    def top(t):
+        return re.match(r"/?[^/]*", t).group()
+
+    leaves = {leaf: counts([p for p, x in pages.items() if x == leaf]) for leaf in set(pages.values())}
+    apart = {}
+    for (h, t), (n, b) in leaves.items():
+        pn, pb = (sum(v[i] for (g, u), v in leaves.items() if g == h and parent(u) == parent(t)) for i in (0, 1))
+        m, pooled = pn - n, pb / pn if pn else 0
+        z = abs(b / n - (pb - b) / m) / math.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m)) if n and m and 0 < pooled < 1 else 0
+        apart[h, t] = z > urls.Z
+    want = {}
+    for (h, t), own in leaves.items():
+        def total(keep):
+            return [sum(v[i] for k, v in leaves.items() if keep(*k)) for i in (0, 1)]
+
+        rest = own if apart[h, t] else total(lambda g, u: g == h and parent(u) == parent(t) and not apart[g, u])
+        chain = [total(lambda g, u: True), total(lambda g, u: g == h), total(lambda g, u: top(u) == top(t)), total(lambda g, u: u == t), rest]
+        good = 1.0
+        for n, b in chain:
+            good = (n - b + urls.SMOOTH * good) / (n + urls.SMOOTH)
+        want[h, t] = good
+    assert all(abs(x.purity - want[x.host, x.template]) < 1e-9 and x.verdict == ("block" if want[x.host, x.template] < urls.LEAST else "allow") for x in got)
+    quiet = {x.template: x.verdict for x in got if x.host == "quiet.z"}
+    assert quiet["/de/#"] == "block" and quiet["/fr/#"] == "allow" and any(apart.values()) and not all(apart.values())
