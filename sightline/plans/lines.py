@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sightline.catalog import query
 from sightline.functions import cameras as C
 from sightline.functions import shapes as S
-from sightline.operators import lines
+from sightline.operators import combos, lines
 from sightline.plans.tables import load
 
 _LENS, _BEND = (900.0, 880.0, 640.0, 360.0), (-0.05, 0.01, 0.0005, -0.0002, 0.0)
@@ -86,3 +86,19 @@ def line_of_two_views(spark, sf_dir):
     found = lines.line_fits(x, ["vec_id"], lines.Rules(gate=5.0, angle=5.0, gap=1e9))
     along = sum(F.col("point")[i] * F.col("direction")[i] for i in range(3))
     return found.select("vec_id", *(F.round(F.col("point")[i] - along * F.col("direction")[i], 3).alias(c) for i, c in enumerate("xyz")), *(F.round(F.abs(F.col("direction")[i]), 4).alias(c) for i, c in enumerate(("dx", "dy", "dz"))))
+
+
+@query("best_combinations")
+def best_combinations(spark, sf_dir):
+    """Of three candidates in each of five views (the thing's end, its other end and a stray pixel) the combination that agrees on one place with the highest scores."""
+    x, camera = _seen(spark, sf_dir)
+    score = lambda n: F.pmod(F.xxhash64("vec_id", "view", F.lit(n)), F.lit(1000)) / 1000.0
+    stray = F.array(score(7) * 1280, score(8) * 720)
+    made = F.array(*(F.struct(F.lit(n).alias("kind"), at.alias("at"), (score(n) + more).alias("score")) for n, (at, more) in enumerate(((C.project(camera, F.col("p")), 0.2), (C.project(camera, F.col("q")), 0.0), (stray, 0.0)))))
+    x = x.select("vec_id", "view", "turn", "shift", F.inline(made))
+    entry = lambda i, j: F.col("turn")[3 * i + j] if j < 3 else F.col("shift")[i]
+    focal = ((_LENS[0], _LENS[2]), (_LENS[1], _LENS[3]))
+    matrix = F.array(*(entry(i, j) * focal[i][0] + entry(2, j) * focal[i][1] if i < 2 else entry(2, j) for i in range(3) for j in range(4)))
+    x = x.select("vec_id", "view", F.concat_ws("-", "view", "kind").alias("name"), matrix.alias("camera"), F.col("at")[0].alias("u"), F.col("at")[1].alias("v"), "score", F.lit(1.0).alias("size"))
+    found = combos.best_combinations(x, ["vec_id"], gate=12.0)
+    return found.select("vec_id", *(F.round(c, 4).alias(c) for c in ("score", "x", "y", "z")), "names")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from sightline.catalog import query
 from sightline.functions import expressions as X
 from sightline.functions import shapes as S
-from sightline.operators import scorecard
+from sightline.operators import motion, scorecard
 from sightline.operators import series as R
 from sightline.operators import windows as W
 from sightline.plans.tables import D, E, events, load, scored
@@ -302,3 +302,15 @@ def ensemble_choices(spark, sf_dir):
     x = events(spark, sf_dir).groupBy((F.col("user_id") % 8).alias("target"), day.alias("frame")).agg(*masks)
     x = x.select("target", "frame", "primary", "fallback", F.array("other").alias("others"), (F.col("frame") % 11 == 0).alias("hidden"), (F.col("frame") % 3 > 0).alias("inside"))
     return R.ensemble_choices(x, ["target"], 6, window=10, samples=3)
+
+
+@query("view_motion", """WITH v AS (SELECT label, vec_id // 40 AS frame, min_by(embedding, vec_id) AS e FROM embeddings GROUP BY 1, 2), c AS (SELECT label, frame, i, CAST(e[i + 1] AS DOUBLE) * 100 AS x, CAST(e[i + 6] AS DOUBLE) * 100 AS y FROM v, range(5) r(i)),
+f AS (SELECT label, frame, lag(frame) OVER (PARTITION BY label ORDER BY frame) AS before FROM v), s AS (SELECT f.label, f.frame, coalesce(median(a.x - b.x), 0) AS dx, coalesce(median(a.y - b.y), 0) AS dy FROM f LEFT JOIN c a ON a.label = f.label AND a.frame = f.frame
+LEFT JOIN c b ON b.label = f.label AND b.frame = f.before AND b.i = a.i GROUP BY 1, 2) SELECT label, frame, round(sum(dx) OVER w, 4) AS dx, round(sum(dy) OVER w, 4) AS dy FROM s WINDOW w AS (PARTITION BY label ORDER BY frame)""")
+def view_motion(spark, sf_dir):
+    """How far a view has shifted since its first frame, from five centres a frame: too few for an affine map, so each step is their median shift."""
+    x = load(spark, sf_dir, "embeddings").groupBy("label", F.floor(F.col("vec_id") / 40).alias("frame")).agg(F.min_by("embedding", "vec_id").alias("e"))
+    x = x.select("label", "frame", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("item"), "e")
+    x = x.select("label", "frame", "item", (F.get("e", F.col("item")).cast("double") * 100).alias("x"), (F.get("e", F.col("item") + 5).cast("double") * 100).alias("y"))
+    wholes = motion.composed(motion.step_maps(x, ["label"], "frame", "item", "x", "y"), ["label"], "frame", block=8)
+    return wholes.select("label", "frame", F.round(F.col("whole")[2], 4).alias("dx"), F.round(F.col("whole")[5], 4).alias("dy"))
