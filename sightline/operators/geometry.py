@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,26 +49,26 @@ def fit_line(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     return centre, vt[0], float(np.sqrt((s[1:] ** 2).sum() / len(points)))
 
 
-def triangulated(df: DataFrame, keys: list[str], most: float = 15.0, lots: int = 64) -> DataFrame:
+def triangulated(df: DataFrame, keys: list[str], most: float = 15.0) -> DataFrame:
     """keys, x, y, z, views, worst: rows hold camera (array of 12, row by row), u, v and view. Fewer than two views give no row.
 
-    Groups are small, so they are dealt into lots and worked through a lot at a time.
+    A group's rows, no more than there are views, meet by its keys; a task works through an Arrow batch of groups at a time.
     """
     names = [*keys, "x", "y", "z", "views", "worst"]
     schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), "x double, y double, z double, views int, worst double"])
 
-    def lot(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for key, part in rows.sort_values([*keys, "view"]).groupby(keys, sort=False, dropna=False):
-            if len(part) >= 2:
-                cameras = np.stack(part["camera"].to_list()).astype(float).reshape(-1, 3, 4)
-                points = part[["u", "v"]].to_numpy(float)
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for i, rows in enumerate(x["_seen"]):
+                cameras = np.stack([r["camera"] for r in rows]).astype(float).reshape(-1, 3, 4)
+                points = np.array([[r["u"], r["v"]] for r in rows], float)
                 found, kept = without_outlier(cameras, points, most)
-                out.append((*key, *found, len(kept), residuals(cameras[kept], points[kept], found).max()))
-        return pd.DataFrame(out, columns=names)
+                out.append((*x[keys].iloc[i], *found, len(kept), residuals(cameras[kept], points[kept], found).max()))
+            yield pd.DataFrame(out, columns=names)
 
-    x = df.select(*keys, "view", "camera", "u", "v").withColumn("_lot", F.pmod(F.xxhash64(*keys), F.lit(lots)))
-    return x.groupBy("_lot").applyInPandas(lot, schema)
+    x = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("view", "camera", "u", "v"))).alias("_seen"))
+    return x.filter(F.size("_seen") >= 2).mapInPandas(go, schema)
 
 
 def fuse_boxes(boxes: np.ndarray, scores: np.ndarray, least: float = 0.55) -> list[tuple[np.ndarray, float]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.catalog import query
-from sightline.operators import regions
+from sightline.operators import proximity, regions
 from sightline.plans.tables import load
 
 _E = "e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
@@ -107,3 +107,13 @@ def bench_footprints(spark, sf_dir):
     camera = F.element_at(F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in _ABOVE)), F.col("view") + 1)
     x = regions.footprints(x.withColumn("camera", camera), ["label"], 10.0, 0.25)
     return x.select("label", "cells", *(F.round(F.col("bounds")[i], 6).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))), *(F.round(F.col("centre")[i], 6).alias(c) for i, c in enumerate(("cx", "cy"))))
+
+
+@query("merged_points", f"""WITH RECURSIVE {_E}, p AS (SELECT label, vec_id, 8 * e[1] AS x, 8 * e[2] AS y FROM e), n AS (SELECT a.vec_id AS u, b.vec_id AS v FROM p a JOIN p b ON a.label = b.label AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.16),
+r(node, reach) AS (SELECT u, u FROM n UNION SELECT r.node, n.v FROM r JOIN n ON n.u = r.reach), c AS (SELECT node, min(reach) AS cluster FROM r GROUP BY 1)
+SELECT label, cluster, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM c JOIN p ON node = vec_id GROUP BY 1, 2""")
+def merged_points(spark, sf_dir):
+    """Points of one label merged by chains of steps of at most 0.4."""
+    x = _vectors(spark, sf_dir).select("label", "vec_id", (F.get("e", F.lit(0)) * 8).alias("x"), (F.get("e", F.lit(1)) * 8).alias("y"))
+    found = proximity.merged(x, ["label"], "vec_id", ["x", "y"], 0.4)
+    return found.select("label", "cluster", "n", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

@@ -243,16 +243,17 @@ def graph_components(spark, sf_dir):
     return graph.clusters(x.select((F.col("l_partkey") * 2).alias("u"), (F.col("l_suppkey") * 2 + 1).alias("v")), "u", "v")
 
 
-@query("exemplar_top_match")
+@query("exemplar_top_match", """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), x AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 20),
+s AS (SELECT v.vec_id AS query, x.vec_id AS exemplar, list_cosine_similarity(v.e, x.e) AS similarity FROM v JOIN x ON v.vec_id <> x.vec_id) SELECT query, exemplar, round(similarity, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, exemplar) = 1""")
 def exemplar_top_match(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     exemplars = W.first_of(e, ["label"], F.col("id").asc(), k=20)
-    return vectors.top_exemplars(e, exemplars, 1).select("query", "exemplar", "similarity")
+    return vectors.top_exemplars(e, exemplars, 1).select("query", "exemplar", F.round("similarity", 6).alias("similarity"))
 
 
-@query("embedding_delta")
+@query("embedding_delta", """WITH v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT label, vec_id, round(list_cosine_similarity(lag(e) OVER (PARTITION BY label ORDER BY vec_id), e), 6) AS similarity FROM v""")
 def embedding_delta(spark, sf_dir):
-    return vectors.deltas(load(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding")
+    return vectors.deltas(load(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("tumbling_buckets", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY 1, 2""")
@@ -261,16 +262,21 @@ def tumbling_buckets(spark, sf_dir):
     return x.select(F.col("w.start").alias("start"), "event_type", "n", "top")
 
 
-@query("debounce")
+_HOURS = f"{E}, h AS (SELECT user_id, frame, max(value) AS v, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS rn FROM e GROUP BY 1, 2)"
+
+
+@query("debounce", f"""WITH RECURSIVE {_HOURS}, s(user_id, rn, frame, v, state, t, f) AS (SELECT user_id, rn, frame, v > 100, FALSE, CASE WHEN v > 100 THEN 1 ELSE 0 END, CASE WHEN v <= 100 THEN 1 ELSE 0 END FROM h WHERE rn = 1
+UNION ALL SELECT h.user_id, h.rn, h.frame, h.v > 100, CASE WHEN h.v IS NULL THEN FALSE WHEN s.state THEN NOT (h.v <= 100 AND s.f + 1 >= 3) ELSE h.v > 100 AND s.t + 1 >= 2 END, CASE WHEN h.v > 100 THEN s.t + 1 ELSE 0 END, CASE WHEN h.v <= 100 THEN s.f + 1 ELSE 0 END
+FROM s JOIN h ON h.user_id = s.user_id AND h.rn = s.rn + 1) SELECT user_id, frame, CASE WHEN v IS NOT NULL THEN state END AS state FROM s""")
 def debounce(spark, sf_dir):
     h = events(spark, sf_dir).groupBy("user_id", "frame").agg(F.max("value").alias("v"))
     return folds.debounce(h.withColumn("high", F.col("v") > 100), ["user_id"], "frame", "high")
 
 
-@query("decayed_log_odds")
+@query("decayed_log_odds", f"WITH {_HOURS}, l AS (SELECT user_id, max(frame) AS last FROM h GROUP BY 1) SELECT user_id, round(sum(coalesce(v, 0) * pow(0.5, (last - frame) / 24.0)), 6) AS total, last FROM h JOIN l USING (user_id) GROUP BY user_id, last")
 def decayed_log_odds(spark, sf_dir):
     h = events(spark, sf_dir).groupBy("user_id", "frame").agg(F.max("value").alias("v"))
-    return folds.decayed_sum(h, ["user_id"], "frame", "v", 24.0)
+    return folds.decayed_sum(h, ["user_id"], "frame", "v", 24.0).withColumn("total", F.round("total", 6))
 
 
 @query("content_digest", """SELECT count(*) AS "rows", CAST(sum(h) AS VARCHAR) AS total, bit_xor(h) AS low FROM (SELECT CAST(('0x' || left(md5(CAST(o_orderkey AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR) || '|' || o_orderstatus || '|' || o_orderpriority), 12)) AS BIGINT) AS h FROM orders)""")
