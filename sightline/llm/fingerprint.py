@@ -4,11 +4,8 @@ The root is a SHA-256 over the section digests, which are SHA-256 over the parag
 are SHA-256 over the paragraph's characters. Splitting on fixed strings can be undone, so two texts
 have the same root when they are the same text. The fingerprint is the root followed by the
 smallest 64 leaf digests, the leaves being runs of three words counted from each paragraph's start.
-Two fingerprints are alike to the degree that their leaves are: with J the Jaccard estimate from the
-smallest leaves of the union, the likeness is 2J / (1 + J), the share of leaves that both hold.
-
-That likeness is an estimate, which op2_document_fingerprints returns because its SQL is so defined.
-op2_document_branches compares whole trees: the share over all leaves, and the branches that differ.
+Two trees are alike to the degree that their leaves are: twice the leaves that both hold by the leaves of each, over all
+leaves, so an edit counts wherever it lies. op2_document_branches also returns the branches that differ.
 
 Only DataFrame functions run here.
 """
@@ -61,40 +58,13 @@ def all_leaves_of(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.split(text, PARAGRAPH), _runs)))
 
 
-def leaves_of(text: Column) -> Column:
-    """The smallest LEAVES distinct leaf digests, sorted."""
-    return F.slice(F.array_sort(all_leaves_of(text)), 1, LEAVES)
-
-
-def fingerprint_of(text: Column) -> Column:
-    return F.concat(root_of(section_digests(paragraph_digests(text))), F.lit(":"), F.array_join(leaves_of(text), ","))
-
+def smallest(leaves: Column) -> Column:
+    """The smallest LEAVES of some leaf digests, sorted."""
+    return F.slice(F.array_sort(leaves), 1, LEAVES)
 
-def _leaves_in(fingerprint: Column) -> Column:
-    return F.array_remove(F.split(F.substring(fingerprint, 66, 1_000_000), ","), "")
 
-
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 from two fingerprints; 1 for equal ones."""
-    return F.when(a == b, F.lit(1.0)).otherwise(
-        F.element_at(
-            F.transform(
-                F.array(F.struct(_leaves_in(a).alias("a"), _leaves_in(b).alias("b"))),
-                lambda x: F.element_at(
-                    F.transform(
-                        F.array(F.slice(F.array_sort(F.array_union(x["a"], x["b"])), 1, LEAVES)),
-                        lambda u: F.when(F.size(u) == 0, F.lit(0.0)).otherwise(
-                            2.0
-                            * F.size(F.array_intersect(F.array_intersect(u, x["a"]), x["b"]))
-                            / (F.size(u) + F.size(F.array_intersect(F.array_intersect(u, x["a"]), x["b"])))
-                        ),
-                    ),
-                    1,
-                ),
-            ),
-            1,
-        )
-    )
+def _print(root: Column, leaves: Column) -> Column:
+    return F.concat(root, F.lit(":"), F.array_join(smallest(leaves), ","))
 
 
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,7 +75,7 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     x = x.withColumn("root", root_of(F.col("sections")))
     return x.select(
         "doc", F.char_length("t").cast("long").alias("n_chars"), "root", "sections", "paragraphs",
-        F.concat("root", F.lit(":"), F.array_join(leaves_of(F.col("t")), ",")).alias("fingerprint"),
+        _print(F.col("root"), all_leaves_of(F.col("t"))).alias("fingerprint"),
     )
 
 
@@ -188,22 +158,8 @@ def with_next(rows: DataFrame, key: str, buckets: int, *carried: str) -> DataFra
     return x.filter(F.col(ghost) == 0).drop(ghost)
 
 
-def op2_document_fingerprints(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("t"))
-    docs = docs.withColumn("fp", fingerprint_of(F.col("t")))
-    x = with_next(docs, "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")), "t", "fp")
-    x = x.withColumn("n", F.char_length("t"))
-    half = F.floor(F.col("n") / 2).cast("int")
-    x = x.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), F.col("n") - half), F.substring(F.col("next_t"), F.lit(1), half)))
-    x = x.select("doc_id", "n", "fp", "next_fp", _sha(F.col("edited")).alias("edited_sha256"), fingerprint_of(F.col("edited")).alias("efp"))
-    return x.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-    )
-
-
-def op2_document_branches(spark, sf_dir: str) -> DataFrame:
-    """The texts of op2_document_fingerprints compared by their whole trees."""
+def _compared(spark, sf_dir: str) -> DataFrame:
+    """doc_id, t, next_t, edited and the trees own_, edited_ and next_ of the three texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("t"))
     x = with_next(docs, "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")), "t")
     n = F.char_length("t")
@@ -211,6 +167,22 @@ def op2_document_branches(spark, sf_dir: str) -> DataFrame:
     x = x.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), n - half), F.substring(F.col("next_t"), F.lit(1), half)))
     for text, name in (("t", "own"), ("edited", "edited"), ("next_t", "next")):
         x = with_tree(x, text, name)
+    return x
+
+
+def op2_document_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and the likeness of their whole trees. A null text is empty; rows of one id follow one another by text, null ids come last."""
+    x = _compared(spark, sf_dir)
+    return x.select(
+        "doc_id", F.char_length("t").cast("long").alias("n_chars"), _sha(F.col("edited")).alias("edited_sha256"),
+        *(_print(F.col(f"{name}_root"), F.col(f"{name}_leaves")).alias(c) for name, c in (("own", "fingerprint"), ("edited", "edited_fingerprint"))),
+        whole_likeness("own", "edited").alias("near_edited"), whole_likeness("own", "next").alias("near_next"),
+    )
+
+
+def op2_document_branches(spark, sf_dir: str) -> DataFrame:
+    """The texts of op2_document_fingerprints with the branches of their trees that differ."""
+    x = _compared(spark, sf_dir)
     return x.select(
         "doc_id", whole_likeness("own", "edited").alias("near_edited"), differing("own", "edited").alias("edited_branches"),
         whole_likeness("own", "next").alias("near_next"), differing("own", "next").alias("next_branches"),
@@ -218,28 +190,26 @@ def op2_document_branches(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    def fp(t: str) -> str:
-        leaves = f"list_sort(list_distinct(flatten(list_transform(string_split({t}, chr(10)), lambda p: list_transform(range(0, len(list_filter(string_split(p, ' '), lambda q: q <> '')), {RUN}), lambda i: left(md5(array_to_string(list_filter(string_split(p, ' '), lambda q: q <> '')[i + 1 : i + {RUN}], ' ')), 12))))))[1:{LEAVES}]"
-        root = f"sha256(array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))"
-        return f"{root} || ':' || array_to_string({leaves}, ',')"
+    def leaves(t: str) -> str:
+        words = "list_filter(string_split(p, ' '), lambda q: q <> '')"
+        return f"list_distinct(flatten(list_transform(string_split({t}, chr(10)), lambda p: list_transform(range(0, len({words}), {RUN}), lambda i: left(md5(array_to_string({words}[i + 1 : i + {RUN}], ' ')), 12)))))"
 
-    def near(a: str, b: str) -> str:
-        return f"CASE WHEN {a} = {b} THEN 1.0 WHEN {a}u = 0 THEN 0.0 ELSE 2.0 * {a}i / ({a}u + {a}i) END"
+    def fp(t: str, all_of: str) -> str:
+        root = f"sha256(array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))"
+        return f"{root} || ':' || array_to_string(list_sort({all_of})[1:{LEAVES}], ',')"
 
-    def leaf(c: str) -> str:
-        return f"list_filter(string_split({c}[66:], ','), lambda q: q <> '')"
+    def near(t: str, all_of: str) -> str:
+        both = f"(len(l0) + len({all_of}))"
+        return f"CASE WHEN t = {t} THEN 1.0 WHEN {both} = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(l0, {all_of})) / {both} END"
 
-    u = lambda a, b: f"list_sort(list_distinct(list_concat({leaf(a)}, {leaf(b)})))[1:{LEAVES}]"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM d),
 e AS (SELECT *, length(t) AS nc, left(t, CAST(length(t) - length(t) // 2 AS INTEGER)) || left(nt, CAST(length(t) // 2 AS INTEGER)) AS et FROM n),
-f AS (SELECT doc_id, nc, et, {fp("t")} AS f0, {fp("et")} AS f1, {fp("nt")} AS f2 FROM e),
-g AS (SELECT *, {u("f0", "f1")} AS u1, {u("f0", "f2")} AS u2 FROM f),
-h AS (SELECT *, len(u1) AS f1u, len(u2) AS f2u, len(list_intersect(list_intersect(u1, {leaf("f0")}), {leaf("f1")})) AS f1i, len(list_intersect(list_intersect(u2, {leaf("f0")}), {leaf("f2")})) AS f2i FROM g)
-SELECT doc_id, CAST(nc AS BIGINT) AS n_chars, sha256(et) AS edited_sha256, f0 AS fingerprint, f1 AS edited_fingerprint,
-       CAST({near("f1", "f0")} AS DOUBLE) AS near_edited, CAST({near("f2", "f0")} AS DOUBLE) AS near_next
-FROM h"""
+l AS (SELECT *, {leaves("t")} AS l0, {leaves("et")} AS l1, {leaves("nt")} AS l2 FROM e)
+SELECT doc_id, CAST(nc AS BIGINT) AS n_chars, sha256(et) AS edited_sha256, {fp("t", "l0")} AS fingerprint, {fp("et", "l1")} AS edited_fingerprint,
+       CAST({near("et", "l1")} AS DOUBLE) AS near_edited, CAST({near("nt", "l2")} AS DOUBLE) AS near_next
+FROM l"""
 
 
 ORACLE = _oracle()
