@@ -67,10 +67,11 @@ def weighted_vote(spark, sf_dir):
     return A.weighted_vote(x.join(some, "user_id", "left_semi"), ["user_id"], "event_type", "w").drop("entropy")
 
 
-@query("weighted_vote_entropy")
+@query("weighted_vote_entropy", """WITH p AS (SELECT user_id, event_type, sum(CAST(floor(abs(value)) AS BIGINT) + 1) AS w FROM events GROUP BY 1, 2), t AS (SELECT user_id, sum(w) AS t, count(*) AS votes FROM p GROUP BY 1)
+SELECT user_id, event_type AS winner, round(w / t, 9) AS share, votes, round(entropy, 9) AS entropy FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, event_type) AS k, sum(-w / t * log2(w / t)) OVER (PARTITION BY user_id) AS entropy FROM p JOIN t USING (user_id)) WHERE k = 1""")
 def weighted_vote_entropy(spark, sf_dir):
     x = load(spark, sf_dir, "events").withColumn("w", F.floor(F.abs("value")) + 1)
-    return A.weighted_vote(x, ["user_id"], "event_type", "w")
+    return A.weighted_vote(x, ["user_id"], "event_type", "w").withColumns({c: F.round(c, 9) for c in ("share", "entropy")})
 
 
 @query("id_switch_count", """SELECT user_id, CAST(coalesce(sum(CASE WHEN event_type <> p THEN 1 ELSE 0 END), 0) AS BIGINT) AS switches, count(*) AS seen FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) GROUP BY 1""")
