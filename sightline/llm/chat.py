@@ -145,6 +145,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
 
 def op8_chat_formatting(spark, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back. Null roles and texts are empty ones, turns that repeat follow one another; an empty table gives the planted one alone."""
     planted = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(planted).alias("text")

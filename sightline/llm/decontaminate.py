@@ -115,6 +115,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Hits of every document. A null or empty text has no words and is clean, items without words hit nothing, rows of one id or none are told apart, repeated rows repeat; empty tables give no rows or clean ones."""
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
         F.col("doc").alias("doc_id"),

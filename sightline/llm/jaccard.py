@@ -502,6 +502,7 @@ def _count(size: int):
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Set size and component of every document. A null or empty text has no shingles and is alone, copies are linked, rows of one id or none are told apart; a text of any length counts whole, an empty table gives no rows."""
     out = join(table(spark, sf_dir, "documents"), size=4, percent=85)
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 

@@ -252,6 +252,7 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Base phrases, labels and score of every text. A null or empty text has no words, null places, empty labels and score 0; repeated rows repeat, long texts take linear time, an empty table gives no rows."""
     return licenses(table(spark, sf_dir, "documents")).select(
         F.col("doc").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )

@@ -212,4 +212,5 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """Scores of every document. A null or empty text has the end token alone, a row with a null id trains, repeated rows repeat; a text of any length is scored whole and an empty table gives no rows."""
     return score(table(spark, sf_dir, "documents"))[0]

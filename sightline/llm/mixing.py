@@ -149,4 +149,5 @@ def mix(docs: DataFrame, weights: dict | None = None, doc_id: str = "doc_id", so
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every document's place in the mixture. A null source is a source of its own, a null id counts as an empty one, repeated rows all have a place, texts aren't read and an empty table stays empty."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))

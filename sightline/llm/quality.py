@@ -240,5 +240,6 @@ class Classifier:
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Weight and draw of every document. A null text is the empty one, repeated rows repeat their weight, long texts count whole and an empty table gives no rows."""
     out = Classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).result()
     return out.select(F.col("doc").alias("doc_id"), "log_weight", "drawn", "keep")

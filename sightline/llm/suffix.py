@@ -455,6 +455,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """What is cut out of every text. A null or empty text has no bytes, equal rows are told apart by nothing and cut alike, texts of one id or none by their digests; a text of any length is scanned whole, an empty table gives no rows."""
     out = dedup(table(spark, sf_dir, "documents"))
     return out.select(
         F.col("doc").alias("doc_id"), "n_bytes",
