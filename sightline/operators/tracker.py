@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 
 from sightline.operators.geometry import project, residuals, triangulate
 from sightline.operators.matching import greedy
+from sightline.streaming import ordered
 
 COLUMNS = (
     "frame long, track_id string, object_class string, x double, y double, z double, uncertainty double, views int, state string, confidence double, possibly_same_as string, "
@@ -396,33 +396,11 @@ def track(df: DataFrame, trial: str, cameras: dict[str, list], settings: Setting
 
 
 def track_stream(df: DataFrame, trial: str, cameras: dict[str, list], settings: Settings | None = None, late: int = 5, volumes: tuple[Volume, ...] = (), time: str | None = None, idle: str = "1 minute") -> DataFrame:
-    """The same over a stream: a frame is taken once one more than late frames younger has come, so rows may be that late; older rows are passed over.
-
-    With time, a timestamp column that has a watermark, a trial is over once the watermark is idle past its youngest row: its last frames come out
-    and its state goes. Rows of a trial that come after its end begin it anew. Without time the last late + 1 frames wait for rows that may never come.
-    """
-    kind = df.schema[trial].dataType.simpleString()
+    """The same over a stream, frames in order and trials ended as streaming.ordered.fold says."""
     rig = {v: np.array(c, float) for v, c in cameras.items()}
-    seen = _observations(df)
-    rest = int(pd.Timedelta(idle).total_seconds() * 1000)
 
-    def step(key, batches, state):
-        tracker, waiting, youngest = pickle.loads(state.get[0]) if state.exists else (Tracker(rig, settings or Settings(), volumes), pd.DataFrame(columns=seen), 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield _typed([(key[0], *r) for frame, observations in _frames(waiting) for r in tracker.step(frame, observations)], trial)
-            return
-        new = list(batches)
-        rows = pd.concat([x for x in (waiting, *(b[seen] for b in new)) if len(x)] or [waiting], ignore_index=True)
-        if tracker.frame is not None:
-            rows = rows[rows["frame"] > tracker.frame]
-        ready = rows[rows["frame"] < rows["frame"].max() - late] if len(rows) else rows
-        out = [(key[0], *r) for frame, observations in _frames(ready) for r in tracker.step(frame, observations)]
-        if time:
-            youngest = max([youngest, *(int(b[time].max().timestamp() * 1000) for b in new if b[time].notna().any())])
-            state.setTimeoutTimestamp(max(youngest + rest, state.getCurrentWatermarkMs() + 1))
-        state.update((pickle.dumps((tracker, rows.drop(ready.index), youngest)),))
-        yield _typed(out, trial)
-
-    grouped = df.select(trial, *seen, *([time] if time else [])).groupBy(trial)
-    return grouped.applyInPandasWithState(step, f"{trial} {kind}, {COLUMNS}", "tracker binary", "append", "EventTimeTimeout" if time else "NoTimeout")
+    def step(tracker: Tracker, rows: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame([r for frame, observations in _frames(rows) for r in tracker.step(frame, observations)], columns=_names())
+        return out.astype({"group_size": "Int32"})
+
+    return ordered.fold(df, [trial], "frame", _observations(df), lambda: Tracker(rig, settings or Settings(), volumes), step, COLUMNS, late, time, idle)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from sightline.catalog import query
 from sightline.functions import expressions as X
 from sightline.operators import aggregates as A
-from sightline.operators import equivalence, folds, graph, matching, vectors
+from sightline.operators import equivalence, evidence, folds, graph, matching, vectors
 from sightline.operators import scorecard as S
 from sightline.operators import windows as W
 from sightline.plans.tables import D, E, events, load, scored
@@ -280,6 +280,18 @@ def decayed_log_odds(spark, sf_dir):
     return folds.decayed_sum(h, ["user_id"], "frame", "v", 24.0).withColumn("total", F.round("total", 6))
 
 
+@query("signed_evidence", f"""WITH RECURSIVE {E}, h AS (SELECT user_id, frame, sum(CASE WHEN event_type = 'click' THEN 1.0 WHEN event_type = 'view' THEN -1.0 ELSE 0.0 END) AS c, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS rn FROM e GROUP BY 1, 2),
+s(user_id, rn, frame, lo, sign, episode, own) AS (SELECT user_id, rn, frame, CAST(c AS DOUBLE), CASE WHEN abs(c) > 1.5 THEN CAST(sign(c) AS INTEGER) ELSE 0 END, CAST(0 AS BIGINT), CAST(c AS DOUBLE) FROM h WHERE rn = 1
+UNION ALL SELECT h.user_id, h.rn, h.frame, s.lo * pow(0.98, h.frame - s.frame) + h.c, CASE WHEN abs(s.lo * pow(0.98, h.frame - s.frame) + h.c) > CASE WHEN s.sign = 0 THEN 1.5 ELSE 2.5 END THEN CAST(sign(s.lo * pow(0.98, h.frame - s.frame) + h.c) AS INTEGER) ELSE s.sign END,
+s.episode + CASE WHEN h.frame - s.frame > 12 THEN 1 ELSE 0 END, CASE WHEN h.frame - s.frame > 12 THEN 0 ELSE s.own END + h.c FROM s JOIN h ON h.user_id = s.user_id AND h.rn = s.rn + 1)
+SELECT user_id, frame, round(lo, 6) AS log_odds, sign, round(1 / (1 + exp(-lo)), 6) AS confidence, episode, round(own, 6) AS in_episode FROM s""")
+def signed_evidence(spark, sf_dir):
+    """Clicks against views of a user, fading by the hour, with a sign that needs more to turn than to be set."""
+    x = events(spark, sf_dir).select("user_id", "frame", F.when(F.col("event_type") == "click", 1.0).when(F.col("event_type") == "view", -1.0).otherwise(0.0).alias("c"))
+    x = evidence.accumulated(x, ["user_id"], "frame", "c", evidence.Rules(0.98, 1.5, 2.5, 12))
+    return x.select("user_id", "frame", F.round("log_odds", 6).alias("log_odds"), "sign", F.round("confidence", 6).alias("confidence"), "episode", F.round("in_episode", 6).alias("in_episode"))
+
+
 @query("content_digest", """SELECT count(*) AS "rows", CAST(sum(h) AS VARCHAR) AS total, bit_xor(h) AS low FROM (SELECT CAST(('0x' || left(md5(CAST(o_orderkey AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR) || '|' || o_orderstatus || '|' || o_orderpriority), 12)) AS BIGINT) AS h FROM orders)""")
 def content_digest(spark, sf_dir):
     return equivalence.digest(load(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
