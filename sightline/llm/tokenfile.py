@@ -43,7 +43,9 @@ _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 _PART = 1 << 20  # bytes of a text looked at together
 _KNOWN = 1_000_000  # words, and pieces of words, whose ids are kept
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
-_PIECES = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+_PIECES = re.compile(rb"[a-z\x80-\xFF]+|[0-9]|[^a-z0-9\x80-\xFF]+")
+#: ASCII without apostrophes and <, and letters from U+00C0 to U+027F but the dotted capital I, which lower case takes apart.
+_PLAIN = re.compile(rb"(?:[\x00-&(-;=-\x7F]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|\xC4[\x80-\xAF\xB1-\xBF]|[\xC5-\xC9][\x80-\xBF])*")
 
 
 def _check(plain: bytes) -> int:
@@ -161,8 +163,8 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts by a tokenizer that folds case, drops white space and splits texts into letter runs, digits and runs of other characters.
 
-    No piece crosses white space, so a word is encoded once and its ids are kept. A new word of ASCII characters is put together from such pieces,
-    in lower case; one with other characters, an apostrophe (whose endings are pieces of their own) or a < (added tokens) is encoded as a whole.
+    No piece crosses white space, so a word is encoded once and its ids are kept. A new word of ASCII characters and Latin letters is put together from such
+    pieces; one with other characters, an apostrophe (whose endings are pieces of their own) or a < (added tokens) is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -187,7 +189,7 @@ class Encoder:
         return ids, counts
 
     def _words(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [_PIECES.findall(w.lower()) if w.isascii() and b"'" not in w and b"<" not in w else [w] for w in new]
+        parts = [_PIECES.findall(w.lower()) if _PLAIN.fullmatch(w) else [w] for w in new]
         counts = np.array([len(x) for x in parts])
         ids, n = self.pieces(itertools.chain.from_iterable(parts), int(counts.sum()))
         return ids, _sums(n, counts)

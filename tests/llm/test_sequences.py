@@ -178,7 +178,7 @@ def tokenizer():
 def test_encoder_is_the_tokenizer():
     path, whole = tokenizer()
     encode, r = tokenfile.Encoder(path), random.Random(2)
-    marks = [*"abAB'stlvd.,<|>09 \n\t\x00\x1c\x85\xa0éÉ́İßσΣς中😀²½‍", "<|endoftext|>", "'ll", "don't", "it'S"]
+    marks = [*"ÀþÿĀıİƀɏɐʰ×÷abAB'stlvd.,<|>09 \n\t\x00\x1c\x85\xa0éÉ́İßσΣς中😀²½‍", "<|endoftext|>", "'ll", "don't", "it'S"]
     for _ in range(1500):
         some = ["".join(r.choice(marks) for _ in range(r.randrange(30))) for _ in range(3)]
         ids, n = encode([x.encode() for x in some])
