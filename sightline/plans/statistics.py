@@ -324,14 +324,23 @@ def idf1(spark, sf_dir):
     return matching.identity_scores(load(spark, sf_dir, "documents").select("lang", "source", F.pmod(F.xxhash64("doc_id"), F.lit(7)).alias("found")), ["lang"], "source", "found")
 
 
-@query("hysteresis_events")
+_ROWS = "x AS (SELECT user_id, event_id, CAST(value AS DOUBLE) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)"
+
+
+@query("hysteresis_events", f"""WITH RECURSIVE {_ROWS}, s(user_id, rn, inside, run, turned) AS (SELECT user_id, rn, FALSE, CASE WHEN v <= 50 THEN 1 ELSE 0 END, FALSE FROM x WHERE rn = 1
+UNION ALL SELECT x.user_id, x.rn, CASE WHEN s.run = 1 AND h THEN NOT s.inside ELSE s.inside END, CASE WHEN h AND s.run = 0 THEN 1 ELSE 0 END, s.run = 1 AND h FROM s JOIN x ON x.user_id = s.user_id AND x.rn = s.rn + 1, LATERAL (SELECT coalesce(CASE WHEN s.inside THEN x.v >= 60 ELSE x.v <= 50 END, FALSE) AS h) l),
+t AS (SELECT user_id, rn, inside, lead(rn) OVER (PARTITION BY user_id ORDER BY rn) AS leaves FROM s WHERE turned), e AS (SELECT user_id, rn - 1 AS a, coalesce(leaves - 2, (SELECT max(rn) FROM x WHERE x.user_id = t.user_id)) AS b FROM t WHERE inside)
+SELECT e.user_id, f.event_id AS first, l.event_id AS last FROM e JOIN x f ON f.user_id = e.user_id AND f.rn = a JOIN x l ON l.user_id = e.user_id AND l.rn = b""")
 def hysteresis_events(spark, sf_dir):
     return folds.hysteresis_events(load(spark, sf_dir, "events"), ["user_id"], "event_id", "value", 50.0, 60.0, 2)
 
 
-@query("one_euro")
+@query("one_euro", f"""WITH RECURSIVE {_ROWS}, s(user_id, rn, event_id, v, smoothed, speed) AS (SELECT user_id, rn, event_id, v, v, CAST(0 AS DOUBLE) FROM x WHERE rn = 1
+UNION ALL SELECT x.user_id, x.rn, x.event_id, x.v, b.b * x.v + (1 - b.b) * s.smoothed, a.speed FROM s JOIN x ON x.user_id = s.user_id AND x.rn = s.rn + 1, LATERAL (SELECT CAST(x.event_id - s.event_id AS DOUBLE) AS dt) d,
+LATERAL (SELECT 2 * pi() * dt / (2 * pi() * dt + 1) * (x.v - s.smoothed) / dt + (1 - 2 * pi() * dt / (2 * pi() * dt + 1)) * s.speed AS speed) a, LATERAL (SELECT 2 * pi() * (1 + 0.007 * abs(a.speed)) * dt / (2 * pi() * (1 + 0.007 * abs(a.speed)) * dt + 1) AS b) b)
+SELECT user_id, event_id, v AS value, round(smoothed, 6) AS smoothed FROM s""")
 def one_euro(spark, sf_dir):
-    return folds.smooth(load(spark, sf_dir, "events"), ["user_id"], "event_id", "value")
+    return folds.smooth(load(spark, sf_dir, "events"), ["user_id"], "event_id", "value").withColumn("smoothed", F.round("smoothed", 6))
 
 
 @query("tracklets")
