@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.graph import checkpoints
+
 
 def grid_counts(df: DataFrame, fold: list[str], truth: Column, axes: dict[str, list[float]]) -> DataFrame:
     """fold, a threshold for each axis, tp, found, positives: what each combination of thresholds lets through, where a row passes if it reaches all of them.
@@ -19,7 +21,8 @@ def grid_counts(df: DataFrame, fold: list[str], truth: Column, axes: dict[str, l
     cell = {a: sum((F.coalesce(F.col(a) >= t, F.lit(False)).cast("int") for t in cuts), F.lit(0)) for a, cuts in axes.items()}
     hit = F.coalesce(truth, F.lit(False)).cast("long")
     counted = df.select(*fold, *(c.alias(f"_{a}") for a, c in cell.items()), hit.alias("_hit")).groupBy(*fold, *(f"_{a}" for a in names)).agg(F.sum("_hit").alias("tp"), F.count("*").alias("found"))
-    counted = counted.withColumn("positives", F.sum("tp").over(Window.partitionBy(*fold)))
+    checkpoints(df.sparkSession)
+    counted = counted.withColumn("positives", F.sum("tp").over(Window.partitionBy(*fold))).checkpoint()  # a row for each fold and cell, read twice below
     grid = counted.groupBy(*fold).agg(F.first("positives").alias("positives"))
     for a in names:
         grid = grid.withColumn(f"_{a}", F.explode(F.sequence(F.lit(1), F.lit(len(axes[a])))))
