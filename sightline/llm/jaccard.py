@@ -46,6 +46,8 @@ LOT = 64
 BINS = 256
 BLOCK_SHINGLES = 1_000_000  # some 100 MB in the task that verifies them
 BLOCK_BYTES = 20 << 20
+BATCH_BYTES = 4 << 20
+SLICES = 16  # of the signatures of a block
 _U = np.uint64
 _LOWERED = scan.BYTES[scan.LOWER]
 _STEPS = np.array([pow(0xC6BC279692B5C323, i + 1, 2**64) for i in range(64)], _U)
@@ -190,9 +192,12 @@ _MET = "kind int, a long, b long, raw binary"
 
 
 def _send(shards: int, size: int, percent: int, hot: int):
-    def flush(held: list) -> pa.RecordBatch:
+    def batch_of(rows: list) -> pa.RecordBatch:
+        shard, part, extra = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(part, pa.binary()), pa.array(extra, pa.binary())], names=["shard", "part", "sketches"])
+
+    def flush(held: list):
         doc, n, one, two = (np.concatenate(x) for x in zip(*[h[:4] for h in held]))
-        sketches = np.concatenate([h[6] for h in held])
         order = np.lexsort((doc, two, one))
         same = np.zeros(len(order), bool)
         same[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (n[order][1:] > 0)
@@ -202,34 +207,43 @@ def _send(shards: int, size: int, percent: int, hot: int):
         alone = np.empty(len(order), bool)
         alone[order] = ~same
         at = np.cumsum([0, *(len(h[0]) for h in held)])
-        sig = np.concatenate([h[4] for h in held])
-        row = np.concatenate([h[5] + at[i] for i, h in enumerate(held)])
-        use = alone[row]
-        sig, who = sig[use], doc[row[use]]
-        order = np.argsort(sig)
-        sig, who = sig[order], who[order]
-        edges = np.zeros((2, 0), np.int64)
-        if len(sig):
+        limits = (np.arange(1, SLICES) << 32) // SLICES
+        ends = [[0, *np.searchsorted(h[4] >> _U(32), limits.astype(_U)), len(h[4])] for h in held]
+        edges, rows, weight = [np.zeros((2, 0), np.int64)], [], 0
+        for i in range(SLICES):  # a slice of the signatures at a time, so that sorting takes little
+            sig = np.concatenate([h[4][e[i] : e[i + 1]] for h, e in zip(held, ends)])
+            row = np.concatenate([h[5][e[i] : e[i + 1]] + x for h, e, x in zip(held, ends, at)])
+            use = alone[row]
+            sig, who = sig[use], doc[row[use]]
+            if not len(sig):
+                continue
+            order = np.argsort(sig, kind="stable")
+            sig, who = sig[order], who[order]
             heads = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
             times = np.diff(np.append(heads, len(sig)))
             least = np.repeat(np.minimum.reduceat(who, heads), times)
             many = np.repeat(times > hot, times)
-            edges = np.unique(np.stack([who[many], least[many]]), axis=1)
+            edges.append(np.unique(np.stack([who[many], least[many]]), axis=1))
             sent = ~many | (who == least)
             sig, who = sig[sent], who[sent]
-        rows = [(s, pack(np.stack([sig[a:b], who[a:b].view(_U)]).reshape(-1))) for s, a, b in cuts(sig, shards)]
+            for s, a, b in cuts(sig, shards):
+                rows.append((s, pack(np.stack([sig[a:b], who[a:b].view(_U)]).reshape(-1)), None))
+                weight += len(rows[-1][1])
+                if weight >= BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, weight = [], 0
         own = -1 - int(one[0] % _U(shards))
-        rows.append((own, pack(edges.reshape(-1).view(_U))))
-        rows.append((own, pack(np.stack([doc, n, kin]).reshape(-1).view(_U))))
-        extra = [None] * (len(rows) - 1) + [pack(sketches.reshape(-1))]
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary()), pa.array(extra, pa.binary())], names=["shard", "part", "sketches"])
+        rows.append((own, pack(np.unique(np.concatenate(edges, axis=1), axis=1).reshape(-1).view(_U)), None))
+        sketches = np.concatenate([h[6] for h in held])
+        rows.append((own, pack(np.stack([doc, n, kin]).reshape(-1).view(_U)), pack(sketches.reshape(-1))))
+        yield batch_of(rows)
 
     def go(batches):
         held, weight = [], 0
         for batch in batches:
             data, offsets = scan.buffers(batch.column("text"))
             doc = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in scan.pieces(offsets, 1 << 20):
+            for a, b in scan.pieces(offsets):
                 keys, first = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                 n = np.diff(first)
                 sums = [np.zeros(len(n), _U), np.zeros(len(n), _U)]
@@ -238,14 +252,15 @@ def _send(shards: int, size: int, percent: int, hot: int):
                     for at, salt in enumerate((_U(0x8CB92BA72F3D8DD7), _U(0xAB5F6C1D2E3F4A5B))):
                         sums[at][some] = np.add.reduceat(scan.mix(keys + salt), first[:-1][some])
                 sig, row = signatures(keys, first, percent)
+                order = np.argsort(sig)
                 bins = np.bincount(np.repeat(np.arange(b - a), n) * BINS + (keys % _U(BINS)).astype(np.int64), minlength=(b - a) * BINS)
-                held.append((doc[a:b], n, *sums, sig, row, np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)))
-            weight += len(data)
-            if held and weight >= BLOCK_BYTES:
-                yield flush(held)
-                held, weight = [], 0
+                held.append((doc[a:b], n, *sums, sig[order], row[order].astype(np.int32), np.minimum(bins, 255).astype(np.uint8).reshape(-1, BINS)))
+                weight += int(offsets[b] - offsets[a])
+                if weight >= BLOCK_BYTES:
+                    yield from flush(held)
+                    held, weight = [], 0
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     return go
 
@@ -477,13 +492,14 @@ def join(
     small_batches(spark)
     x = docs.select(F.col(doc_id).cast("long").alias("doc"), text_of(text).alias("text"))
     named = x.filter(F.col("doc").isNotNull())
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = named.mapInArrow(_send(shards, size, percent, hot), _SENT).groupBy("shard").applyInArrow(_meet(longest), _MET).checkpoint()
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a shard is unpacked as a whole, so there are several to a partition
+    met = named.mapInArrow(_send(4 * parts, size, percent, hot), _SENT).groupBy("shard").applyInArrow(_meet(longest), _MET).checkpoint()
     release(spark)
     info = met.filter("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("n"))
     sizes = info.groupBy("doc").agg(F.max("n").alias("n"))
     same = met.filter("kind = 3").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links = verified(candidates(met, 8 * shards, percent), named, sizes, size, percent, block)
+    links = verified(candidates(met, 8 * parts, percent), named, sizes, size, percent, block)
     found = components(links.unionByName(same))
     release(spark)
     counted = x.filter(F.col("doc").isNull()).mapInArrow(_count(size), "doc long, n long")

@@ -6,13 +6,16 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sightline.llm import components, decontaminate, fingerprint, jaccard, licenses, lm, mixing, quality, scan, suffix
+from sightline.llm.exchange import unpack
 
 WORDS = ["alpha", "beta", "gamma", "delta", "Émile", "straße", "x", "of", "the", "9"]
 
@@ -237,6 +240,33 @@ def test_jaccard_join_works_in_parts(spark, limits):
     assert whole == parts == {(d, 0 if d < 1000 else 1000) for d, _ in rows}
 
 
+def sent_batch(mb):
+    r = np.random.default_rng(3)
+    texts = [" ".join(map(str, r.integers(0, 10**6, 1000))) for _ in range(mb * 146)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc", "text"])
+
+
+def test_jaccard_block_is_sorted_in_little_memory():
+    """A block's signatures are sorted a slice at a time: besides the block itself a task needs little."""
+    batch = sent_batch(6)
+    jaccard.signatures(*jaccard.shingles(*scan.buffers(batch.column("text").slice(0, 9)), 5), 80)  # tables that stay
+    tracemalloc.start()
+    try:
+        packed = sum(b.nbytes for b in jaccard._send(8, 5, 80, 64)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * packed, (peak, packed)
+
+
+def test_jaccard_batch_of_long_texts_is_sent_in_several_blocks(monkeypatch):
+    batch = sent_batch(3)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 1 << 20)
+    sent = [r for b in jaccard._send(8, 5, 80, 64)(iter([batch])) for r in b.to_pylist()]
+    docs = [unpack(r["part"], np.uint64).reshape(3, -1)[0].tolist() for r in sent if r["sketches"] is not None]
+    assert len(docs) >= 2 and sum(docs, []) == batch.column("doc").to_pylist()
+
+
 def test_every_band_has_a_plan():
     kinds = {jaccard.plan_of(b, 85)[2] for b in range(len(jaccard.bands()) - 2)}
     assert kinds == {0, 1, 3}
