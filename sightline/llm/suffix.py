@@ -12,9 +12,11 @@ same anchor form one stretch; a stretch carries the hash of its anchor run and t
 3. Partial stretches fetch their bytes. Sampled splitters deal them out in ranges by the tokens that
    lead their anchor suffix. A boundary is a splitter's lead and equal leads go to one range, so
    comparing across a boundary always finds different leads: no repeat lies across one.
-   An anchor with more than HOT kinds of surroundings sends its windows one by one, dealt by their own
-   bytes. Windows that repeat within a batch of texts are repeats at once and one of each kind goes on, so
-   neither a common anchor nor a common window fills a range.
+   Stretches of an anchor with more than HOT kinds of surroundings are cut first, by the distance of the
+   anchor from the window's start, into pieces of at most WIDTHS[0] windows, in turn WIDTHS[1]. All
+   windows of a piece share SIZE - width + 1 bytes, which are the piece's anchor run, and pieces meet in
+   step 2 as stretches do; a piece alone under its run is done. So neither a common anchor nor a common
+   window fills a range, and a common line goes on with the few pieces that lie about its ends.
 4. Each range sorts the suffixes that start at its windows by multikey quicksort over 8-byte
    characters: one pivot a group and round, groups split into less, equal and greater, equal ones move
    to the next character. Groups that stay equal for SIZE bytes are repeats.
@@ -37,8 +39,10 @@ SIZE = 200
 RUN = 73
 SPREAD = SIZE - RUN + 1  # runs in a window; a power of two
 BLOCK_BYTES = 16 << 20
+BLOCK_PIECES = 1 << 18
 RANGE_BYTES = 3 << 20
 HOT = 500
+WIDTHS = (8, 1)  # windows in a piece of a stretch under a hot anchor; each divides the one before and SPREAD
 GROUPS = 4  # shards of hashes for each shuffle partition; a task holds one at a time
 _U = np.uint64
 _PLACE = _U((1 << 20) - 1)
@@ -117,22 +121,24 @@ def _found(partial: bool, doc, tag, place, run, times, kinds=None) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((np.full(n, partial), doc, _tags(tag), start, start + length, lead, run.view(np.int64), times, np.ones(n, np.int64) if kinds is None else kinds), _FOUND_ARROW.types)], schema=_FOUND_ARROW)
 
 
+def _block(held: list, shards: int) -> pa.RecordBatch:
+    """Rows with a negative shard hold what is repeated within the block; the others go to their shard, one of each kind."""
+    run, whole, doc, place, times, tag = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((whole, run))
+    run, whole, doc, place, times, tag = run[order], whole[order], doc[order], place[order], times[order], tag[order].T
+    first = np.ones(len(run), bool)
+    first[1:] = (run[1:] != run[:-1]) | (whole[1:] != whole[:-1])
+    at = np.flatnonzero(first)
+    sums = np.add.reduceat(times, at)
+    again = np.repeat(sums > 1, np.diff(np.append(at, len(run)))) & (times == 1)  # others are known as wholes
+    rows = [(s, np.stack([run[at][a:b], whole[at][a:b], doc[at][a:b].view(_U), place[at][a:b], sums[a:b].astype(_U), *tag[:, at[a:b]]])) for s, a, b in cuts(run[at], shards)]
+    if again.any():
+        rows.append((-1 - int(run[0] % _U(shards)), np.stack([doc[again].view(_U), place[again], *tag[:, again]])))
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([pack(x.reshape(-1)) for _, x in rows], pa.binary())], names=["shard", "part"])
+
+
 def _scan(shards: int):
-    """Rows with a negative shard hold what is repeated within the block; the others go to their shard."""
-
-    def flush(held: list) -> pa.RecordBatch:
-        run, whole, doc, place, tag = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((whole, run))
-        run, whole, doc, place, tag = run[order], whole[order], doc[order], place[order], tag[order].T
-        first = np.ones(len(run), bool)
-        first[1:] = (run[1:] != run[:-1]) | (whole[1:] != whole[:-1])
-        at = np.flatnonzero(first)
-        times = np.diff(np.append(at, len(run)))
-        again = np.repeat(times > 1, times)
-        rows = [(s, np.stack([run[at][a:b], whole[at][a:b], doc[at][a:b].view(_U), place[at][a:b], times[a:b].astype(_U), *tag[:, at[a:b]]])) for s, a, b in cuts(run[at], shards)]
-        if again.any():
-            rows.append((-1 - int(run[0] % _U(shards)), np.stack([doc[again].view(_U), place[again], *tag[:, again]])))
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([pack(x.reshape(-1)) for _, x in rows], pa.binary())], names=["shard", "part"])
+    """Sends the stretches of each block of texts."""
 
     def go(batches):
         held, size = [], 0
@@ -142,13 +148,13 @@ def _scan(shards: int):
             doc = batch.column("doc").to_numpy(zero_copy_only=False)[s["doc"]]
             tag = _halves(batch.column("tag"))[s["doc"]]
             if len(doc):
-                held.append((s["run"], s["whole"], doc, _place(s["start"], s["length"], s["lead"]), tag))
+                held.append((s["run"], s["whole"], doc, _place(s["start"], s["length"], s["lead"]), np.ones(len(doc), np.int64), tag))
             size += len(data)
             if held and size >= BLOCK_BYTES:
-                yield flush(held)
+                yield _block(held, shards)
                 held, size = [], 0
         if held:
-            yield flush(held)
+            yield _block(held, shards)
 
     return go
 
@@ -185,72 +191,66 @@ def _sent_bytes(anchor, run, doc, tag, start, stop, lead, times, text) -> pa.Rec
     return pa.RecordBatch.from_arrays(columns, names=["anchor", "run", "doc", "tag", "start", "stop", "lead", "times", "bytes"])
 
 
-def _bytes_of(hot: int):
-    """The bytes of each partial stretch with the tokens that lead its anchor suffix; of stretches under hot anchors the windows.
+def _parts(batches):
+    """text bytes, where each stretch's text begins, its columns and its tag (as columns of halves), for each batch of texts with lists of stretches."""
+    for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
+        data, offsets = scan.buffers(batch.column("text"))
+        lists = batch.column("parts")
+        rows = lists.flatten()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False)
+        columns = [rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "stop", "lead", "times", "run", "width")]
+        doc = np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), n)
+        yield data, (np.repeat(offsets[:-1], n), *columns, doc), np.repeat(_halves(batch.column("tag")), n, axis=0).T
 
-    A row with a negative times is a span that is known to be repeated and has no bytes.
-    """
 
-    def stretches_of(raw, at, start, stop, lead, times, run, doc, tag):
-        for i in range(0, len(start), 20_000):
-            j = slice(i, i + 20_000)
-            yield _sent_bytes(
-                [raw[a : a + RUN] for a in (at + start + lead)[j]], run[j], doc[j], tag[:, j], start[j], stop[j], lead[j], times[j],
-                [raw[a:b] for a, b in zip((at + start)[j], (at + stop)[j])],
-            )
+def _split(width: int, shards: int):
+    """Cuts stretches into pieces whose windows have their anchor at distances of one multiple of width and on, and sends these as _scan does."""
 
-    def windows_of(data, raw, at, start, stop, lead, times, run, doc, tag):
-        n = stop - start - SIZE + 1
-        row = np.repeat(np.arange(len(n)), n)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        where = (at + start)[row] + within
+    def pieces(data, at, start, stop, lead, times, run, _, doc, tag):
         length = stop - start
         before = np.cumsum(length) - length
-        bytes_ = data[np.repeat(at + start - before, length) + np.arange(length.sum())]
-        place = before[row] + within
-        own = scan.mix(scan.span_hash(scan.prefix(bytes_), place, place + SIZE) ^ scan.mix(run.view(_U)[row] + (lead[row] - within).astype(_U)))
-        order = np.argsort(own, kind="stable")
-        heads = np.append(True, own[order][1:] != own[order][:-1])
-        count = np.diff(np.append(np.flatnonzero(heads), len(own)))
-        again = np.empty(len(own), bool)
-        again[order] = np.repeat(count > 1, count)
-        first = np.zeros(len(own), bool)
-        first[order] = heads
-        known = again & (times[row] == 1)  # others are known as wholes
-        edge = known & ~np.append(False, known[:-1] & (row[1:] == row[:-1]))
-        last = known & ~np.append(known[1:] & (row[1:] == row[:-1]), False)
-        a, b = np.flatnonzero(edge), np.flatnonzero(last)
-        here = start[row] + within
-        empty = [b""] * len(a)
-        yield _sent_bytes([int(x).to_bytes(8, "little") for x in own[a]], own[a].view(np.int64), doc[row[a]], tag[:, row[a]], here[a], here[b] + SIZE, lead[row[a]], np.full(len(a), -1), empty)
-        sent = np.flatnonzero(first)
-        for i in range(0, len(sent), 20_000):
-            j = sent[i : i + 20_000]
-            yield _sent_bytes(
-                [raw[x : x + SIZE] for x in where[j]], own[j].view(np.int64), doc[row[j]], tag[:, row[j]], here[j], here[j] + SIZE, (lead[row] - within)[j],
-                np.where(again[j], 2, times[row[j]]), [raw[x : x + SIZE] for x in where[j]],
-            )
+        p = scan.prefix(data[np.repeat(at + start - before, length) + np.arange(length.sum())])
+        high, low = lead // width, (lead - length + SIZE) // width
+        n = high - low + 1
+        row = np.repeat(np.arange(len(n)), n)
+        number = high[row] - (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+        far = np.minimum(lead[row], number * width + width - 1)
+        near = np.maximum((lead - length + SIZE)[row], number * width)
+        anchor = (before + lead)[row]
+        key = scan.span_hash(p, anchor - number * width, anchor - number * width + SIZE - width + 1)
+        whole = scan.mix(scan.span_hash(p, anchor - far, anchor - near + SIZE) + far.astype(_U))
+        own = scan.mix(key ^ scan.mix(run.view(_U)[row] + number.astype(_U)))
+        return own, whole, doc[row], _place((start + lead)[row] - far, far - near + SIZE, far), times[row], tag[:, row].T
 
     def go(batches):
-        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
-            data, offsets = scan.buffers(batch.column("text"))
-            lists = batch.column("parts")
-            rows = lists.flatten()
-            n = lists.value_lengths().to_numpy(zero_copy_only=False)
-            start, stop, lead, times, run, kinds = (rows.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "stop", "lead", "times", "run", "kinds"))
-            columns = (np.repeat(offsets[:-1], n), start, stop, lead, times, run, np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), n))
-            tag = np.repeat(_halves(batch.column("tag")), n, axis=0).T
-            raw = data.tobytes()
-            many = kinds > hot
-            if not many.all():
-                yield from stretches_of(raw, *(c[~many] for c in columns), tag[:, ~many])
-            for some in np.array_split(np.flatnonzero(many), -(-int(many.sum()) // 5000) or 1):
-                if len(some):
-                    yield from windows_of(data, raw, *(c[some] for c in columns), tag[:, some])
+        held, size = [], 0
+        for data, columns, tag in _parts(batches):
+            for i in range(0, len(columns[0]), 5000):
+                j = slice(i, i + 5000)
+                held.append(pieces(data, *(c[j] for c in columns), tag[:, j]))
+                size += len(held[-1][0])
+                if size >= BLOCK_PIECES:
+                    yield _block(held, shards)
+                    held, size = [], 0
+        if held:
+            yield _block(held, shards)
 
     return go
 
 
+def _bytes_of(batches):
+    """The bytes of each partial stretch or piece with the tokens that lead its anchor suffix, which are those that all its windows share."""
+    for data, columns, tag in _parts(batches):
+        raw = data.tobytes()
+        for i in range(0, len(columns[0]), 20_000):
+            at, start, stop, lead, times, run, width, doc = (c[i : i + 20_000] for c in columns)
+            anchor = at + start + lead % width
+            yield _sent_bytes(
+                [raw[a:b] for a, b in zip(anchor, anchor + SIZE - width + 1)], run, doc, tag[:, i : i + 20_000], start, stop, lead, times,
+                [raw[a:b] for a, b in zip(at + start, at + stop)],
+            )
+
+
 _BYTES = "anchor binary, run long, doc long, tag binary, start int, stop int, lead int, times long, bytes binary"
 
 
@@ -320,12 +320,6 @@ def _sort_range(batches):
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        known = batch.filter(pa.array(batch.column("times").to_numpy() < 0))
-        if known.num_rows:
-            yield spans({c: known.column(c) for c in ("doc", "tag")}, known.column("start"), known.column("stop"))
-            batch = batch.filter(pa.array(batch.column("times").to_numpy() >= 0))
-        if not batch.num_rows:
-            continue
         held.append(batch)
         size += batch.nbytes
         if size >= RANGE_BYTES:
@@ -361,10 +355,22 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: in
     small_batches(spark)
     x = _rows(docs, doc_id, text)
     shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = x.mapInArrow(_scan(shards * GROUPS), _SENT).groupBy("shard").applyInArrow(_meet, _FOUND).checkpoint()
-    parts = met.filter("partial").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop", "lead", "run", "times", "kinds")).alias("parts"))
-    some = member_filter(x, "doc", met.filter("partial"), "doc")
-    raw = some.join(parts, ["doc", "tag"]).select("doc", "tag", "text", "parts").mapInArrow(_bytes_of(hot), _BYTES)
+
+    def meet(sent: DataFrame, width: int) -> DataFrame:
+        return sent.groupBy("shard").applyInArrow(_meet, _FOUND).withColumn("width", F.lit(width)).checkpoint()
+
+    def with_text(partial: DataFrame) -> DataFrame:
+        parts = partial.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop", "lead", "run", "times", "width")).alias("parts"))
+        return member_filter(x, "doc", partial, "doc").join(parts, ["doc", "tag"]).select("doc", "tag", "text", "parts")
+
+    met = last = meet(x.mapInArrow(_scan(shards * GROUPS), _SENT), SPREAD)
+    for width in WIDTHS:  # windows that are equal have equal runs and wholes, so no kinds are left after the last
+        common = last.filter(F.col("partial") & (F.col("kinds") > hot))
+        if common.isEmpty():
+            break
+        last = meet(with_text(common).mapInArrow(_split(width, shards * GROUPS), _SENT), width)
+        met = met.unionByName(last)
+    raw = with_text(met.filter(F.col("partial") & (F.col("kinds") <= hot))).mapInArrow(_bytes_of, _BYTES)
     ranges = raw.repartitionByRange(shards, "anchor").sortWithinPartitions("anchor", "run")
     covered = ranges.mapInArrow(_sort_range, "doc long, tag binary, start int, stop int")
     return met.filter(~F.col("partial")).select("doc", "tag", "start", "stop").unionByName(covered)

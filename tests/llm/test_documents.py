@@ -174,6 +174,39 @@ def test_suffix_dedup_tells_texts_without_an_id_apart(spark, key):
     assert collections.Counter(x.text for x in suffix.without_repeats(df).collect()) == collections.Counter(x.kept for x in out)
 
 
+@pytest.mark.parametrize("line", [150, 196, 230])
+def test_suffix_dedup_sends_few_rows_for_a_common_line(spark, monkeypatch, line):
+    r = random.Random(line)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    common, rows = noise(line), []
+    for i in range(400):  # two texts with the same line, its surroundings alike on one side or on both in every fifth pair
+        before, after = noise(30 + i % 50), noise(90 - i % 40)
+        rows += [(2 * i, noise(150) + before + common + after + noise(150)), (2 * i + 1, noise(150) + (before if i % 5 < 2 else noise(60)) + common + (after if i % 5 % 2 else noise(60)) + noise(150))]
+    made = []
+    real = type(frame(spark, rows)).mapInArrow
+
+    def counted(self, go, *args):
+        made.append(spark.sparkContext.accumulator(0))
+        total = made[-1]
+
+        def count(batches):
+            for batch in go(batches):
+                total.add(batch.num_rows)
+                yield batch
+
+        return real(self, count, *args)
+
+    monkeypatch.setattr(type(frame(spark, rows)), "mapInArrow", counted)
+    got = {x.doc: (x.n_bytes, [(s.start, s.stop) for s in x.spans]) for x in suffix.dedup(frame(spark, rows)).collect()}
+    counts = collections.Counter(t[i : i + suffix.SIZE] for _, t in rows for i in range(len(t) - suffix.SIZE + 1))
+    for d, t in rows:
+        at = [i for i in range(len(t) - suffix.SIZE + 1) if counts[t[i : i + suffix.SIZE]] > 1]
+        gone = sorted({j for i in at for j in range(i, i + suffix.SIZE)})
+        want = [(a, b + 1) for a, b in zip([g for g in gone if g - 1 not in set(gone)], [g for g in gone if g + 1 not in set(gone)])]
+        assert got[d] == (len(t), want)
+    assert max(x.value for x in made) < 20 * len(rows)  # the ranges' sampler reads its rows once more
+
+
 def test_multikey_quicksort():
     import numpy as np
 
