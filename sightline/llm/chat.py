@@ -1,7 +1,8 @@
 """Chat formatting: reply trees to training conversations.
 
-Nodes (tree, node, parent, role, text, score) form trees of replies. Paths from root to leaf come from
-iterative self-joins that double the distance covered each round, so a thread of n turns takes
+Nodes (tree, node, parent, role, text, score) form trees of replies. Nodes that follow one another in a
+tree's order, each the answer to the one before, are taken together as a run. Paths from root to leaf come from
+iterative self-joins of runs that double the distance covered each round, so a leaf below n runs takes
 log2(n) rounds. Branches are ranked by the mean score of their nodes, and each chosen path is written
 as one string. Turns are marked ``### Role: text</turn>`` and control strings inside a text are escaped by
 a backslash that ``unescape`` takes away again. The loss mask covers what stands between an assistant's
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sightline.llm.exchange import release
 from sightline.llm.native import lower_ascii, shared_checkpoints, table, text_of
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
@@ -55,41 +57,67 @@ def untitle(coded: Column) -> Column:
     return unescape(F.replace(F.replace(plain, F.lit("%3A"), F.lit(":")), F.lit("%25"), F.lit("%")))
 
 
+def runs(nodes: DataFrame) -> DataFrame:
+    """nodes with run and place: by their order in a tree, nodes that answer the one before them make a run, named by its first node; places count from 1.
+
+    Threads that are numbered as they are read come out as one run, whatever their length. Rows without a node are left out.
+    """
+    w = Window.partitionBy("tree").orderBy("node")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = nodes.filter(F.col("node").isNotNull()).withColumns({"run": F.when(F.col("parent") == F.lag("node").over(w), None).otherwise(F.col("node")), "place": F.row_number().over(w)})
+    first = F.max(F.when(F.col("run").isNotNull(), F.col("place"))).over(so_far)
+    return x.withColumns({"run": F.max("run").over(so_far), "place": F.col("place") - first + 1})
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows with tree as a struct, which is a join key even where the id is null."""
+    return rows.withColumn("tree", F.struct("tree"))
+
+
+def branches(placed: DataFrame) -> DataFrame:
+    """(tree, leaf, run, place, distance): for each leaf the runs on its way from the root, up to the place where the way leaves them, and that place's distance from the leaf.
+
+    placed has tree, node, parent, run, place and is read again and again. Each round joins the table of runs 2**k above with
+    itself, and the leaves that lie deeper than 2**k runs with it, so the rows are those of the result and a run is carried no
+    more often than it is on a path.
+    """
+    shared_checkpoints(placed.sparkSession)
+    up = placed.select("tree", F.col("node").alias("parent"), F.col("run").alias("up"), F.col("place").alias("up_place"))
+    # steps lead from the run's first node to the place in up
+    links = placed.filter((F.col("place") == 1) & F.col("parent").isNotNull()).join(up, ["tree", "parent"]).select("tree", "run", "up", "up_place", F.lit(1).alias("steps")).checkpoint()
+    leaves = placed.groupBy("tree", "run").agg(F.max("node").alias("leaf"), F.max("place").alias("place"))
+    leaves = leaves.join(links.select("tree", F.col("up").alias("run"), F.col("up_place").alias("place")), ["tree", "run", "place"], "left_anti")
+    above, step, most = [], links, None
+    while step.take(1):
+        if most is None:
+            most = placed.filter(F.col("place") == 1).groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if 2 ** len(above) >= most:  # an ancestor further off than the tree has runs: on a cycle, or hanging from one
+            leaves = leaves.join(step, ["tree", "run"], "left_anti")
+            break
+        above.append(step)
+        higher = step.select("tree", F.col("run").alias("up"), F.col("up").alias("up2"), F.col("up_place").alias("place2"), F.col("steps").alias("steps2"))
+        step = step.join(higher, ["tree", "up"]).select("tree", "run", F.col("up2").alias("up"), F.col("place2").alias("up_place"), (F.col("steps") + F.col("up_place") - 1 + F.col("steps2")).alias("steps")).checkpoint()
+    found = live = leaves.select("tree", "leaf", F.col("run").alias("own"), "run", "place", F.lit(0).alias("distance"))
+    for table_ in above:
+        deep = live.join(table_.select("tree", F.col("run").alias("own")), ["tree", "own"], "left_semi").checkpoint()
+        new = deep.join(table_, ["tree", "run"]).select(
+            "tree", "leaf", "own", F.col("up").alias("run"), F.col("up_place").alias("place"), (F.col("distance") + F.col("place") - 1 + F.col("steps")).alias("distance")
+        ).checkpoint()
+        found = found.unionByName(new)
+        live = deep.unionByName(new)
+    return found.drop("own")
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, distance): a row for each leaf and node on its way from the root, distance counted up from the leaf.
 
     nodes has tree, node (unique in its tree), parent (null for a root). A parent that isn't there
     makes its children roots; nodes on a cycle, and those that hang from one, are on no path.
-
-    Each round joins the table of ancestors 2**k above with itself, and the leaves that are deeper than 2**k
-    with it, so the rows are those of the result and a node is carried no more often than it is on a path.
     """
     shared_checkpoints(nodes.sparkSession)
-    n = nodes.select("tree", "node", "parent")
-    there = n.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    n = n.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up")).checkpoint()
-    most = n.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    above = [n.filter(F.col("up").isNotNull())]
-    looped = None
-    while above[-1].take(1):
-        if 2 ** (len(above) - 1) >= most:  # an ancestor further off than the tree is large
-            looped = above.pop().select("tree", F.col("node").alias("leaf"))
-            break
-        higher = above[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("up2"))
-        above.append(above[-1].join(higher, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up")).checkpoint())
-    parents = above[0].select("tree", F.col("up").alias("node")).distinct()
-    leaf = n.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
-    if looped is not None:
-        leaf = leaf.join(looped, ["tree", "leaf"], "left_anti")
-    found = live = leaf.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("distance"))
-    for k, table_ in enumerate(above):
-        deep = live.join(table_.select("tree", F.col("node").alias("leaf")), ["tree", "leaf"], "left_semi").checkpoint()
-        if not deep.take(1):
-            break
-        new = deep.join(table_, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("distance") + 2**k).alias("distance")).checkpoint()
-        found = found.unionByName(new)
-        live = deep.unionByName(new)
-    return found
+    placed = keyed(runs(nodes.select("tree", "node", "parent"))).checkpoint()
+    told = branches(placed).withColumnRenamed("place", "last").join(placed, ["tree", "run"]).filter(F.col("place") <= F.col("last"))
+    return told.select("tree.tree", "leaf", "node", (F.col("distance") + F.col("last") - F.col("place")).alias("distance"))
 
 
 def conversations(nodes: DataFrame, best: int | None = None) -> DataFrame:
@@ -97,14 +125,26 @@ def conversations(nodes: DataFrame, best: int | None = None) -> DataFrame:
 
     best keeps so many branches of a tree; None keeps all. A null score counts as 0, ties go to the smaller leaf.
     Null roles and texts are empty ones. An empty table gives no rows; other columns are left out.
+
+    Texts are gathered by run; only where a run hangs from another node are the runs of a path looked for and joined.
     """
-    nodes = nodes.withColumn("tree", F.struct("tree"))  # a struct is a join key even where the id is null
-    told = paths(nodes).join(nodes.select("tree", "node", text_of("role").alias("role"), text_of("text").alias("text"), "score"), ["tree", "node"])
-    out = told.groupBy("tree", "leaf").agg(
-        F.avg(F.coalesce("score", F.lit(0.0))).alias("score"),
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),
+    shared_checkpoints(nodes.sparkSession)
+    placed = runs(nodes.select("tree", "node", "parent", text_of("role").alias("role"), text_of("text").alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")))
+    out = placed.groupBy("tree", "run").agg(F.max("node").alias("leaf"), F.array_sort(F.collect_list(F.struct("place", "role", "text", "score"))).alias("turns"))
+    hanging = placed.filter((F.col("place") == 1) & F.col("parent").isNotNull()).take(1)
+    release(nodes.sparkSession)  # the search shuffles the texts, as the result will
+    if hanging:
+        way = branches(keyed(placed.select("tree", "node", "parent", "run", "place")).checkpoint())
+        part = F.struct((-F.col("distance")).alias("at"), F.slice("turns", 1, F.col("place")).alias("turns")).alias("part")
+        told = way.join(keyed(out.select("tree", "run", "turns")), ["tree", "run"]).select("tree", "leaf", part)
+        out = told.groupBy("tree", "leaf").agg(F.flatten(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["turns"])).alias("turns")).withColumn("tree", F.col("tree.tree"))
+    out = out.select(
+        "tree",
+        "leaf",
+        (F.aggregate("turns", F.lit(0.0), lambda acc, x: acc + x["score"]) / F.size("turns")).alias("score"),
+        F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"),
     )
-    out = out.withColumn("tree", F.col("tree.tree")).withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("leaf").asc())))
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("leaf").asc())))
     return out if best is None else out.filter(F.col("rank") <= best)
 
 

@@ -71,6 +71,57 @@ def test_reply_trees(spark):
     assert [t.text for t in chat.conversations(nodes(spark, deep)).first().turns] == [str(i) for i in range(300)]
 
 
+def test_reply_trees_are_those_of_a_loop(spark):
+    """Numbers in reading order and dealt at random, missing parents, nodes that answer themselves, longer cycles and what hangs from them."""
+    import random
+
+    r = random.Random(8)
+    rows = [(900, 7, 7, "user", "self", 1.0)]
+    for tree in range(60):
+        n = r.randrange(1, 40)
+        near = r.choice([1, 1, 3, 40])  # 1 makes a thread
+        number = list(range(n))
+        if tree % 2:
+            r.shuffle(number)
+        for i in range(n):
+            parent = number[max(0, i - r.randrange(1, near + 1))] if i else r.choice([None, None, 99, number[-1]])
+            parent = r.choice([None, 77, number[r.randrange(n)]]) if r.random() < 0.05 else parent
+            rows.append((tree if tree else None, number[i], parent, r.choice(["user", None]), f"{tree} {i}", r.choice([None, 1.0, 2.0])))
+    parents, scores, texts, expected = {}, {}, {}, {}
+    for tree, node, parent, _, text, score in rows:
+        parents[tree, node], texts[tree, node], scores[tree, node] = parent, text, score or 0.0
+    for tree, leaf in parents.keys() - {(t, p) for (t, _), p in parents.items()}:
+        way, at = [], leaf
+        while (tree, at) in parents and at not in way:
+            way.append(at)
+            at = parents[tree, at]
+        if (tree, at) not in parents:
+            expected[tree, leaf] = way[::-1]
+    frame = nodes(spark, rows)
+    got = {(x.tree, x.leaf): x for x in chat.conversations(frame).collect()}
+    assert got.keys() == expected.keys() and max(map(len, expected.values())) > 20
+    for (tree, leaf), way in expected.items():
+        assert [t.text for t in got[tree, leaf].turns] == [texts[tree, x] for x in way]
+        assert abs(got[tree, leaf].score - sum(scores[tree, x] for x in way) / len(way)) < 1e-9
+    for (tree, leaf), x in got.items():
+        assert x["rank"] == 1 + sum((-y.score, y.leaf) < (-x.score, leaf) for y in got.values() if y.tree == tree)
+    told = collections.Counter((x.tree, x.leaf, x.node, x.distance) for x in chat.paths(frame).collect())
+    assert told == collections.Counter((tree, leaf, x, d) for (tree, leaf), way in expected.items() for d, x in enumerate(way[::-1]))
+
+
+def test_jobs_do_not_grow_with_a_thread(spark, tmp_path):
+    """Each round is planned and compiled on the driver; a table of conversations takes none."""
+    turns = [(1, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(300)] + [(2, 0, "user", "x")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    context = spark.sparkContext
+    context.setJobGroup("thread", "")
+    try:
+        assert {x.conv_id: x.n_turns for x in chat.op8_chat_formatting(spark, str(tmp_path)).collect()} == {1: 300, 2: 1, -7: 2}
+        assert len(context.statusTracker().getJobIdsForGroup("thread")) <= 8
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_marks_in_texts_and_roles_come_back(spark):
     odd = ["\\### Assistant: </turn> ok", "</turn>\n### User: x", "\\", "\\\\<#", "", "a: b", "é😀 #", "\n"]
     roles = ["assistant", "user", "System", "a: b", "%3A", "", "%_X", "assistant", "ß#"]
