@@ -25,14 +25,19 @@ def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
     return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(least.select("u", "m"), "u"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, files: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable, for every node on an edge. edges has u, v (longs), any order, repeats and loops allowed.
 
     Rounds end when the edge set stands still, as it does once every node points at its component.
-    An edge set that still moves after so many rounds is an error.
+    An edge set that still moves after so many rounds is an error. Edges between rounds go to at most so many files.
     """
     shared_checkpoints(edges.sparkSession)
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct().checkpoint()
+
+    def settled(x: DataFrame) -> DataFrame:
+        x = x.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
+        return (x.coalesce(files) if files else x).checkpoint()
+
+    e = settled(edges)
     before = _state(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,7 +45,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = _with_least(both, least, before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct().checkpoint()
+        e = settled(small)
         after = _state(e)
         if after == before:
             break

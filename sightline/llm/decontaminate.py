@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.native import member_filter, shared_checkpoints, spare, table, text_of, words_of
+from sightline.llm.native import few_files, member_filter, shared_checkpoints, spare, table, text_of, words_of
 
 MAX_SET = 100_000
 
@@ -65,7 +65,7 @@ def hits(docs: DataFrame, windows: DataFrame, doc_id: str = "doc_id", text: str
 
     x = docs.select(F.xxhash64(t).alias("key"), words_of(t).alias("w")).withColumn("n_words", F.size("w"))
     seen = x.select("key", F.explode(F.concat(hashes(_starts(n, part, size - part + 1), part), *(hashes(_starts(n, width), width) for width in short))).alias("h"))
-    near = seen.join(few(wanted), "h", "left_semi").select("key").distinct().checkpoint()
+    near = seen.join(few(wanted), "h", "left_semi").select("key").distinct().coalesce(few_files(docs)).checkpoint()
     plain = docs.select(F.col(doc_id).alias("doc"), t.alias("text"))
 
     def told(wanted: bool) -> DataFrame:
@@ -152,6 +152,6 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", size: int = 10,
     digest = F.md5(text_of(text))
     (key,) = spare(docs.columns, "clean_key")
     found = hits(docs.select(digest.alias("doc"), text_of(text).alias("text")), _named(item_windows(items, size=size)), "doc", "text", size, max_set)
-    bad = found.filter(F.col("item").isNotNull()).select(F.col("doc").alias(key)).distinct().checkpoint()
+    bad = found.filter(F.col("item").isNotNull()).select(F.col("doc").alias(key)).distinct().coalesce(few_files(docs)).checkpoint()
     looked_at = member_filter(docs, digest, bad, key).join(bad, digest == F.col(key), "left_anti")
-    return member_filter(docs, digest, bad, key, wanted=False).unionByName(looked_at)
+    return member_filter(docs, digest, bad, key, wanted=False).unionByName(looked_at).coalesce(few_files(docs))

@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from sightline.llm import scan
 from sightline.llm.components import components
 from sightline.llm.exchange import cuts, pack, release, unpack
-from sightline.llm.native import member_filter, shared_checkpoints, small_batches, spare, table, text_of
+from sightline.llm.native import few_files, member_filter, shared_checkpoints, small_batches, spare, table, text_of
 
 GROWTH = 1.5
 ROUNDS = 3
@@ -372,11 +372,11 @@ def _few(x: DataFrame) -> DataFrame:
     return F.broadcast(x) if x.count() <= FEW else x  # counted
 
 
-def candidates(met: DataFrame, lots: int, percent: int) -> DataFrame:
+def candidates(met: DataFrame, lots: int, percent: int, files: int) -> DataFrame:
     """Edges (u, v) that connect at least what pairs within the sketch bound connect."""
     pairs = met.filter("kind = 4").select("a", "b").distinct().select(F.pmod(F.xxhash64("a"), F.lit(lots)).alias("lot"), "a", "b", F.lit(None).cast("binary").alias("raw"))
     lists = met.filter("kind = 2").select("a", "b", "raw")
-    heavy = _few(lists.groupBy("a").agg(F.ceil(F.count("*") / LOT).alias("parts")).filter("parts > 1").checkpoint())
+    heavy = _few(lists.groupBy("a").agg(F.ceil(F.count("*") / LOT).alias("parts")).filter("parts > 1").coalesce(files).checkpoint())
     part = F.pmod(F.xxhash64("raw"), F.coalesce("parts", F.lit(1)))
     lists = lists.dropDuplicates(["raw"]).join(heavy, "a", "left").select(F.pmod(F.xxhash64("a", part), F.lit(lots)).alias("lot"), "a", "b", "raw")
     members = lists.select("lot", "raw").mapInArrow(_members, "lot long, doc long").unionByName(pairs.select("lot", F.explode(F.array("a", "b")).alias("doc"))).distinct()
@@ -444,36 +444,36 @@ def _same_ids(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _LINKS = "component long, u long, v long"
 
 
-def verified(edges: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, percent: int, most: int = BLOCK_SHINGLES) -> DataFrame:
+def verified(edges: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, percent: int, files: int, most: int = BLOCK_SHINGLES) -> DataFrame:
     """Edges (u, v) that connect what links connect, among the clusters of edges (u, v)."""
 
     def spot(c: str):
         return F.pmod(F.xxhash64("doc"), F.col(c)).cast("int")
 
-    clusters = components(edges).join(sizes, F.col("node") == F.col("doc")).select("doc", "n", "component").checkpoint()
+    clusters = components(edges, files=files).join(sizes, F.col("node") == F.col("doc")).select("doc", "n", "component").coalesce(files).checkpoint()
     pivots = (F.min_by("doc", F.xxhash64("doc")).alias("p"), F.max_by("doc", F.xxhash64("doc")).alias("q"))
-    big = clusters.groupBy("component").agg(F.ceil(F.sum("n") / most).cast("int").alias("blocks"), *pivots).filter("blocks > 1").checkpoint()
+    big = clusters.groupBy("component").agg(F.ceil(F.sum("n") / most).cast("int").alias("blocks"), *pivots).filter("blocks > 1").coalesce(files).checkpoint()
     big = _few(big)
     placed = clusters.join(big, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", spot("blocks"))
     some = member_filter(texts, "doc", clusters, "doc")
     everywhere = F.col("doc").isin(F.col("p"), F.col("q"))
     spread = placed.select("component", "doc", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("block"))
-    rows = some.join(_few(spread.checkpoint()), "doc").select("component", "block", "doc", F.lit(0).alias("side"), "text")
-    links = rows.groupBy("component", "block").applyInArrow(_verify(size, percent), _LINKS).checkpoint()
+    rows = some.join(_few(spread.coalesce(files).checkpoint()), "doc").select("component", "block", "doc", F.lit(0).alias("side"), "text")
+    links = rows.groupBy("component", "block").applyInArrow(_verify(size, percent), _LINKS).coalesce(files).checkpoint()
     if not big.take(1):
         return links.select("u", "v")
-    whole = placed.filter("blocks > 1").select("component", "doc", "n", "blocks", "own").checkpoint()
-    parts = components(links.join(big.select("component"), "component", "left_semi").select("u", "v"))
-    whole = whole.join(parts.select(F.col("node").alias("doc"), F.col("component").alias("sub")), "doc", "left").withColumn("sub", F.coalesce("sub", "doc")).checkpoint()
+    whole = placed.filter("blocks > 1").select("component", "doc", "n", "blocks", "own").coalesce(files).checkpoint()
+    parts = components(links.join(big.select("component"), "component", "left_semi").select("u", "v"), files=files)
+    whole = whole.join(parts.select(F.col("node").alias("doc"), F.col("component").alias("sub")), "doc", "left").withColumn("sub", F.coalesce("sub", "doc")).coalesce(files).checkpoint()
     main = whole.groupBy("component", "sub").agg(F.count("*").alias("c")).groupBy("component").agg(F.max_by("sub", F.struct("c", "sub")).alias("main"), F.count("*").alias("subs"))
-    main = _few(main.filter("subs > 1").checkpoint())
+    main = _few(main.filter("subs > 1").coalesce(files).checkpoint())
     rest = whole.join(main, "component").filter("sub != main").select("component", "doc", "n", "blocks")
-    apart = _few(rest.groupBy("component").agg(F.ceil(F.sum("n") / most).cast("int").alias("lots")).checkpoint())
+    apart = _few(rest.groupBy("component").agg(F.ceil(F.sum("n") / most).cast("int").alias("lots")).coalesce(files).checkpoint())
     if not apart.take(1):
         return links.select("u", "v")
     one = rest.join(apart, "component").select("component", "doc", F.lit(1).alias("side"), spot("lots").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     all_ = whole.join(apart, "component").select("component", "doc", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("i"), F.col("own").alias("j"))
-    crossed = some.join(_few(one.unionByName(all_).checkpoint()), "doc").groupBy("component", "i", "j").applyInArrow(_verify(size, percent), _LINKS)
+    crossed = some.join(_few(one.unionByName(all_).coalesce(files).checkpoint()), "doc").groupBy("component", "i", "j").applyInArrow(_verify(size, percent), _LINKS)
     return links.select("u", "v").unionByName(crossed.select("u", "v"))
 
 
@@ -492,15 +492,15 @@ def join(
     small_batches(spark)
     x = docs.select(F.col(doc_id).cast("long").alias("doc"), text_of(text).alias("text"))
     named = x.filter(F.col("doc").isNotNull())
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts, files = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), few_files(docs)
     # a shard is unpacked as a whole, so there are several to a partition
-    met = named.mapInArrow(_send(4 * parts, size, percent, hot), _SENT).groupBy("shard").applyInArrow(_meet(longest), _MET).checkpoint()
+    met = named.mapInArrow(_send(4 * parts, size, percent, hot), _SENT).groupBy("shard").applyInArrow(_meet(longest), _MET).coalesce(files).checkpoint()
     release(spark)
     info = met.filter("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("n"))
     sizes = info.groupBy("doc").agg(F.max("n").alias("n"))
     same = met.filter("kind = 3").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links = verified(candidates(met, 8 * parts, percent), named, sizes, size, percent, block)
-    found = components(links.unionByName(same))
+    links = verified(candidates(met, 8 * parts, percent, files), named, sizes, size, percent, files, block)
+    found = components(links.unionByName(same), files=files)
     release(spark)
     counted = x.filter(F.col("doc").isNull()).mapInArrow(_count(size), "doc long, n long")
     return info.join(found, F.col("doc") == F.col("node"), "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component")).unionByName(
@@ -531,9 +531,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     """
     key, rank = spare(docs.columns, "keep_key", "keep_rank")
     own = F.col(doc_id).cast("long")
+    files = few_files(docs)
     found = join(docs, doc_id, text, size, percent)
-    gone = found.filter(F.col("component") != F.col("doc")).select(F.col("doc").alias(key)).distinct().checkpoint()
-    again = docs.filter(own.isNotNull()).groupBy(own.alias(key)).count().filter("count > 1").select(key).checkpoint()
+    gone = found.filter(F.col("component") != F.col("doc")).select(F.col("doc").alias(key)).distinct().coalesce(files).checkpoint()
+    again = docs.filter(own.isNotNull()).groupBy(own.alias(key)).count().filter("count > 1").select(key).coalesce(files).checkpoint()
     named = docs.filter(own.isNotNull())
     special = gone.unionByName(again)
     plain = [c for c, t in docs.dtypes if c not in (doc_id, text) and t in ("string", "bigint", "int", "double")]
@@ -541,4 +542,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     looked_at = member_filter(named, own, special, key).join(gone, own == F.col(key), "left_anti")
     looked_at = looked_at.withColumn(rank, F.row_number().over(once)).filter(F.col(rank) == 1)
     sure = member_filter(named, own, special, key, wanted=False)
-    return sure.unionByName(looked_at.select(*docs.columns)).unionByName(docs.filter(own.isNull()))
+    return sure.unionByName(looked_at.select(*docs.columns)).unionByName(docs.filter(own.isNull())).coalesce(files)

@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+DOCS_A_FILE = 5000
 #: Everything that is not an ASCII digit, an ASCII letter (after lower-casing) or a non-ASCII character.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -40,6 +41,14 @@ def shared_checkpoints(spark) -> None:
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def few_files(docs: DataFrame) -> int:
+    """Files to which what comes from docs is coalesced before it is written; partitions that are fewer stay as they are.
+
+    On a local disk without Hadoop's native library each file starts processes that set its rights, and a process that has just started counts as large as its JVM.
+    """
+    return max(8, docs.count() // DOCS_A_FILE)
+
+
 def small_batches(spark, rows: int = 2000) -> None:
     """Whole texts go to Python in batches of at most so many rows; a smaller setting of the session stands."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

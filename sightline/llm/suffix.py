@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import scan
 from sightline.llm.exchange import cuts, pack, unpack
-from sightline.llm.native import member_filter, shared_checkpoints, small_batches, spare, table, text_of
+from sightline.llm.native import few_files, member_filter, shared_checkpoints, small_batches, spare, table, text_of
 
 SIZE = 200
 RUN = 73
@@ -354,10 +354,10 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: in
     shared_checkpoints(spark)
     small_batches(spark)
     x = _rows(docs, doc_id, text)
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards, files = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), few_files(docs)
 
     def meet(sent: DataFrame, width: int) -> DataFrame:
-        return sent.groupBy("shard").applyInArrow(_meet, _FOUND).withColumn("width", F.lit(width)).checkpoint()
+        return sent.groupBy("shard").applyInArrow(_meet, _FOUND).withColumn("width", F.lit(width)).coalesce(files).checkpoint()
 
     def with_text(partial: DataFrame) -> DataFrame:
         parts = partial.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop", "lead", "run", "times", "width")).alias("parts"))
@@ -415,7 +415,7 @@ _CUT = "doc long, n_bytes long, spans array<struct<start:int,stop:int>>, kept_sh
 
 
 def _spans(docs: DataFrame, doc_id: str, text: str, hot: int = HOT) -> DataFrame:
-    return repeats(docs, doc_id, text, hot).groupBy("doc", "tag").agg(F.array_distinct(F.collect_list(F.struct("start", "stop"))).alias("spans")).checkpoint()
+    return repeats(docs, doc_id, text, hot).groupBy("doc", "tag").agg(F.array_distinct(F.collect_list(F.struct("start", "stop"))).alias("spans")).coalesce(few_files(docs)).checkpoint()
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -457,7 +457,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = (own == F.col(key)) & (tag == F.col(digest))
     touched = maybe.join(spans, known).select(*names, found).mapInArrow(cut, docs.schema)
     whole = maybe.join(spans, known, "left_anti")
-    return touched.unionByName(whole).unionByName(member_filter(docs, own, spans, key, wanted=False))
+    return touched.unionByName(whole).unionByName(member_filter(docs, own, spans, key, wanted=False)).coalesce(few_files(docs))
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

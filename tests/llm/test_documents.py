@@ -527,3 +527,24 @@ def test_mixing_keeps_the_given_weights(spark, target):
         if x.source in target:
             w = mixing.exact(target[x.source]) / total
             assert (x.mix_release, x.mix_deadline) == (math.floor(x.mix_block / w), math.ceil((x.mix_block + 1) / w)) and x.mix_release <= x.mix_slot < x.mix_deadline
+
+
+@pytest.mark.parametrize("step", [jaccard.keep_one, suffix.without_repeats])
+def test_checkpoints_of_few_documents_take_few_files(spark, tmp_path, step):
+    """However many partitions the session has; each file of a checkpoint costs an executor on a local disk two processes."""
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before, sc = {k: spark.conf.get(k) for k in keys}, spark.sparkContext
+    old, docs = sc.getCheckpointDir(), frame(spark, corpus(7), extra=False)
+    want = sorted(map(str, step(docs).collect()))
+    try:
+        spark.conf.set(keys[0], "32")
+        spark.conf.set(keys[1], "false")
+        sc.setCheckpointDir(str(tmp_path))
+        assert sorted(map(str, step(docs).collect())) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        if old:
+            sc.setCheckpointDir(old)
+    files = [len(list(x.glob("part-*"))) for x in tmp_path.glob("*/rdd-*")]
+    assert files and max(files) <= 8
