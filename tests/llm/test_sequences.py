@@ -186,6 +186,17 @@ def test_encoder_is_the_tokenizer():
         assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
 
 
+def test_a_word_is_looked_up_once_a_call(monkeypatch):
+    path, whole = tokenizer()
+    asked, real = [], tokenfile.Ragged.__call__
+    monkeypatch.setattr(tokenfile.Ragged, "__call__", lambda self, keys, n: real(self, asked.extend(keys := list(keys)) or keys, n))
+    encode, text = tokenfile.Encoder(path), "Word, word don't 12 " * 500
+    ids, n = encode([text.encode(), b"", b" Word \n", text.encode()])
+    want = [whole.encode(x, add_special_tokens=False).ids for x in (text, "", " Word \n", text)]
+    assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+    assert sorted(asked) == sorted([b"word", b",", b"don't", b"1", b"2"])
+
+
 def test_token_files(spark, tmp_path, monkeypatch):
     path, whole = tokenizer()
     rows = texts()
