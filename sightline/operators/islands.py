@@ -23,11 +23,15 @@ def runs(df: DataFrame, keys: list[str], at: str, max_gap: int = 0) -> DataFrame
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, stop: str, gap: int = 0, shortest: int | None = None) -> DataFrame:
-    """keys, start, stop, n: half-open intervals joined where one starts less than or at gap after all before it have ended; then those shorter than shortest are dropped."""
+    """keys, start, stop, n: half-open intervals joined where one starts less than or at gap after all before it have ended; then those shorter than shortest are dropped.
+
+    Intervals without a start come last and count towards the last run; alone they are a run without ends. Both windows read one sort, so equal intervals stand in one order for both.
+    """
     x = df.select(*keys, F.col(start).alias("start"), F.col(stop).alias("stop"))
-    reach = F.max("stop").over(_w(keys, "start", "stop").rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumn("_new", F.coalesce(F.col("start") > reach + gap, F.lit(True)).cast("int"))
-    x = x.withColumn("_run", F.sum("_new").over(_w(keys, "start", "stop").rowsBetween(Window.unboundedPreceding, 0)))
+    w = _w(keys, F.col("start").asc_nulls_last(), F.col("stop").asc_nulls_last())
+    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0))
+    x = x.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = x.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n")).drop("_run")
     return out if shortest is None else out.filter(F.col("stop") - F.col("start") >= shortest)
 

@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import sightline.plans  # noqa: F401
+from sightline.catalog import ORACLES, QUERIES
 from sightline.functions import expressions as X
 from sightline.operators import aggregates, equivalence, folds, geometry, graph, islands, joins, matching, scorecard, tracker, windows
 from sightline.plans.tracking import CAMERAS
@@ -28,6 +30,19 @@ def test_merging_touches_and_drops(spark):
     assert rows(islands.merge_intervals(df, ["k"], "s", "t", 1, 10), "start") == [(1, 0, 30, 4)]
 
 
+def test_merging_is_its_sql_where_times_are_missing_and_intervals_repeat(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(5)
+    events = [(i, None if i % 9 == 0 else f"2024-01-0{rng.randint(1, 4)} {rng.randint(0, 23):02d}:10:00", i % 7, "click", float(rng.randint(0, 9))) for i in range(400)]
+    events += [(400 + i, t, k, e, v) for i, (_, t, k, e, v) in enumerate(events[:100])] + [(900, None, 8, "click", 1.0), (901, None, 8, "click", 3.0)]
+    spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    one = duckdb.connect(config={"threads": 1})  # more threads may order equal intervals differently in the SQL's two windows
+    one.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("merge_touching", "merge_then_drop"):
+        got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, one.execute(ORACLES[name]).fetchall())) and len(got) > 5
+
+
 def test_neutral_rows_keep_a_run(spark):
     df = spark.createDataFrame([(1, "x"), (2, None), (3, "x"), (4, "y")], "t long, s string").withColumn("k", F.lit(1))
     assert rows(islands.state_runs(df, ["k"], "t", "s"), "first") == [(1, "x", 1, 3, 2), (1, "y", 4, 4, 1)]
