@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sightline.operators import islands
+from sightline.operators.graph import checkpoints
 
 
 def fit_weights(rows: int, degree: int) -> np.ndarray:
@@ -149,36 +151,70 @@ def one_per_step(df: DataFrame, keys: list[str], at: str, thing: str, single: li
     return x.withColumn("object", F.when(lone, F.lit(None)).otherwise(F.col(thing)))
 
 
-def nested(df: DataFrame, keys: list[str], thing: str, at: str, holds: Column, shared: int = 5, share: float = 0.5, often: float = 0.5) -> DataFrame:
+def nested(df: DataFrame, keys: list[str], thing: str, at: str, holds: Column, shared: int = 5, share: float = 0.5, often: float = 0.5, block: int = 256) -> DataFrame:
     """keys, thing, kept, steps, nested: things that repeat another one of their key on most of the steps they share.
 
-    holds is the condition over the two boxes (structs _a and _b, each a whole row). Two things count if they share at least shared steps and share of the shorter one's. The thing with
-    more steps is kept, the smaller name first among equals. Pairs are counted by a join on the step; one task sees a key's surviving pairs alone.
+    holds is the condition over the two boxes (structs _a and _b, each a whole row, the smaller name first). Two things count if they share at least shared steps and share of the shorter one's.
+    The thing with more steps is kept, the smaller name first among equals. What is gone takes nothing with it, so in that order only kept things are ever compared with later ones: a round
+    settles the next block of a key's things among themselves and compares those it keeps with all that are left, of which those that repeat one go. Where much repeats, few are kept and
+    rounds are few; where nothing repeats, every pair is met once, block by block. Pairs are counted where they are made and never shuffled; one task sees a block's surviving pairs alone.
     """
-    sizes = df.groupBy(*keys, thing).agg(F.count("*").alias("_n"))
-    row = F.struct(*df.columns)
-    a = df.select(*keys, at, F.col(thing).alias("_ta"), row.alias("_a"))
-    b = df.select(*keys, at, F.col(thing).alias("_tb"), row.alias("_b"))
-    pairs = a.join(b, [*keys, at]).filter("_ta < _tb").groupBy(*keys, "_ta", "_tb").agg(F.count("*").alias("steps"), F.avg(holds.cast("double")).alias("nested"))
-    for t, n in (("_ta", "_na"), ("_tb", "_nb")):
-        pairs = pairs.join(sizes.select(*keys, F.col(thing).alias(t), F.col("_n").alias(n)), [*keys, t])
-    pairs = pairs.filter((F.col("steps") >= F.greatest(F.lit(float(shared)), share * F.least("_na", "_nb"))) & (F.col("nested") >= often))
-    first = (F.col("_na") > F.col("_nb")) | (F.col("_na") == F.col("_nb")) & (F.col("_ta") < F.col("_tb"))
-    pairs = pairs.select(*keys, F.when(first, F.col("_ta")).otherwise(F.col("_tb")).alias("kept"), F.when(first, F.col("_tb")).otherwise(F.col("_ta")).alias(thing), F.greatest("_na", "_nb").alias("_n"), F.least("_na", "_nb").alias("_m"), "steps", "nested")
-    types = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"{thing} {types[thing]}, kept {types['kept']}, steps long, nested double"])
+    checkpoints(df.sparkSession)
+    name = [*keys, "_t"]
+    boxes = df.filter(F.col(thing).isNotNull()).dropna(subset=keys).select(*keys, F.col(thing).alias("_t"), F.col(at).alias("_at"), F.struct(*df.columns).alias("_row")).checkpoint()
+    left = boxes.groupBy(*name).agg(F.count("*").alias("_n")).checkpoint()
+    types = {f.name: f.dataType.simpleString() for f in left.schema}
+    pair = [*keys, "_t", "_kept", "_n", "_m", "steps", "nested"]
+    schema = ", ".join([*(f"{k} {types[k]}" for k in name), f"_kept {types['_t']}, steps long, nested double"])
+
+    def pairs(later: DataFrame, earlier: DataFrame, parts: DataFrame | None) -> DataFrame:
+        """Things with those of earlier that they repeat. Keys with many things are dealt over parts, of which each has all of the key's earlier things."""
+        if parts is None:
+            later, earlier = later.withColumn("_part", F.lit(0)), earlier.withColumn("_part", F.lit(0))
+        else:
+            many = F.coalesce("_parts", F.lit(1))
+            later = later.join(parts, keys, "left").withColumn("_part", F.pmod(F.hash("_t"), many).cast("int"))
+            earlier = earlier.join(parts, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1)))
+        a = boxes.join(later, name).select(*name, "_part", "_at", F.col("_n").alias("_m"), F.col("_row").alias("_x")).repartition(*keys, "_part")
+        b = boxes.join(earlier, name).select(*keys, "_part", "_at", F.col("_t").alias("_kept"), "_n", F.col("_row").alias("_y")).repartition(*keys, "_part")
+        x = a.join(b.hint("merge"), [*keys, "_part", "_at"]).filter((F.col("_n") > F.col("_m")) | (F.col("_n") == F.col("_m")) & (F.col("_kept") < F.col("_t")))
+        swap = F.col("_kept") < F.col("_t")
+        x = x.withColumn("_a", F.when(swap, F.col("_y")).otherwise(F.col("_x"))).withColumn("_b", F.when(swap, F.col("_x")).otherwise(F.col("_y")))
+        x = x.groupBy(*keys, "_part", "_t", "_kept", "_n", "_m").agg(F.count("*").alias("steps"), F.avg(holds.cast("double")).alias("nested"))
+        return x.filter((F.col("steps") >= F.greatest(F.lit(float(shared)), share * F.col("_m"))) & (F.col("nested") >= often))
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_n", "kept", "_m", thing], ascending=[False, True, False, True])
+        rows = rows.sort_values(["_n", "_kept", "_m", "_t"], ascending=[False, True, False, True])
         gone: set = set()
         taken = []
-        for i, k, t in zip(rows.index, rows["kept"], rows[thing]):
+        for i, k, t in zip(rows.index, rows["_kept"], rows["_t"]):
             if k not in gone and t not in gone:
                 gone.add(t)
                 taken.append(i)
-        return rows.loc[taken, [*keys, thing, "kept", "steps", "nested"]]
-
-    return pairs.groupBy(*keys).applyInPandas(keep, schema)
+        return rows.loc[taken, [*name, "_kept", "steps", "nested"]]
+
+    done: list[DataFrame] = []
+    while True:
+        turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_n"), "_t"))
+        first = left.withColumn("_k", turn).filter(F.col("_k") <= block).drop("_k").checkpoint()
+        lost = pairs(first, first, None).select(*pair).groupBy(*keys).applyInPandas(keep, schema).checkpoint()
+        done.append(lost)
+        left = left.join(first, name, "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+        parts = left.groupBy(*keys).count().filter(F.col("count") > 4 * block).select(*keys, F.ceil(F.col("count") / (4 * block)).cast("int").alias("_parts"))
+        found = pairs(left, first.join(lost, name, "left_anti"), F.broadcast(parts))  # of keys with many things, so few of them
+        least = F.min(F.struct((-F.col("_n")).alias("order"), "_kept", "steps", "nested")).alias("_p")
+        lost = found.groupBy(*keys, "_part", "_t").agg(least).select(*name, "_p._kept", "_p.steps", "_p.nested").checkpoint()
+        done.append(lost)
+        left = left.join(lost, name, "left_anti").checkpoint()
+        if left.isEmpty():
+            break
+        block = min(2 * block, max(block, 1024))
+        if len(done) > 32:
+            done = [functools.reduce(DataFrame.unionByName, done).checkpoint()]
+    out = functools.reduce(DataFrame.unionByName, done)
+    return out.select(*keys, F.col("_t").alias(thing), F.col("_kept").alias("kept"), "steps", "nested")
 
 
 def nearest_in_order(df: DataFrame, keys: list[str], side: str, item: str, point: str) -> DataFrame:

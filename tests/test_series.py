@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import shapes
@@ -80,6 +81,27 @@ def test_nested_keeps_the_longer(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("often", [0.3, 0.95])
+def test_nested_by_blocks_is_all_pairs_in_order(spark, often):
+    r = random.Random(11)
+    rows = [(k, f"t{t:02d}", s, r.randrange(9)) for k, n in (("many", 45), ("few", 3)) for t in range(n) for s in range(12) if r.random() < 0.9]
+    rows += [(k, "t99", s, b) for k, t, s, b in rows if t == "t02"] + [(None, t, s, b) for k, t, s, b in rows if k == "few"] + [("few", None, s, 1) for s in range(12)]
+    df = spark.createDataFrame(rows, "k string, t string, s int, b int")
+    got = {(x.k, x.t): (x.kept, x.steps, x.nested) for x in series.nested(df, ["k"], "t", "s", F.col("_a.b") - F.col("_b.b") <= 2, often=often, block=2).collect()}
+    want = {}
+    for key in ("many", "few"):
+        at = {t: {s: b for k, x, s, b in rows if (k, x) == (key, t)} for t in {t for k, t, _, _ in rows if k == key and t}}
+        order = sorted(at, key=lambda t: (-len(at[t]), t))
+        for i, keeper in enumerate(order):
+            for other in order[i + 1 :]:
+                both, (a, b) = at[keeper].keys() & at[other].keys(), sorted((keeper, other))
+                if (key, keeper) not in want and (key, other) not in want and len(both) >= 5:
+                    share = sum(at[a][s] - at[b][s] <= 2 for s in both) / len(both)
+                    if share >= often:
+                        want[key, other] = (keeper, len(both), share)
+    assert got == want and want
+
+
 def test_nearest_in_order(spark):
     r = random.Random(8)
     rows = [(k, r.random() < 0.5, i, [r.random(), r.random()]) for k in range(6) for i in range(k)]
