@@ -1,5 +1,6 @@
 import itertools
 import json
+import math
 import random
 
 import numpy as np
@@ -203,3 +204,44 @@ def test_tracker_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = tracker.track(spark.createDataFrame(every, schema), "trial", CAMERAS).filter("frame < 24")
     assert sorted(map(tuple, spark.table("tracked2").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_greedy_by_chunks_is_greedy_with_ties(monkeypatch):
+    monkeypatch.setattr(matching, "CELLS", 900)
+    r = np.random.default_rng(4)
+    for n, m, values in ((150, 90, 12), (80, 200, 4000), (120, 120, 1)):
+        left, right = (np.c_[x, np.zeros(k), x + 10.0, np.full(k, 5.0)] for k, x in ((k, r.integers(0, values, k) / 16) for k in (n, m)))
+        for least in (0.3, 0.95, 0.0):
+            assert set(matching.greedy_boxes(left, right, least)) == set(matching.greedy(1 - matching.iou(left, right), 1 - least))
+
+
+def test_tracklets_in_pieces_are_those_of_the_whole_key(spark):
+    r = random.Random(3)
+    boxes = []
+    for key in ("a", None):
+        for frame in range(30):
+            for _ in range(r.randrange(14) if frame % 11 < 8 else 0):
+                x, wide = r.choice([0, 4, 30, 75]) + r.randrange(6) * 0.5, r.choice([8.0, 10.0, 60.0]) if key else 10.0
+                boxes.append((key, frame, x, 0.0, x + wide, r.choice([10.0, 12.0])))
+    boxes += [("a", 3, None, 0.0, 5.0, 5.0), ("a", 4, 7.0, 0.0, 7.0, 5.0), ("a", 5, 1.0, 0.0, float("inf"), 5.0), ("a", None, 1.0, 0.0, 2.0, 5.0)]
+
+    def link(rows, least=0.3, max_gap=5):
+        """A whole key in one place: frame by frame, boxes go greedily to the live tracklet that they overlap most."""
+        live, made, out = {}, 0, []
+        for frame in sorted({x[0] for x in rows}):
+            now = sorted((x[1:] for x in rows if x[0] == frame), key=lambda x: [math.inf if v is None else v for v in x])
+            live = {k: x for k, x in live.items() if frame - x[0] <= max_gap + 1}
+            told = {}
+            if live:
+                overlap = matching.iou(np.array([x[1] for x in live.values()], float), np.array(now, float))
+                told = {c: list(live)[k] for k, c in matching.greedy(1 - overlap, 1 - least)}
+            for i, box in enumerate(now):
+                if i not in told:
+                    told[i], made = made, made + 1
+                live[told[i]] = (frame, box)
+                out.append((frame, *box, told[i]))
+        return out
+
+    got = [tuple(x) for x in matching.tracklets(spark.createDataFrame(boxes, "k string, frame long, x1 double, y1 double, x2 double, y2 double"), ["k"]).collect()]
+    want = [(key, *x) for key in ("a", None) for x in link([b[1:] for b in boxes if b[0] == key and b[1] is not None])] + [("a", None, 1.0, 0.0, 2.0, 5.0, -1)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
