@@ -1,11 +1,12 @@
 """Equality of nested documents: VARIANT values taken apart into leaves with their paths, without keys that change from run to run.
 
-A level is taken apart by one lateral explode, so no schema is needed and documents may differ in shape. What is left to do shrinks with each level and is
-cut from its lineage in the checkpoint folder. Digests add up over leaves and differences join them, so no document meets in one task.
+A level is taken apart by one lateral explode, so no schema is needed and documents may differ in shape. Some levels follow each other in one pass over the rows;
+only what is deeper still is cut from its lineage in the checkpoint folder. Digests add up over leaves and differences join them, so no document meets in one task.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,9 @@ class Volatile:
         return text
 
 
+LEVELS = 8  # so many levels are taken apart in one go
+
+
 def leaves(df: DataFrame, keys: list[str], document: str, volatile: Volatile = Volatile(), deepest: int = 64) -> DataFrame:
     """keys, path, kind, value: one row for each scalar, null, empty object or empty list of a VARIANT column, but what is volatile.
 
@@ -47,44 +51,61 @@ def leaves(df: DataFrame, keys: list[str], document: str, volatile: Volatile = V
     """
     checkpoints(df.sparkSession)
     spark = df.sparkSession
-    rest = df.filter(F.col(document).isNotNull()).select(*keys, F.lit("$").alias("path"), F.col(document).alias("_v"))
+    rest = df.select(*keys, F.lit("$").alias("path"), F.col(document).alias("_v"))
     done = []
-    for _ in range(deepest):
-        kind = F.schema_of_variant("_v")
-        typed = rest.withColumn("_kind", F.regexp_extract(kind, "^(OBJECT|ARRAY|[A-Z]+)", 1))
-        text = F.to_json("_v")
-        inner = F.col("_kind").isin("OBJECT", "ARRAY") & ~text.isin("{}", "[]")
+    while True:
+        levels = min(LEVELS, deepest)
+        for _ in range(levels):
+            # What has nothing inside stays as it is, without a position.
+            exploded = rest.select(*keys, F.col("path").alias("_path"), F.col("_v").alias("_w")).lateralJoin(spark.tvf.variant_explode_outer(F.col("_w").outer()))
+            child = F.col("pos").isNotNull()
+            step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+            rest = exploded.select(*keys, F.when(child, F.concat("_path", step)).otherwise(F.col("_path")).alias("path"), F.when(child, F.col("value")).otherwise(F.col("_w")).alias("_v"), F.col("key").alias("_key"), child.alias("_child"))
+            rest = rest.filter(~(F.col("_child") & volatile.gone(F.col("_key"), F.col("path"))))
+        deepest -= levels
+        kind = F.regexp_extract(F.schema_of_variant("_v"), "^[A-Z]+", 0)
         # A scalar string's JSON form has its quotes; its own text is what replacements see.
-        value = F.when(F.col("_kind") == "STRING", volatile.plain(F.try_variant_get("_v", "$", "string"))).otherwise(text)
-        done.append(typed.filter(~inner).select(*keys, "path", F.col("_kind").alias("kind"), value.alias("value")))
-        exploded = typed.filter(inner).lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
-        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        rest = exploded.select(*(F.col(k) for k in keys), F.concat("path", step).alias("path"), F.col("value").alias("_v"), F.col("key").alias("_key"))
-        rest = rest.filter(~volatile.gone(F.col("_key"), F.col("path"))).drop("_key").checkpoint()
-        if rest.isEmpty():
+        value = F.when(F.col("kind") == "STRING", volatile.plain(F.try_variant_get("_v", "$", "string"))).otherwise(F.to_json("_v"))
+        done.append(rest.filter(~F.col("_child") & F.col("_v").isNotNull()).withColumn("kind", kind).select(*keys, "path", "kind", value.alias("value")))
+        deeper = rest.filter("_child").select(*keys, "path", "_v")  # the last level still had something inside
+        if deeper.isEmpty():
             break
-    else:
-        raise ValueError(f"a document is deeper than {deepest}")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        if deepest <= 0:
+            raise ValueError("a document is deeper than the deepest that was allowed")
+        rest = deeper.checkpoint()
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def _sums(df: DataFrame, keys: list[str], document: str, volatile: Volatile) -> DataFrame:
+    """keys, docs, leaves, _a, _b: how many documents and leaves a key has, and two sums of the leaves' hashes. One shuffle, of a few numbers for each document."""
+    number = lambda seed: F.xxhash64(F.lit(seed), "path", "kind", "value").cast("decimal(20,0)")
+    zero = F.lit(0).cast("decimal(20,0)")
+    found = leaves(df, keys, document, volatile).select(*keys, F.lit(0).alias("docs"), F.lit(1).alias("leaves"), number(1).alias("_a"), number(2).alias("_b"))
+    every = df.select(*keys, F.lit(1).alias("docs"), F.lit(0).alias("leaves"), zero.alias("_a"), zero.alias("_b"))
+    return found.unionByName(every).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("docs", "leaves", "_a", "_b")))
 
 
 def digests(df: DataFrame, keys: list[str], document: str, volatile: Volatile = Volatile()) -> DataFrame:
     """keys, leaves, digest: equal for documents that hold the same leaves, whatever the order of their keys. A document without leaves, missing ones too, has zeros."""
-    cell = F.concat_ws("\x00", "path", "kind", F.coalesce("value", F.lit("")))
-    number = lambda at: F.conv(F.substring(F.md5(cell), at, 12), 16, 10).cast("decimal(20,0)")
-    summed = leaves(df, keys, document, volatile).groupBy(*keys).agg(F.count("*").alias("leaves"), F.sum(number(1)).alias("_a"), F.sum(number(13)).alias("_b"))
-    every = df.select(*keys).distinct()
-    x = every.join(summed, [every[k].eqNullSafe(summed[k]) for k in keys], "left")
-    zero = F.lit(0).cast("decimal(30,0)")
-    return x.select(*(every[k] for k in keys), F.coalesce("leaves", F.lit(0).cast("long")).alias("leaves"), F.concat_ws("-", F.coalesce(F.col("_a"), zero).cast("string"), F.coalesce(F.col("_b"), zero).cast("string")).alias("digest"))
+    return _sums(df, keys, document, volatile).select(*keys, "leaves", F.concat_ws("-", F.col("_a").cast("string"), F.col("_b").cast("string")).alias("digest"))
 
 
 def differences(left: DataFrame, right: DataFrame, keys: list[str], document: str, volatile: Volatile = Volatile()) -> DataFrame:
-    """keys, path, side ('left' or 'right' where only one has it, else 'both'), left, right: the leaves in which two sides' documents differ."""
-    a, b = (leaves(x, keys, document, volatile) for x in (left, right))
+    """keys, path, side ('left' or 'right' where only one has it, else 'both'), left, right: the leaves in which two sides' documents differ.
+
+    Keys that have one document on both sides and equal sums of its leaves' hashes are out first; only what the other keys' documents hold is shuffled and joined.
+    """
+    checkpoints(left.sparkSession)
+    mine, other = (_sums(x, keys, document, volatile) for x in (left, right))
+    other = other.withColumnsRenamed({c: f"_r_{c}" for c in other.columns})
+    same_key = functools.reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys))
+    equal = F.lit(True)
+    for c in ("docs", "leaves", "_a", "_b"):
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    apart = mine.join(other, same_key, "full").filter(~(equal & (F.col("docs") == 1)))
+    apart = apart.select(*(F.when(F.col("docs").isNotNull(), F.col(k)).otherwise(F.col(f"_r_{k}")).alias(f"_k_{k}") for k in keys)).checkpoint()
+    theirs = functools.reduce(lambda p, q: p & q, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
+    a, b = (leaves(x.join(apart, theirs, "left_semi"), keys, document, volatile) for x in (left, right))
     same = [a[k].eqNullSafe(b[k]) for k in [*keys, "path"]]
     x = a.join(b, same, "full")
     there = lambda s: s["path"].isNotNull()

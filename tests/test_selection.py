@@ -133,3 +133,25 @@ def test_leaves_digests_and_differences_of_nested_documents(spark):
     with pytest.raises(ValueError):
         nested.leaves(df, ["id"], "doc", deepest=2)
     assert nested.leaves(df.limit(0), ["id"], "doc").count() == 0
+
+
+def test_shallow_documents_take_one_pass_and_deep_ones_are_whole(spark, monkeypatch):
+    df = spark.range(3).select("id", F.parse_json(F.concat(F.lit('{"a": {"b": [1, {"c": '), F.col("id").cast("string"), F.lit("}]}}"))).alias("doc"))
+    plan = nested.leaves(df, ["id"], "doc")._jdf.queryExecution().toString()
+    assert "variant_explode" in plan and "ExistingRDD" not in plan
+    whole = sorted(map(tuple, nested.leaves(df, ["id"], "doc").collect()))
+    monkeypatch.setattr(nested, "LEVELS", 2)
+    assert sorted(map(tuple, nested.leaves(df, ["id"], "doc").collect())) == whole and len(whole) == 6
+    assert nested.leaves(df, ["id"], "doc", deepest=5).count() == 6
+    with pytest.raises(ValueError):
+        nested.leaves(df, ["id"], "doc", deepest=4)
+
+
+def test_differences_look_only_into_keys_that_differ(spark):
+    same, pair = {"a": [1, {"b": "x"}]}, [{"a": 1, "b": 1}, {"a": 2, "b": 2}]
+    left = [(None, same), (1, same), (2, same), (3, pair[0]), (3, pair[1]), (4, None), (5, {"z": 1}), (7, {})]
+    right = [(None, same), (1, same), (2, {"a": [1, {"b": "y"}]}), (3, pair[0]), (3, pair[1]), (4, None), (6, {"z": 1}), (7, {})]
+    a, b = (spark.createDataFrame([(k, d and json.dumps(d)) for k, d in rows], "id long, raw string").select("id", F.parse_json("raw").alias("doc")) for rows in (left, right))
+    found = nested.differences(a, b, ["id"], "doc")
+    got = sorted(map(str, (tuple(x) for x in found.collect())))
+    assert got == sorted(map(str, [(2, "$.a[1].b", "both", "x", "y"), (5, "$.z", "left", "1", None), (6, "$.z", "right", None, "1")] + [(3, f"$.{k}", "both", *v) for k in "ab" for v in (("1", "2"), ("2", "1"))]))
