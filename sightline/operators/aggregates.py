@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sightline.operators.graph import checkpoints
 from sightline.operators.windows import first_of
 
 
@@ -22,6 +23,61 @@ def quantiles(value: str, **at: float) -> list[Column]:
     return [F.percentile(value, F.lit(p)).alias(n) for n, p in at.items()]
 
 
+ACCURACY = 10_000  # a sketch errs by one rank in so many
+FEW = 10_000  # groups whose sketches are broadcast; the rows are shuffled to those of more groups
+
+
+def ranked_quantiles(df: DataFrame, keys: list[str], value: str, **at: float) -> DataFrame:
+    """keys, n (rows), one column for each exact linearly interpolated percentile, as quantiles has them, for groups of any size.
+
+    A sketch of each group brackets the ranks, exact counts tell where each bracket lies, and only the equal values inside are counted and sorted. A bracket that
+    misses its ranks is opened on that side, so the sketch decides the work and never the result.
+    """
+    x = df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(value).cast("double").alias("_v"))
+    groups, shares = [f"_k{i}" for i in range(len(keys))], list(at.values())
+
+    def joined(y: DataFrame) -> DataFrame:
+        """The rows with what y has for their group."""
+        y = y.withColumnsRenamed({k: f"_y{k}" for k in groups})
+        same = F.lit(True)
+        for k in groups:
+            same = same & F.col(k).eqNullSafe(F.col(f"_y{k}"))
+        return x.join(F.broadcast(y) if few else y, same).drop(*(f"_y{k}" for k in groups))
+
+    checkpoints(df.sparkSession)
+    ends = F.array(*(F.lit(min(1.0, max(0.0, p + d / ACCURACY))) for p in shares for d in (-2, 2)))
+    sketch = x.groupBy(*groups).agg(F.percentile_approx("_v", ends, F.lit(ACCURACY)).alias("_ends")).checkpoint()
+    few = sketch.count() <= FEW
+    v, end = F.col("_v"), lambda i: F.get("_ends", F.lit(i))
+    counts = joined(sketch).groupBy(*groups).agg(
+        F.count("*").alias("n"), F.count("_v").alias("_n"), F.first("_ends").alias("_ends"), F.array(*(F.count_if(v < end(2 * i)) for i in range(len(at)))).alias("_below"), F.array(*(F.count_if(v <= end(2 * i + 1)) for i in range(len(at)))).alias("_upto"),
+    )
+    place = [(F.col("_n") - 1) * F.lit(float(p)) for p in shares]
+    brackets = []
+    for i, p in enumerate(place):
+        below, upto = F.get("_below", F.lit(i)), F.get("_upto", F.lit(i))
+        fits = below <= F.floor(p)
+        brackets.append(F.struct(F.when(fits, end(2 * i)).alias("low"), F.when(upto > F.ceil(p), end(2 * i + 1)).alias("high"), F.when(fits, below).otherwise(0).alias("below"), p.alias("place")))
+    told = counts.select(*groups, "n", F.array(*brackets).alias("_b")).checkpoint()
+    inside = [F.when((F.get("_b", F.lit(i))["low"].isNull() | (v >= F.get("_b", F.lit(i))["low"])) & (F.get("_b", F.lit(i))["high"].isNull() | (v <= F.get("_b", F.lit(i))["high"])), F.lit(i)) for i in range(len(at))]
+    some = joined(told.select(*groups, "_b")).filter(v.isNotNull()).select(*groups, "_v", F.explode(F.array_compact(F.array(*inside))).alias("_i"))
+    some = some.groupBy(*groups, "_i", "_v").agg(F.count("*").alias("_c"))
+    some = some.withColumn("_to", F.sum("_c").over(Window.partitionBy(*groups, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    some = some.withColumnsRenamed({k: f"_s{k}" for k in groups})
+    same = F.lit(True)
+    for k in groups:
+        same = same & F.col(k).eqNullSafe(F.col(f"_s{k}"))
+    ranked = told.join(some, same, "left").withColumn("_b", F.get("_b", F.col("_i")))
+    to = F.col("_b.below") + F.col("_to")
+    has = lambda rank: (to - F.col("_c") <= rank) & (rank < to)
+    place = F.col("_b.place")
+    low, high = F.max(F.when(has(F.floor(place)), F.col("_v"))), F.max(F.when(has(F.ceil(place)), F.col("_v")))
+    found = ranked.groupBy(*groups, "n", "_i", place.alias("_p")).agg(low.alias("_low"), high.alias("_high"))
+    drawn = F.when(F.col("_low").eqNullSafe(F.col("_high")), F.col("_low")).otherwise((F.ceil("_p") - F.col("_p")) * F.col("_low") + (F.col("_p") - F.floor("_p")) * F.col("_high"))
+    out = found.groupBy(*groups, "n").agg(*(F.max(F.when(F.col("_i") == i, drawn)).alias(name) for i, name in enumerate(at)))
+    return out.select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)), "n", *at)
+
+
 def weighted_vote(df: DataFrame, keys: list[str], choice: str, weight: str) -> DataFrame:
     """keys, winner, share, entropy (bits), votes: ties go to the alphabetically first choice."""
     per = df.groupBy(*keys, choice).agg(F.sum(weight).alias("_w"))

@@ -22,7 +22,7 @@ def multi_grain_summary(spark, sf_dir):
 
 @query("quantile_summary", """SELECT l_returnflag, quantile_cont(l_extendedprice, 0.1) AS p10, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.9) AS p90, count(*) AS n FROM lineitem GROUP BY 1""")
 def quantile_summary(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*A.quantiles("l_extendedprice", p10=0.1, p50=0.5, p90=0.9), F.count("*").alias("n"))
+    return A.ranked_quantiles(load(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", p10=0.1, p50=0.5, p90=0.9).select("l_returnflag", "p10", "p50", "p90", "n")
 
 
 @query("median_of_medians", """SELECT l_returnflag, median(m) AS middle, count(*) AS parts FROM (SELECT l_returnflag, l_partkey, median(l_quantity) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1""")

@@ -245,3 +245,23 @@ def test_tracklets_in_pieces_are_those_of_the_whole_key(spark):
     got = [tuple(x) for x in matching.tracklets(spark.createDataFrame(boxes, "k string, frame long, x1 double, y1 double, x2 double, y2 double"), ["k"]).collect()]
     want = [(key, *x) for key in ("a", None) for x in link([b[1:] for b in boxes if b[0] == key and b[1] is not None])] + [("a", None, 1.0, 0.0, 2.0, 5.0, -1)]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 4])
+def test_ranked_quantiles_are_exact_percentiles(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(aggregates, "ACCURACY", accuracy)
+    monkeypatch.setattr(aggregates, "FEW", accuracy // 100)  # the second time no sketch is broadcast
+    r = random.Random(6)
+    data = [("a", r.gauss(0, 1)) for _ in range(3000)] + [(None, float(r.randrange(4))) for _ in range(999)] + [("b", 2.5), ("c", None), ("d", 1.0), ("d", 4.0), ("d", None)] + [("e", 10.0 ** r.randrange(300)) for _ in range(500)]
+    df = spark.createDataFrame(data, "k string, v double")
+    at = {"low": 0.0, "p10": 0.1, "p50": 0.5, "p77": 0.77, "top": 1.0}
+    got = rows(aggregates.ranked_quantiles(df, ["k"], "v", **at).select("k", *at, "n"), "k")
+    assert got == rows(df.groupBy("k").agg(*aggregates.quantiles("v", **at), F.count("*").alias("n")), "k") and len(got) == 6
+
+
+def test_ranked_quantiles_open_a_bracket_that_misses(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"))
+    want = rows(df.groupBy("k").agg(*aggregates.quantiles("v", a=0.2, b=0.9), F.count("*").alias("n")), "k")
+    for wrong in (-5.0, 400.0, 5000.0):
+        monkeypatch.setattr(aggregates.F, "percentile_approx", lambda v, ends, accuracy, wrong=wrong: F.max(F.array(*[F.lit(wrong)] * 4)))
+        assert rows(aggregates.ranked_quantiles(df, ["k"], "v", a=0.2, b=0.9).select("k", "a", "b", "n"), "k") == want
